@@ -63,10 +63,27 @@ FROM {customer}
 """
 
 
+# Raw (dirty) listing feed from customers: out-of-range coordinates,
+# negative prices, future build years, bad bedrooms/condition, NULLs --
+# the input of the validation operators.
+RAW_LISTINGS_SQL = """
+SELECT c_custkey AS id,
+  CAST((c_custkey % 200) - 100 AS DOUBLE) AS lat,
+  CAST((c_custkey * 7) % 400 - 200 AS DOUBLE) AS lon,
+  c_acctbal * 100 AS price,
+  CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST((c_custkey * 37) % 60000 AS DOUBLE) END AS sqft,
+  c_nationkey AS bedrooms,
+  CAST(1790 + (c_custkey * 13) % 240 AS INT) AS year_built,
+  CONCAT('941', LPAD(CAST(c_nationkey AS VARCHAR(10)), 2, '0')) AS zip_code,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(c_custkey % 7 AS INT) END AS condition
+FROM {customer}
+"""
+
+
 def oracle_cte(name: str) -> str:
     """SQL text of a derived view for the DuckDB oracle (raw tables as views)."""
     text = {"listings": LISTINGS_SQL, "ai_audit_log": AUDIT_LOG_SQL,
-            "demand_feed": DEMAND_FEED_SQL}[name]
+            "demand_feed": DEMAND_FEED_SQL, "raw_listings": RAW_LISTINGS_SQL}[name]
     return text.replace("{orders}", "orders").replace("{events}", "events").replace(
         "{customer}", "customer")
 
@@ -82,3 +99,7 @@ def ai_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def demand_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DEMAND_FEED_SQL, customer=table(spark, sf_dir, "customer"))
+
+
+def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RAW_LISTINGS_SQL, customer=table(spark, sf_dir, "customer"))
