@@ -64,11 +64,12 @@ def zip_summary(sales: DataFrame, zip_codes: DataFrame | None = None) -> DataFra
     With ``zip_codes`` (a one-column DataFrame of requested zips) missing zips
     get the all-zero row.
     """
+    # money/area means as cent-rounded sum / count: order-independent result
     agg = sales.groupBy("zip_code").agg(
         F.count(F.lit(1)).alias("count"),
-        F.avg("price").alias("avg_price"),
+        (F.round(F.sum("price"), 2) / F.count("price")).alias("avg_price"),
         F.median("price").alias("median_price"),
-        F.avg("sqft").alias("avg_sqft"),
+        (F.round(F.sum("sqft"), 2) / F.count("sqft")).alias("avg_sqft"),
         F.avg(F.col("price") / F.col("sqft")).alias("avg_price_per_sqft"),
     )
     if zip_codes is None:
@@ -112,8 +113,8 @@ def screener_bounds(sales: DataFrame, lo: float | None = None, hi: float | None
         F.floor(F.min("price")).cast("bigint").alias("min_price"),
         F.floor(F.max("price")).cast("bigint").alias("max_price"),
         F.array_sort(F.collect_set("zip_code")).alias("zip_codes"),
-        F.round(F.avg("lat"), 6).alias("center_lat"),
-        F.round(F.avg("lon"), 6).alias("center_lon"),
+        (F.round(F.sum("lat"), 6) / F.count("lat")).alias("center_lat"),
+        (F.round(F.sum("lon"), 6) / F.count("lon")).alias("center_lon"),
         F.count_if(match).alias("match_count"),
     )
 

@@ -80,12 +80,27 @@ FROM {customer}
 """
 
 
+# Zip demographics dimension (one row per zip) from nation/region/customer.
+ZIP_DIM_SQL = """
+SELECT CONCAT('941', LPAD(CAST(n.n_nationkey AS VARCHAR(10)), 2, '0')) AS zip_code,
+  n.n_name AS city, r.r_name AS county, 'CA' AS state,
+  CAST(COUNT(c.c_custkey) * 1000 AS BIGINT) AS population,
+  ROUND(COUNT(c.c_custkey) * CAST(1000 AS DOUBLE) / CAST(7 AS DOUBLE), 2) AS population_density,
+  ROUND(SUM(c.c_acctbal), 2) * 20 / COUNT(c.c_custkey) AS median_household_income
+FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey
+LEFT JOIN {customer} c ON c.c_nationkey = n.n_nationkey
+GROUP BY n.n_nationkey, n.n_name, r.r_name
+"""
+
+
 def oracle_cte(name: str) -> str:
     """SQL text of a derived view for the DuckDB oracle (raw tables as views)."""
     text = {"listings": LISTINGS_SQL, "ai_audit_log": AUDIT_LOG_SQL,
-            "demand_feed": DEMAND_FEED_SQL, "raw_listings": RAW_LISTINGS_SQL}[name]
-    return text.replace("{orders}", "orders").replace("{events}", "events").replace(
-        "{customer}", "customer")
+            "demand_feed": DEMAND_FEED_SQL, "raw_listings": RAW_LISTINGS_SQL,
+            "zip_dim": ZIP_DIM_SQL}[name]
+    for t in ("orders", "events", "customer", "nation", "region"):
+        text = text.replace("{%s}" % t, t)
+    return text
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,3 +118,9 @@ def demand_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_LISTINGS_SQL, customer=table(spark, sf_dir, "customer"))
+
+
+def zip_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ZIP_DIM_SQL, nation=table(spark, sf_dir, "nation"),
+                     region=table(spark, sf_dir, "region"),
+                     customer=table(spark, sf_dir, "customer"))
