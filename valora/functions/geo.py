@@ -94,6 +94,33 @@ def cell_index(lat="lat", lon="lon") -> Column:
     return cell_id(ax["q"], ax["r"])
 
 
+def with_cell(df, lat: str = "lat", lon: str = "lon", out: str = "h3_index",
+              edge: float = EDGE, origin=(P.CITY_CENTER_LAT, P.CITY_CENTER_LON)):
+    """DataFrame form of ``cell_index`` computed in stages.
+
+    Each stage is its own projection; because the intermediate columns are
+    referenced several times and are not cheap, Catalyst keeps the projects
+    apart instead of inlining them, which keeps the generated code small
+    (the single nested expression exceeds the 64 KB method limit when it is
+    combined with other features and falls back to interpreted mode).
+    """
+    la, lo = F.col(lat), F.col(lon)
+    qf, rf = _axial_fractional(la, lo, origin, edge)
+    valid = la.isNotNull() & lo.isNotNull() & (F.abs(la) <= 90) & (F.abs(lo) <= 180)
+    d = df.withColumns({"_cq": qf, "_cr": rf, "_cv": valid})
+    d = d.withColumn("_cs", -F.col("_cq") - F.col("_cr"))
+    d = d.withColumns({"_rq": F.round("_cq", 0), "_rr": F.round("_cr", 0), "_rs": F.round("_cs", 0)})
+    d = d.withColumns({"_dq": F.abs(F.col("_rq") - F.col("_cq")), "_dr": F.abs(F.col("_rr") - F.col("_cr")),
+                       "_ds": F.abs(F.col("_rs") - F.col("_cs"))})
+    first = (F.col("_dq") > F.col("_dr")) & (F.col("_dq") > F.col("_ds"))
+    q = F.when(first, -F.col("_rr") - F.col("_rs")).otherwise(F.col("_rq")).cast("bigint")
+    r = F.when(first, F.col("_rr")).when(F.col("_dr") > F.col("_ds"), -F.col("_rq") - F.col("_rs")) \
+        .otherwise(F.col("_rr")).cast("bigint")
+    d = d.withColumns({"_q": q, "_r": r})
+    d = d.withColumn(out, F.when(F.col("_cv"), cell_id(F.col("_q"), F.col("_r"))))
+    return d.drop("_cq", "_cr", "_cv", "_cs", "_rq", "_rr", "_rs", "_dq", "_dr", "_ds", "_q", "_r")
+
+
 def pseudo_cell(lat="lat", lon="lon") -> Column:
     """Fallback cell key ``round(lat,3)_round(lon,3)`` (no grid available).
 
@@ -126,13 +153,17 @@ def cell_center(q: Column, r: Column, origin=(P.CITY_CENTER_LAT, P.CITY_CENTER_L
                     (F.lit(origin[1]) + x / F.lit(KX)).alias("lon"))
 
 
+def disk_offset_list(k: int = 1, include_center: bool = True) -> list[tuple[int, int]]:
+    """Axial offsets (dq, dr) within k rings."""
+    return [(a, b) for a in range(-k, k + 1) for b in range(-k, k + 1)
+            if abs(a + b) <= k and (include_center or (a, b) != (0, 0))]
+
+
 def disk_offsets(k: int = 1, include_center: bool = True) -> Column:
-    """array<struct<dq, dr>> of axial offsets within k rings (SQL sequence)."""
-    rng = F.sequence(F.lit(-k), F.lit(k))
-    pairs = F.flatten(F.transform(rng, lambda a: F.transform(
-        rng, lambda b: F.struct(a.cast("bigint").alias("dq"), b.cast("bigint").alias("dr")))))
-    return F.filter(pairs, lambda p: (F.abs(p["dq"] + p["dr"]) <= k) & (
-        F.lit(True) if include_center else ((p["dq"] != 0) | (p["dr"] != 0))))
+    """array<struct<dq, dr>> literal of the axial offsets within k rings
+    (3k(k+1)+1 entries; a constant, so it folds away in codegen)."""
+    return F.array(*[F.struct(F.lit(a).cast("bigint").alias("dq"), F.lit(b).cast("bigint").alias("dr"))
+                     for a, b in disk_offset_list(k, include_center)])
 
 
 def cell_boundary(q: Column, r: Column, origin=(P.CITY_CENTER_LAT, P.CITY_CENTER_LON)) -> Column:

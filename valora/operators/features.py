@@ -24,11 +24,14 @@ def price_per_sqft(df: DataFrame) -> DataFrame:
 
 
 def distance_features(df: DataFrame) -> DataFrame:
-    d = geo.distance_to_center()
-    return df.withColumns({
-        "distance_to_downtown_km": d,
-        "distance_to_nearest_bart_km": geo.distance_to_nearest_station(),
-    })
+    """Distance to the centre and to the nearest station.  The 8 station
+    distances are separate projected columns before ``least`` so the
+    generated code stays small."""
+    out = df.withColumn("distance_to_downtown_km", geo.distance_to_center())
+    tmp = [f"_st{i}" for i in range(len(P.STATIONS))]
+    out = out.withColumns({t: geo.haversine_km("lat", "lon", F.lit(a), F.lit(b))
+                           for t, (_, a, b) in zip(tmp, P.STATIONS)})
+    return out.withColumn("distance_to_nearest_bart_km", F.least(*[F.col(t) for t in tmp])).drop(*tmp)
 
 
 def zip_price_tiers(df: DataFrame, q: int = 5) -> DataFrame:

@@ -22,7 +22,7 @@ LAG_COLS = ["h3_median_ppsf", "h3_neighbor_median_ppsf", "h3_listing_density",
 
 
 def add_cell_index(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    return df.withColumn("h3_index", geo.cell_index(lat, lon))
+    return geo.with_cell(df, lat, lon, "h3_index")
 
 
 def add_cell_numeric(df: DataFrame) -> DataFrame:

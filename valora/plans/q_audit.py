@@ -1 +1,109 @@
-"""Queries."""
+"""Audit roll-ups (A17, A18, S14) and streaming jobs (ST1-ST3)."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from valora.operators import audit as AU
+from valora.operators import memo as ME
+from valora.plans.catalog import register, with_views
+from valora.plans.q_text import _dim_sql
+from valora.session import ensure_checkpoint_dir
+from valora.sources.tables import ai_audit_log, demand_feed
+from valora.streaming import jobs as ST
+
+COSTED = with_views("ai_audit_log").rstrip("\n") + f"""
+, costed AS (SELECT a.*, a.input_tokens / 1000 * coalesce(md.input_cost_1k, CAST(0.001 AS DOUBLE))
+    + a.output_tokens / 1000 * coalesce(md.output_cost_1k, CAST(0.002 AS DOUBLE)) AS cost_estimate
+  FROM ai_audit_log a LEFT JOIN {_dim_sql()} ON a.model = md.model)
+""".replace("\n, costed AS", ", costed AS", 1)
+
+
+def _costed(spark, sf):
+    return ME.estimate_cost(ai_audit_log(spark, sf), spark)
+
+
+@register("daily_ai_cost", COSTED + """
+SELECT strftime(CAST(timestamp AS DATE), '%Y-%m-%d') AS day, ROUND(coalesce(SUM(cost_estimate), 0), 8) AS total_cost
+FROM costed GROUP BY CAST(timestamp AS DATE)""")
+def q_daily_cost(spark, sf):
+    out = AU.daily_cost(_costed(spark, sf))
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"),
+                      F.round("total_cost", 8).alias("total_cost"))
+
+
+@register("ai_usage_stats", COSTED + """
+SELECT COUNT(*) AS total_calls,
+  coalesce(CASE WHEN COUNT(*) > 0 THEN SUM(CASE WHEN success THEN 1 ELSE 0 END) * CAST(100 AS DOUBLE) / COUNT(*) END, 0) AS success_rate,
+  ROUND(coalesce(SUM(cost_estimate), 0), 8) AS total_cost, ROUND(coalesce(AVG(latency_ms), 0), 6) AS avg_latency_ms,
+  coalesce(SUM(input_tokens), 0) AS total_input_tokens, coalesce(SUM(output_tokens), 0) AS total_output_tokens
+FROM costed WHERE timestamp >= (SELECT MAX(timestamp) FROM costed) - INTERVAL 7 DAY""")
+def q_usage_stats(spark, sf):
+    log = _costed(spark, sf)
+    now = log.agg(F.max("timestamp").alias("_now"))  # one row
+    recent = (log.crossJoin(F.broadcast(now))
+              .where(F.col("timestamp") >= F.col("_now") - F.expr("INTERVAL 7 DAYS")).drop("_now"))
+    out = AU.usage_stats(recent)
+    return out.select("total_calls", "success_rate", F.round("total_cost", 8).alias("total_cost"),
+                      F.round("avg_latency_ms", 6).alias("avg_latency_ms"),
+                      F.col("total_input_tokens").cast("bigint").alias("total_input_tokens"),
+                      F.col("total_output_tokens").cast("bigint").alias("total_output_tokens"))
+
+
+def _scratch(spark, name):
+    return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+@register("audit_append")
+def q_audit_append(spark, sf):
+    """Append the costed log in two batches to an audit table; read it back."""
+    path = _scratch(spark, "audit_table")
+    log = _costed(spark, sf)
+    AU.append(log.where(F.col("id") % 2 == 0), path)
+    AU.append(log.where(F.col("id") % 2 == 1), path)
+    return spark.read.parquet(path)
+
+
+@register("audit_rollup_stream")
+def q_audit_stream(spark, sf):
+    base = _scratch(spark, "audit")
+    src = f"{base}/source"
+    AU.conform(_costed(spark, sf)).write.parquet(src)
+    stream = ST.read_stream(spark, src, AU.AUDIT_SCHEMA)
+    ST.run_available_now(ST.audit_rollup(stream), f"{base}/sink", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/sink")
+
+
+@register("listing_feed_dedupe_stream")
+def q_feed_stream(spark, sf):
+    base = _scratch(spark, "feed")
+    src = f"{base}/source"
+    feed = demand_feed(spark, sf).withColumn(
+        "ingested_at", F.timestamp_seconds(F.lit(1_735_689_600) + F.col("id")))
+    feed.write.parquet(src)
+    stream = ST.read_stream(spark, src, feed.schema)
+    ST.run_available_now(ST.feed_dedupe(stream), f"{base}/sink", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/sink")
+
+
+@register("listing_scoring_stream")
+def q_scoring_stream(spark, sf):
+    from valora.operators import spatial as SP
+    from valora.plans.q_ml import _model
+    res, feats = _model(spark, sf)
+    store = SP.cell_feature_store(feats)
+    base = _scratch(spark, "scoring")
+    src = f"{base}/source"
+    # new listings = the feature rows minus the cell-level lags (re-attached
+    # from the store by the stream-static join)
+    cols = [c for c in feats.columns if c not in ("h3_index", "h3_median_ppsf", "h3_listing_density",
+                                                  "price_per_sqft")]
+    feats.select(*cols).write.parquet(src)
+    stream = ST.read_stream(spark, src, feats.select(*cols).schema)
+    scored = ST.scoring(stream, store, res.model)
+    ST.run_available_now(scored.select("id", "h3_index", "model_price", "price_delta", "valuation_status"),
+                         f"{base}/sink", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/sink")
