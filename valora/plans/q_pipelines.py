@@ -1 +1,234 @@
-"""Queries."""
+"""Source/sink queries (S1-S11, S13) and end-to-end pipelines."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from valora.operators import enrich as EN
+from valora.operators import features as FE
+from valora.operators import quality as QU
+from valora.operators import spatial as SP
+from valora.plans import sqlfrag as Q
+from valora.plans.catalog import register, with_views
+from valora.session import ensure_checkpoint_dir
+from valora.sources import io as IO
+from valora.sources.tables import listings, zip_dim
+
+LV = with_views("listings")
+LISTING_COLS = ["id", "lat", "lon", "price", "sqft", "bedrooms", "year_built", "zip_code",
+                "condition", "days_on_market"]
+
+
+def _scratch(spark, name):
+    return os.path.join(ensure_checkpoint_dir(spark), "io", f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+@register("read_listings_csv", LV + "SELECT * FROM listings")
+def q_read_csv(spark, sf):
+    path = _scratch(spark, "listings_csv")
+    IO.write_csv(listings(spark, sf), path)
+    return IO.read_listings_csv(spark, path)
+
+
+@register("read_listings_parquet", LV + "SELECT * FROM listings")
+def q_read_parquet(spark, sf):
+    path = _scratch(spark, "listings_parquet")
+    IO.write_parquet(listings(spark, sf), path, partition_by=None)
+    return IO.read_listings_parquet(spark, path).select(*LISTING_COLS)
+
+
+@register("source_priority", LV + "SELECT * FROM listings")
+def q_source_priority(spark, sf):
+    base = _scratch(spark, "sources")
+    IO.write_csv(listings(spark, sf), f"{base}/raw.csv")
+    return IO.source_priority(spark, [("parquet", f"{base}/preferred.parquet"), ("csv", f"{base}/raw.csv")])
+
+
+@register("write_parquet")
+def q_write_parquet(spark, sf):
+    path = _scratch(spark, "partitioned")
+    IO.write_parquet(listings(spark, sf), path, partition_by=["zip_code"])
+    return spark.read.parquet(path).where(F.col("zip_code") == "94107")  # partition pruning
+
+
+@register("write_csv")
+def q_write_csv(spark, sf):
+    path = _scratch(spark, "csv_out")
+    IO.write_csv(listings(spark, sf), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@register("sales_table", LV + """
+SELECT zip_code, ROUND(AVG(price / sqft), 0) AS price_per_sqft, COUNT(*) AS count
+FROM listings GROUP BY zip_code ORDER BY price_per_sqft DESC, zip_code LIMIT 5""")
+def q_sales_table(spark, sf):
+    IO.sales_table(listings(spark, sf), "sales", _scratch(spark, "sales"))
+    return IO.execute_sql(spark, """SELECT zip_code, ROUND(AVG(price / sqft), 0) AS price_per_sqft,
+        COUNT(*) AS count FROM sales GROUP BY zip_code ORDER BY price_per_sqft DESC, zip_code LIMIT 5""")
+
+
+def _batches(df):
+    """Bounded landing batches: one payload per (zip, id div 50)."""
+    return df.withColumn("_batch", F.floor(F.col("id") / 50))
+
+
+@register("parse_listing_payload_a", LV + """
+SELECT id, lat, lon, price, sqft, bedrooms, CAST(NULL AS DOUBLE) AS bathrooms, year_built, zip_code,
+  'ADDR-' || CAST(id AS VARCHAR) AS address, 'SINGLE_FAMILY' AS property_type, days_on_market FROM listings""")
+def q_payload_a(spark, sf):
+    ls = _batches(listings(spark, sf))
+    prop = F.struct(F.col("id").alias("zpid"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
+                    "price", F.col("sqft").alias("livingArea"), "bedrooms",
+                    F.col("year_built").alias("yearBuilt"),
+                    F.struct(F.col("zip_code").alias("zipcode"),
+                             F.concat(F.lit("ADDR-"), F.col("id").cast("string")).alias("streetAddress")).alias("address"),
+                    F.lit("SINGLE_FAMILY").alias("propertyType"), F.col("days_on_market").alias("daysOnZillow"))
+    payloads = ls.groupBy("zip_code", "_batch").agg(F.to_json(F.struct(F.collect_list(prop).alias("props"))).alias("payload"))
+    return IO.parse_payload_a(payloads)
+
+
+@register("parse_listing_payload_b", LV + """
+SELECT id, lat, lon, price, sqft, bedrooms, year_built, zip_code FROM listings""")
+def q_payload_b(spark, sf):
+    ls = _batches(listings(spark, sf))
+    prop = F.struct(F.col("id").alias("propertyId"),
+                    F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).alias("latLong"),
+                    F.struct(F.col("price").alias("amount")).alias("priceInfo"),
+                    F.struct(F.col("sqft").alias("amount")).alias("sqftInfo"),
+                    F.col("bedrooms").alias("beds"), F.col("year_built").alias("yearBuilt"),
+                    F.col("zip_code").alias("postalCode"))
+    payloads = ls.groupBy("zip_code", "_batch").agg(
+        F.to_json(F.struct(F.struct(F.collect_list(prop).alias("results")).alias("data"))).alias("payload"))
+    return IO.parse_payload_b(payloads)
+
+
+@register("read_market_stats", LV + """
+SELECT zip_code, median(price) AS MEDIAN_SALE_PRICE, ROUND(median(price / NULLIF(sqft, 0)), 6) AS MEDIAN_PPSF,
+  COUNT(*) AS HOMES_SOLD FROM listings WHERE zip_code IS NOT NULL GROUP BY zip_code""")
+def q_market_stats(spark, sf):
+    path = _scratch(spark, "market_stats")
+    st = EN.zip_market_stats(listings(spark, sf)).select(
+        "zip_code", F.col("median_sale_price").alias("MEDIAN_SALE_PRICE"),
+        F.round("median_ppsf", 6).alias("MEDIAN_PPSF"), F.col("homes_sold").alias("HOMES_SOLD"))
+    IO.write_csv(st, path)
+    return IO.read_market_stats(spark, path)
+
+
+_STATUS = [1, 1, 1, 1, 2, 30, 31, 40, 41, 42, 99]
+
+
+def _walk_sql():
+    st = "CASE " + " ".join(f"WHEN id % 11 = {i} THEN {s}" for i, s in enumerate(_STATUS)) + " END"
+    msgs = " ".join(f"WHEN {k} THEN '{v}'" for k, v in __import__("valora.params", fromlist=["x"]).WALKSCORE_STATUS.items())
+    return LV + f"""
+SELECT id,
+  CASE WHEN st = 1 THEN ws END AS walk_score,
+  CASE WHEN st = 1 AND id % 5 <> 0 THEN ws - 5 END AS transit_score,
+  CASE WHEN st = 1 THEN ws + 5 END AS bike_score,
+  'ws/' || CAST(id AS VARCHAR) AS ws_link,
+  CASE WHEN st = 1 THEN (CASE WHEN ws >= 90 THEN 'Walker''s Paradise' ELSE 'Very Walkable' END) END AS description,
+  CASE WHEN st <> 1 THEN coalesce(CASE st {msgs} END, 'Unknown status ' || CAST(st AS VARCHAR)) END AS error
+FROM (SELECT id, {st} AS st,
+  CAST(round_even(least(greatest(least(greatest(100.0 - {Q.dist_center()} * 8, 20.0), 95.0), 10.0), 100.0), 0) AS INTEGER) AS ws
+  FROM listings) x"""
+
+
+@register("parse_walkscore_payload", _walk_sql())
+def q_walkscore(spark, sf):
+    ws = FE.walk_scores(FE.distance_features(listings(spark, sf)))
+    st = F.element_at(F.array(*[F.lit(s) for s in _STATUS]), (F.col("id") % 11 + 1).cast("int"))
+    w = F.col("walk_score")
+    payload = F.to_json(F.struct(
+        st.alias("status"), w.alias("walkscore"),
+        F.when(w >= 90, F.lit("Walker's Paradise")).otherwise(F.lit("Very Walkable")).alias("description"),
+        F.concat(F.lit("ws/"), F.col("id").cast("string")).alias("ws_link"),
+        F.when(F.col("id") % 5 != 0, F.to_json(F.struct((w - 5).alias("score"), F.lit("Good Transit").alias("description"))))
+        .otherwise(F.lit("n/a")).alias("transit"),
+        F.to_json(F.struct((w + 5).alias("score"), F.lit("Bikeable").alias("description"))).alias("bike")))
+    out = IO.parse_walkscore(ws.select("id", payload.alias("payload")))
+    return out.select("id", "walk_score", "transit_score", "bike_score", "ws_link", "description", "error")
+
+
+@register("chunk_store_seed_clear")
+def q_chunk_store(spark, sf):
+    from valora.operators.text import ingest_text
+    from valora.sources.tables import table
+    path = _scratch(spark, "chunk_store")
+    d = table(spark, sf, "documents").withColumn(
+        "source_name", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    seed = ingest_text(d, source_col="source_name")
+    IO.seed_chunk_store(path, seed)
+    return IO.seed_chunk_store(path, seed)  # second seed adds nothing
+
+
+# ------------------------------------------------------------------ pipelines
+
+def run_etl(spark, sf, validate: bool = True):
+    """Source -> clean names -> critical checks -> impute -> schema
+    violations (side table) -> V2.2 + V3 features -> Parquet + sales table."""
+    base = _scratch(spark, "etl")
+    IO.write_csv(listings(spark, sf), f"{base}/raw.csv")
+    df = IO.source_priority(spark, [("parquet", f"{base}/preferred.parquet"), ("csv", f"{base}/raw.csv")])
+    df = QU.clean_column_names(df)
+    if validate:
+        QU.validate_critical_constraints(df)
+    df = QU.impute_condition(QU.impute_sqft(df))
+    violations = QU.schema_violations(df)
+    feats = SP.spatial_lags(FE.add_v2_features(df))
+    IO.write_parquet(feats, f"{base}/processed")
+    IO.write_parquet(violations, f"{base}/violations")
+    return IO.sales_table(spark.read.parquet(f"{base}/processed"), "sales")
+
+
+@register("run_etl")
+def q_run_etl(spark, sf):
+    return run_etl(spark, sf)
+
+
+@register("ingest_all")
+def q_ingest_all(spark, sf):
+    """Per-zip landed payloads of two feeds -> parse -> tag -> union ->
+    dedupe by address -> zip enrich -> ids 1..n."""
+    a = q_payload_a(spark, sf).where(F.col("id") % 2 == 0).withColumn("source", F.lit("feed_a"))
+    b = q_payload_b(spark, sf).where(F.col("id") % 2 == 1).withColumn("source", F.lit("feed_b"))
+    u = EN.union_sources(a, b).withColumnRenamed("id", "source_id")
+    d = EN.dedupe_keep_first(u, "address", order=("source", "source_id"))
+    e = EN.zip_enrich(d, zip_dim(spark, sf))
+    return EN.renumber_ids(e.withColumn("_ord", F.when(F.col("source") == "feed_a", 0).otherwise(1)
+                                        * F.lit(1 << 40) + F.col("source_id")), "_ord", "id").drop("_ord")
+
+
+def ensure_features(df):
+    """Add feature groups only when their columns are missing or all
+    NULL (one aggregate decides)."""
+    need_v2 = "distance_to_downtown_km" not in df.columns
+    if not need_v2:
+        need_v2 = df.agg(F.count("distance_to_downtown_km")).first()[0] == 0
+    if need_v2:
+        df = FE.add_v2_features(df)
+    if "h3_median_ppsf" not in df.columns:
+        df = SP.spatial_lags(df)
+    if "walk_score" not in df.columns:
+        df = FE.walk_scores(df)
+    return df
+
+
+@register("ensure_features")
+def q_ensure_features(spark, sf):
+    return ensure_features(QU.impute_condition(QU.impute_sqft(listings(spark, sf))))
+
+
+@register("feature_ranges", LV + f"""
+SELECT MIN(2025 - year_built) AS min_property_age, MAX(2025 - year_built) AS max_property_age,
+  ROUND(MIN({Q.dist_station()}), 6) AS min_bart_km, ROUND(MAX({Q.dist_station()}), 6) AS max_bart_km,
+  COUNT(*) AS rows_with_walk_score
+FROM listings""")
+def q_feature_ranges(spark, sf):
+    f = FE.walk_scores(FE.add_v2_features(listings(spark, sf)))
+    return f.agg(F.min("property_age").alias("min_property_age"), F.max("property_age").alias("max_property_age"),
+                 F.round(F.min("distance_to_nearest_bart_km"), 6).alias("min_bart_km"),
+                 F.round(F.max("distance_to_nearest_bart_km"), 6).alias("max_bart_km"),
+                 F.count("walk_score").alias("rows_with_walk_score"))
