@@ -1,0 +1,337 @@
+"""Hand-computed edge cases and brute-force cross-checks of the operators."""
+
+import itertools
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from valora import params as P
+from valora.functions import geo
+from valora.functions import text as TX
+from valora.operators import comps as CO
+from valora.operators import enrich as EN
+from valora.operators import memo as ME
+from valora.operators import metrics as MT
+from valora.operators import quality as QU
+from valora.operators import text as TO
+from valora.operators import valuation as VA
+from valora.operators import windows as WI
+
+
+def test_distance_to_center_is_zero_at_center(spark):
+    df = spark.createDataFrame([(1, 37.7749, -122.4194, 1e6), (2, 37.7599, -122.4284, 8e5),
+                                (3, 37.7849, -122.4094, 1.2e6)], "id int, lat double, lon double, price double")
+    out = {r.id: r.d for r in df.select("id", geo.distance_to_center().alias("d")).collect()}
+    assert out[1] == pytest.approx(0.0, abs=1e-12)
+    assert 1.0 < out[2] < 2.5 and 1.0 < out[3] < 2.0
+
+
+def test_hex_cells_round_trip(spark):
+    df = spark.range(200).select((F.lit(37.70) + F.col("id") * 0.0007).alias("lat"),
+                                 (F.lit(-122.5) + F.col("id") * 0.0009).alias("lon"))
+    ax = geo.cell_axial()
+    cells = df.select(ax.alias("a"), geo.cell_index().alias("c"))
+    back = cells.select("a", geo.cell_unpack("c").alias("b")).collect()
+    assert all(r.a.q == r.b.q and r.a.r == r.b.r for r in back)
+    # the centre of a cell maps back to the same cell
+    ctr = cells.select("c", geo.cell_center(F.col("a.q"), F.col("a.r")).alias("p"))
+    again = ctr.select("c", geo.cell_index(F.col("p.lat"), F.col("p.lon")).alias("c2")).collect()
+    assert all(r.c == r.c2 for r in again)
+    assert len(geo.disk_offset_list(1, False)) == 6 and len(geo.disk_offset_list(2)) == 19
+
+
+def test_impute_condition_age_bands(spark):
+    ages = [9, 10, 24, 25, 49, 50, 74, 75]
+    df = spark.createDataFrame([(i, P.CURRENT_YEAR - a, None) for i, a in enumerate(ages)],
+                               "id int, year_built int, condition int")
+    got = [r.condition for r in QU.impute_condition(df).orderBy("id").collect()]
+    assert got == [5, 4, 4, 3, 3, 2, 2, 1]
+
+
+def test_impute_sqft_zip_then_overall(spark):
+    df = spark.createDataFrame([(1, "a", 100.0), (2, "a", 300.0), (3, "a", None), (4, "b", None),
+                                (5, "c", 1000.0)], "id int, zip_code string, sqft double")
+    got = {r.id: (r.sqft, r.sqft_imputed) for r in QU.impute_sqft(df).collect()}
+    assert got[3] == (200.0, True)
+    assert got[4] == (300.0, True)  # zip b has no values -> overall median
+    assert got[1] == (100.0, False)
+
+
+def test_clean_column_names():
+    assert QU.clean_name("  Sale Price ($) ") == "sale_price"
+    assert QU.clean_name("A--B") == "a_b"
+
+
+def test_critical_constraints_raise(spark):
+    df = spark.createDataFrame([(i, -1.0 if i % 3 == 0 else 5.0, 2000) for i in range(30)],
+                               "id int, price double, year_built int")
+    with pytest.raises(QU.NegativePriceError) as e:
+        QU.validate_critical_constraints(df)
+    assert "[0, 3, 6, 9, 12, 15, 18, 21, 24, 27]" in str(e.value)
+    ok = spark.createDataFrame([(1, None, 2030)], "id int, price double, year_built int")
+    with pytest.raises(QU.FutureYearBuiltError):
+        QU.validate_critical_constraints(ok)
+
+
+def test_ppe_boundary_and_zero_actuals(spark):
+    df = spark.createDataFrame([(100.0, 110.0), (100.0, 111.0), (0.0, 5.0), (200.0, 200.0)],
+                               "price double, prediction double")
+    r = MT.ppe(df).first()
+    assert r.ppe10 == pytest.approx(200 / 3)
+    assert MT.mdape(df).first().mdape == pytest.approx(10.0)
+
+
+def test_valuation_status_tie_is_overvalued(spark):
+    df = spark.createDataFrame([(100.0, 100.0), (100.0, 101.0)], "price double, model_price double")
+    got = [r.valuation_status for r in VA.valuation_status(df).collect()]
+    assert got == ["Overvalued", "Undervalued"]
+
+
+def test_payment_with_zero_rate(spark):
+    df = spark.createDataFrame([(1_000_000.0,)], "price double")
+    r = VA.monthly_payment(df, rate=0.0).first()
+    assert r.monthly_pi == pytest.approx(800_000 / 360)
+    r2 = VA.monthly_payment(df, rate=6.0).first()
+    mr = 0.06 / 12
+    assert r2.monthly_pi == pytest.approx(800_000 * mr * (1 + mr) ** 360 / ((1 + mr) ** 360 - 1))
+
+
+def test_rate_environment_bands(spark):
+    df = spark.createDataFrame([(4.99,), (5.0,), (6.0,), (7.0,)], "rate double")
+    got = [r.e for r in df.select(VA.rate_environment("rate").alias("e")).collect()]
+    assert got == ["favorable", "moderate", "elevated", "high"]
+
+
+def test_currency_short(spark):
+    df = spark.createDataFrame([(1_250_000.0,), (-350_000.0,), (80.0,), (0.0,)], "v double")
+    got = [r.s for r in df.select(VA.currency_short("v").alias("s")).collect()]
+    assert got == ["+$1.2M", "-$350k", "+$80", "$0"]
+
+
+CHUNK_CASES = ["short text", "x" * 500, "a" * 1200, ("word " * 90 + ". ") * 6 + "tail end",
+               "First sentence is here. " * 60, "no periods at all " * 100]
+
+
+def test_sentence_chunker_edge_cases(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CHUNK_CASES)], "doc_id long, text string")
+    got = TO.chunk_sentence(df).orderBy("doc_id", "chunk_index").toPandas()
+    assert got[got.doc_id == 0].empty  # <= 50 chars dropped
+    assert list(got[got.doc_id == 1].chunk) == ["x" * 500]
+    for i, t in enumerate(CHUNK_CASES):
+        assert list(got[got.doc_id == i].chunk) == TO.sentence_chunks(t)
+    for c in got.chunk:
+        assert 50 < len(c) <= P.CHUNK_SIZE
+
+
+def test_fixed_and_overlap_chunks_match_python(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CHUNK_CASES)], "doc_id long, text string")
+    fixed = TO.chunk_fixed(df, size=100, overlap=20)
+    got = fixed.orderBy("doc_id", "chunk_index").toPandas()
+    ov = TO.chunk_overlap(fixed, 20).orderBy("doc_id", "chunk_index").toPandas()
+    for i, t in enumerate(CHUNK_CASES):
+        want = TO._by_size(t, 100, 20)
+        assert list(got[got.doc_id == i].chunk) == want
+        assert list(ov[ov.doc_id == i].chunk) == TO._with_overlap(want, 20)
+
+
+def test_recursive_chunks_cover_text():
+    text = ("Para one sentence. " * 40 + "\n\n") * 5 + "word " * 600
+    chunks = TO.recursive_chunks(text, 300, 0)
+    assert all(len(c) <= 300 for c in chunks)
+    # separators at chunk boundaries are dropped; every letter survives in order
+    letters = lambda s: "".join(ch for ch in s if ch.isalpha())
+    assert letters("".join(chunks)) == letters(text)
+
+
+def test_memo_json_validation(spark):
+    rows = [("not json",), ('{"summary": "s", "investment_thesis": "t"}',),
+            ('{"summary": "s", "investment_thesis": "t", "key_risks": "one", "confidence_level": "HIGH"}',),
+            ('{"summary": "s", "investment_thesis": "t", "key_risks": ["a", "b"], '
+             '"upside_catalysts": ["u"], "confidence_level": "unsure"}',)]
+    out = ME.validate_memo_json(spark.createDataFrame(rows, "raw_response string")).collect()
+    assert [r.valid for r in out] == [False, False, True, True]
+    assert out[2].key_risks == ["one"] and out[2].confidence_level == "HIGH"
+    assert out[2].upside_catalysts == ["No catalysts identified"]
+    assert out[3].key_risks == ["a", "b"] and out[3].confidence_level == "medium"
+
+
+def test_unknown_model_defaults(spark):
+    df = spark.createDataFrame([("nope", 1000, 1000), ("gpt-4o-mini", 1000, 1000)],
+                               "model string, input_tokens long, output_tokens long")
+    got = {r.model: r.cost_estimate for r in ME.estimate_cost(df, spark).collect()}
+    assert got["nope"] == pytest.approx(0.001 + 0.002)
+    assert got["gpt-4o-mini"] == pytest.approx(0.00015 + 0.0006)
+
+
+def test_redaction_case_insensitive(spark):
+    df = spark.createDataFrame([("Please IGNORE previous notes and Disregard",)], "t string")
+    assert df.select(TX.redact("t")).first()[0] == "Please [REDACTED] notes and [REDACTED]"
+
+
+def test_risks_and_sentiment(spark):
+    df = spark.createDataFrame([("growth demand premium appreciation resilience",), ("nothing",)], "t string")
+    r = df.select(TX.sentiment("t").alias("s"), TX.risk_factors("t").alias("r")).collect()
+    assert r[0].s == "Bullish" and r[1].s == "Neutral"
+    assert r[1].r == ["Market uncertainty"]
+
+
+def test_skew_safe_rank_equals_window(spark):
+    # one hot group holds a third of the rows; ties and NULLs included
+    pdf = pd.DataFrame({"g": ["hot"] * 300 + [f"k{i % 20}" for i in range(600)],
+                        "v": [float(i % 97) if i % 31 else None for i in range(900)]})
+    df = spark.createDataFrame(pdf)
+    got = WI.count_lower_in_group(df.withColumn("rid", F.monotonically_increasing_id()), ["g"], "v")
+    w = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_last())
+    ref = got.withColumn("ref", F.when(F.col("v").isNull(), None).otherwise(F.rank().over(w) - 1)) \
+        .withColumn("n_ref", F.count(F.lit(1)).over(Window.partitionBy("g")))
+    bad = ref.where((F.col("v").isNotNull() & (F.col("n_lower") != F.col("ref")))
+                    | (F.col("group_n") != F.col("n_ref"))).count()
+    assert bad == 0
+
+
+def test_global_row_number(spark):
+    df = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
+    out = WI.global_row_number(df, "k").orderBy("k").toPandas()
+    assert list(out.row_id) == list(range(1, len(out) + 1))
+
+
+def test_dedupe_keeps_null_addresses(spark):
+    df = spark.createDataFrame([(1, "A", "feed_b"), (2, "A", "feed_a"), (3, None, "feed_a"),
+                                (4, None, "feed_b")], "id int, address string, source string")
+    got = sorted(r.id for r in EN.dedupe_keep_first(df).collect())
+    assert got == [2, 3, 4]
+
+
+def test_comps_match_brute_force(spark):
+    rng = np.random.default_rng(1)
+    n = 400
+    pdf = pd.DataFrame({"id": np.arange(n), "zip_code": rng.choice(["a", "b"], n, p=[0.8, 0.2]),
+                        "sqft": rng.uniform(800, 3000, n).round(0), "bedrooms": rng.integers(1, 5, n),
+                        "year_built": rng.integers(1950, 2020, n), "price": rng.uniform(5e5, 2e6, n)})
+    got = CO.find_comps(spark.createDataFrame(pdf)).toPandas()
+    want = []
+    for t in pdf.itertuples():
+        c = pdf[(pdf.zip_code == t.zip_code) & (pdf.id != t.id)]
+        m = c[(c.sqft >= t.sqft * 0.8) & (c.sqft <= t.sqft * 1.2) & (abs(c.bedrooms - t.bedrooms) <= 1)
+              & (abs(c.year_built - t.year_built) <= 15)]
+        use = m if len(m) else c
+        s = (abs(use.sqft - t.sqft) / t.sqft * 0.5 + abs(use.bedrooms - t.bedrooms) * 0.3
+             + abs(use.year_built - t.year_built) / 100 * 0.2).round(10)
+        best = use.assign(s=s).sort_values(["s", "id"]).head(5)
+        want += [(t.id, int(i)) for i in best.id]
+    assert sorted(zip(got.target_id, got.comp_id)) == sorted(want)
+
+
+def test_vector_topk_matches_numpy(spark):
+    from valora.operators import retrieval as RE
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(300, 8))
+    cand = spark.createDataFrame([(i, vecs[i].tolist(), int(i % 3)) for i in range(300)],
+                                 "vec_id long, embedding array<double>, label int")
+    qs = rng.normal(size=(4, 8))
+    q = spark.createDataFrame([(i, qs[i].tolist(), i % 3) for i in range(4)], "query_id long, qvec array<double>, label int")
+    got = RE.vector_topk(cand, q, k=3, filter_col="label").orderBy("query_id", "rank").toPandas()
+    for i in range(4):
+        d = ((vecs - qs[i]) ** 2).sum(axis=1)
+        d[np.arange(300) % 3 != i % 3] = np.inf
+        assert list(got[got.query_id == i].cand_id) == list(np.argsort(d, kind="stable")[:3])
+
+
+def test_isolation_forest_flags_planted_outliers(spark):
+    rng = np.random.default_rng(0)
+    n = 2000
+    pdf = pd.DataFrame({"id": np.arange(n), "price": rng.normal(1e6, 1e5, n),
+                        "sqft": rng.normal(2000, 200, n), "bedrooms": rng.integers(2, 4, n)})
+    pdf.loc[:9, "price"] = 2e7
+    pdf.loc[:9, "sqft"] = 200
+    from valora.operators import iforest as IF
+    out = IF.isolation_forest(spark.createDataFrame(pdf)).toPandas()
+    assert abs(out.is_outlier.mean() - 0.05) < 0.01
+    assert out[out.id < 10].is_outlier.all()
+
+
+def test_treeshap_additive_and_equals_brute_force(spark, tmp_path):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.ml import Pipeline
+    from valora.operators import treeshap as TS
+    rng = np.random.default_rng(5)
+    n = 400
+    X = rng.uniform(0, 10, size=(n, 3))
+    y = 3 * X[:, 0] + np.where(X[:, 1] > 5, 10, 0) + X[:, 0] * X[:, 2] + rng.normal(0, 0.1, n)
+    pdf = pd.DataFrame({"id": np.arange(n), "a": X[:, 0], "b": X[:, 1], "c": X[:, 2], "price": y})
+    df = spark.createDataFrame(pdf)
+    feats = ["a", "b", "c"]
+    model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"),
+                             GBTRegressor(featuresCol="features", labelCol="price", maxIter=5,
+                                          maxDepth=3, subsamplingRate=0.8, seed=1)]).fit(df)
+    trees, w = TS.load_trees(spark, model, str(tmp_path / "gbt"))
+    Xs = X[:12]
+    pred, base, phi = TS.explain_arrays(trees, w, Xs)
+    ref = model.transform(df.limit(12)).orderBy("id").toPandas().prediction.to_numpy()
+    assert np.allclose(pred, ref, rtol=1e-9)
+    assert np.allclose(base + phi.sum(axis=1), pred, rtol=1e-9)
+
+    def cond_exp(t, node, x, S):
+        f = t["feature"][node]
+        if f < 0:
+            return t["value"][node]
+        lft, rgt = t["left"][node], t["right"][node]
+        if f in S:
+            return cond_exp(t, lft if x[f] <= t["thr"][node] else rgt, x, S)
+        c = t["cover"][node]
+        return (t["cover"][lft] * cond_exp(t, lft, x, S) + t["cover"][rgt] * cond_exp(t, rgt, x, S)) / c
+
+    m = 3
+    for r in range(3):
+        x = Xs[r]
+        for i in range(m):
+            tot = 0.0
+            others = [j for j in range(m) if j != i]
+            for k in range(m):
+                for S in itertools.combinations(others, k):
+                    wgt = math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)
+                    v = sum(wt * (cond_exp(t, t["root"], x, set(S) | {i}) - cond_exp(t, t["root"], x, set(S)))
+                            for t, wt in zip(trees, w))
+                    tot += wgt * v
+            assert phi[r, i] == pytest.approx(tot, rel=1e-8, abs=1e-8)
+
+
+def test_walkscore_status_messages(spark):
+    from valora.sources import io as IO
+    rows = [('{"status": 1, "walkscore": 88, "transit": {"score": 70}, "bike": "x"}',),
+            ('{"status": 41}',), ('{"status": 99}',)]
+    out = IO.parse_walkscore(spark.createDataFrame(rows, "payload string")).collect()
+    assert out[0].walk_score == 88 and out[0].transit_score == 70 and out[0].bike_score is None
+    assert out[1].error == P.WALKSCORE_STATUS[41] and out[1].walk_score is None
+    assert out[2].error == "Unknown status 99"
+
+
+def test_partition_count_independence(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+    q = E.queries()["spatial_lags"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        a = q(spark, SF_SMALL).orderBy("id").toPandas()
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        b = q(spark, SF_SMALL).orderBy("id").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    pd.testing.assert_frame_equal(a, b)
+
+
+def test_audit_stream_equals_batch(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+    stream = E.queries()["audit_rollup_stream"](spark, SF_SMALL).toPandas()
+    batch = E.queries()["daily_ai_cost"](spark, SF_SMALL).toPandas()
+    assert len(stream) == len(batch) - 1  # the last day is still open under the watermark
+    b = dict(zip(batch.day, batch.total_cost))
+    for r in stream.itertuples():
+        assert r.total_cost == pytest.approx(b[str(r.day)], rel=1e-9)

@@ -44,14 +44,22 @@ def map_projection(df: DataFrame, lat_col: str = "lat", lon_col: str = "lon",
     })
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """``%.{digits}f`` with round-half-even on exact binary ties, like
+    Python / C formatting (Java's formatter rounds ties up)."""
+    t = c * (10 ** digits)
+    tie = (t - F.floor(t)) == 0.5
+    return F.format_string(f"%.{digits}f", F.when(tie, F.bround(c, digits)).otherwise(c))
+
+
 def currency_short(v: Column | str, base: Column | None = None) -> Column:
     """``$1.2M`` / ``$350k`` / ``$80`` with sign; '+' for positive values
     that are not the baseline."""
     v = F.col(v) if isinstance(v, str) else v
     a = F.abs(v)
-    body = (F.when(a >= 1_000_000, F.concat(F.lit("$"), F.format_string("%.1f", a / 1_000_000), F.lit("M")))
-            .when(a >= 1000, F.concat(F.lit("$"), F.format_string("%.0f", a / 1000), F.lit("k")))
-            .otherwise(F.concat(F.lit("$"), F.format_string("%.0f", a))))
+    body = (F.when(a >= 1_000_000, F.concat(F.lit("$"), fixed(a / 1_000_000, 1), F.lit("M")))
+            .when(a >= 1000, F.concat(F.lit("$"), fixed(a / 1000, 0), F.lit("k")))
+            .otherwise(F.concat(F.lit("$"), fixed(a, 0))))
     plus = (v != 0) if base is None else ((v != base) & (v != 0))
     return (F.when(v < 0, F.concat(F.lit("-"), body))
             .when(plus, F.concat(F.lit("+"), body)).otherwise(body))
