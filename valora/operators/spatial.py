@@ -186,8 +186,9 @@ def nearest_property(df: DataFrame, points: DataFrame,
     found = None
     for i, edge in enumerate(levels):
         ax = geo.cell_axial("plat", "plon", edge=edge)
-        disk = (pending.select("point_id", "plat", "plon", ax.alias("_ax"),
-                               F.explode(geo.disk_offsets(1, True)).alias("_o"))
+        disk = (pending.select("point_id", "plat", "plon", ax.alias("_ax"))
+                .select("point_id", "plat", "plon", "_ax",
+                        F.explode(geo.disk_offsets(1, True)).alias("_o"))
                 .select("point_id", "plat", "plon",
                         geo.pack_cell(F.col("_ax.q") + F.col("_o.dq"),
                                       F.col("_ax.r") + F.col("_o.dr")).alias("_cell")))

@@ -104,7 +104,10 @@ FROM (SELECT DISTINCT h3_index, q, r FROM lc) c,
 def q_cell_disk(spark, sf):
     cells = listings(spark, sf).select(geo.cell_index().alias("h3_index")).distinct()
     ax = geo.cell_unpack("h3_index")
-    return (cells.select("h3_index", ax.alias("_ax"), F.explode(geo.disk_offsets(1)).alias("_o"))
+    # the struct column is materialised before the generator: a struct built
+    # in the same select as an explode loses its field names
+    return (cells.select("h3_index", ax.alias("_ax"))
+            .select("h3_index", "_ax", F.explode(geo.disk_offsets(1)).alias("_o"))
             .select("h3_index", geo.cell_id(F.col("_ax.q") + F.col("_o.dq"),
                                             F.col("_ax.r") + F.col("_o.dr")).alias("disk_index")))
 
@@ -226,12 +229,12 @@ def q_neighbor_ppsf(spark, sf):
 agg AS (SELECT a.h3_index, AVG(b.m) AS neighborhood_avg_price, SUM(b.n) AS neighborhood_count
   FROM cm a JOIN cm b ON abs(b.q - a.q) <= 1 AND abs(b.r - a.r) <= 1
     AND abs((b.q - a.q) + (b.r - a.r)) <= 1 GROUP BY a.h3_index)
-SELECT l.id, ROUND(agg.neighborhood_avg_price, 4) AS neighborhood_avg_price,
+SELECT l.id, ROUND(agg.neighborhood_avg_price, 2) AS neighborhood_avg_price,
   CAST(agg.neighborhood_count AS BIGINT) AS neighborhood_count
 FROM lcp l LEFT JOIN agg ON l.h3_index = agg.h3_index""".replace("\n, cm AS", ", cm AS", 1))
 def q_neighborhood_stats(spark, sf):
     out = SP.neighborhood_stats(listings(spark, sf))
-    return out.select("id", F.round("neighborhood_avg_price", 4).alias("neighborhood_avg_price"),
+    return out.select("id", F.round("neighborhood_avg_price", 2).alias("neighborhood_avg_price"),
                       F.col("neighborhood_count").cast("bigint").alias("neighborhood_count"))
 
 
