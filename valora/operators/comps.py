@@ -47,7 +47,9 @@ def _top_n(pairs: DataFrame, n: int) -> DataFrame:
 def find_comps(df: DataFrame, n: int = 5, sqft_tol: float = 0.20, year_tol: int = 15,
                with_fallback: bool = True) -> DataFrame:
     """(target_id, comp_id, rank, similarity_score, comp_price, target_price, fallback)."""
-    base = df.where(F.col("zip_code").isNotNull())
+    from valora.session import stage
+    base = (df.where(F.col("zip_code").isNotNull())
+            .select("id", "zip_code", "sqft", "bedrooms", "year_built", "price"))
     t = _side(base, "t")
     c = _side(base, "c")
     c = c.withColumns({
@@ -78,15 +80,117 @@ def find_comps(df: DataFrame, n: int = 5, sqft_tol: float = 0.20, year_tol: int
     best = _top_n(matched, n).withColumn("fallback", F.lit(False))
     if not with_fallback:
         return _finish(best)
+    # the (<= n per target) best table has two consumers: the output and the
+    # unmatched-target anti join -- staged once
+    best = stage(best, "comps_best")
     # Targets without any match -> whole zip (not self), same score.
-    # Only those (rare) targets are joined on zip alone.
-    lonely = t.join(matched.select("t_id").distinct(), "t_id", "left_anti")
-    c0 = _side(base, "c")
-    zpairs = (lonely.join(c0, (lonely["t_zip"] == c0["c_zip"]) & (c0["c_id"] != lonely["t_id"])))
-    fb = _top_n(zpairs, n).withColumn("fallback", F.lit(True))
+    lonely = t.join(best.select("t_id"), "t_id", "left_anti")
+    fb = _top_n(_fallback_survivors(lonely, _side(base, "c"), n), n).withColumn("fallback", F.lit(True))
     return _finish(best.unionByName(fb))
 
 
+FALLBACK_BUCKETS = 256
+ROWS_PER_BUCKET = 50_000
+_SURVIVOR_SCHEMA = ("t_id long, t_zip string, t_sqft double, t_bedrooms int, t_year_built int, "
+                    "t_price double, c_id long, c_zip string, c_sqft double, c_bedrooms int, "
+                    "c_year_built int, c_price double")
+
+
+def _fallback_survivors(lonely: DataFrame, cands: DataFrame, n: int,
+                        buckets: int = FALLBACK_BUCKETS) -> DataFrame:
+    """Whole-zip search for unmatched targets without a zip self-join.
+
+    Candidates are spread over ``buckets`` hash buckets per zip; each
+    unmatched target is replicated to its zip's buckets (bounded factor).
+    Per (zip, bucket) group a numpy scorer keeps only the best n + 5
+    candidates per target (ties broken by the lower id), so a hot zip is
+    split over ``buckets`` tasks and no (target, candidate) table is
+    materialised.  The final exact top-n (rounded score, id) runs over
+    <= buckets * (n + 5) survivors per target.
+    """
+    keep = n + 5
+    common = ["_zip", "_bkt", "_role", "_id", "_sqft", "_beds", "_year", "_price"]
+    # only zips with an unmatched target; bucket count per zip from its size
+    # (one bucket per ``rows_per_bucket`` candidates, at most ``buckets``):
+    # a normal zip is one group, a hot zip is split
+    zips = lonely.select(F.col("t_zip").alias("c_zip")).distinct()
+    cz = cands.join(zips, "c_zip", "left_semi")
+    sizes = cz.groupBy("c_zip").agg(F.least(F.lit(buckets), F.greatest(F.lit(1), F.ceil(
+        F.count(F.lit(1)) / F.lit(ROWS_PER_BUCKET)))).cast("int").alias("_nb"))
+    c = cz.join(sizes, "c_zip").select(
+        F.col("c_zip").alias("_zip"),
+        F.pmod(F.xxhash64("c_id"), F.col("_nb")).cast("int").alias("_bkt"),
+        F.lit("c").alias("_role"), F.col("c_id").alias("_id"),
+        F.col("c_sqft").alias("_sqft"), F.col("c_bedrooms").alias("_beds"),
+        F.col("c_year_built").alias("_year"), F.col("c_price").alias("_price"))
+    t = lonely.join(sizes.withColumnRenamed("c_zip", "t_zip"), "t_zip").select(
+        F.col("t_zip").alias("_zip"),
+        F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_bkt"),
+        F.lit("t").alias("_role"), F.col("t_id").alias("_id"),
+        F.col("t_sqft").alias("_sqft"), F.col("t_bedrooms").alias("_beds"),
+        F.col("t_year_built").alias("_year"), F.col("t_price").alias("_price"))
+    both = t.select(*common).unionByName(c.select(*common))
+
+    def score(pdf):
+        import numpy as np
+        import pandas as pd
+
+        def empty():
+            return pd.DataFrame({
+                "t_id": np.array([], np.int64), "t_zip": np.array([], object),
+                "t_sqft": np.array([], np.float64), "t_bedrooms": np.array([], np.int32),
+                "t_year_built": np.array([], np.int32), "t_price": np.array([], np.float64),
+                "c_id": np.array([], np.int64), "c_zip": np.array([], object),
+                "c_sqft": np.array([], np.float64), "c_bedrooms": np.array([], np.int32),
+                "c_year_built": np.array([], np.int32), "c_price": np.array([], np.float64)})
+        tp = pdf[pdf["_role"] == "t"].reset_index(drop=True)
+        cp = pdf[(pdf["_role"] == "c")].dropna(subset=["_sqft", "_beds", "_year"]).reset_index(drop=True)
+        if len(tp) == 0 or len(cp) == 0:
+            return empty()
+        cs = cp["_sqft"].to_numpy(np.float64)
+        cb = cp["_beds"].to_numpy(np.float64)
+        cy = cp["_year"].to_numpy(np.float64)
+        cid = cp["_id"].to_numpy(np.int64)
+        ti_all, ci_all = [], []
+        step = max(1, 2_000_000 // len(cp))
+        for s0 in range(0, len(tp), step):
+            blk = tp.iloc[s0:s0 + step]
+            ts = blk["_sqft"].to_numpy(np.float64)[:, None]
+            tb = blk["_beds"].to_numpy(np.float64)[:, None]
+            ty = blk["_year"].to_numpy(np.float64)[:, None]
+            tid = blk["_id"].to_numpy(np.int64)
+            sc = np.abs(cs[None, :] - ts) / ts * 0.5 + np.abs(cb[None, :] - tb) * 0.3 \
+                + np.abs(cy[None, :] - ty) / 100 * 0.2
+            sc = np.where(cid[None, :] == tid[:, None], np.inf, sc)
+            kk = min(keep, sc.shape[1])
+            kth = np.partition(sc, kk - 1, axis=1)[:, kk - 1]
+            for r in range(len(blk)):
+                row = sc[r]
+                less = np.nonzero(row < kth[r])[0]
+                eq = np.nonzero(row == kth[r])[0]
+                eq = eq[np.argsort(cid[eq], kind="stable")][:kk - len(less)]  # ties: lowest ids
+                for j in np.concatenate([less, eq]):
+                    if np.isfinite(row[j]):
+                        ti_all.append(r + s0)
+                        ci_all.append(int(j))
+        if not ti_all:
+            return empty()
+        ti, ci = np.array(ti_all), np.array(ci_all)
+        zips = np.array([str(z) for z in tp["_zip"].to_numpy()[ti]], dtype=object)
+        return pd.DataFrame({
+            "t_id": tp["_id"].to_numpy()[ti].astype(np.int64), "t_zip": zips,
+            "t_sqft": tp["_sqft"].to_numpy()[ti].astype(np.float64),
+            "t_bedrooms": tp["_beds"].to_numpy()[ti].astype(np.int32),
+            "t_year_built": tp["_year"].to_numpy()[ti].astype(np.int32),
+            "t_price": tp["_price"].to_numpy()[ti].astype(np.float64),
+            "c_id": cid[ci], "c_zip": zips, "c_sqft": cs[ci],
+            "c_bedrooms": cp["_beds"].to_numpy()[ci].astype(np.int32),
+            "c_year_built": cp["_year"].to_numpy()[ci].astype(np.int32),
+            "c_price": cp["_price"].to_numpy()[ci].astype(np.float64)})
+
+    return both.groupBy("_zip", "_bkt").applyInPandas(score, _SURVIVOR_SCHEMA)
+
+
 def _finish(df: DataFrame) -> DataFrame:
     return df.select(F.col("t_id").alias("target_id"), F.col("c_id").alias("comp_id"),
                      F.col("rank").cast("bigint").alias("rank"),

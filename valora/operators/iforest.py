@@ -77,7 +77,7 @@ def _path_lengths(trees: list[dict], X: np.ndarray) -> np.ndarray:
             nxt = np.where(xv < t["threshold"][node], t["left"][node], t["right"][node])
             node = np.where(inner, nxt, node)
             depth = depth + inner
-        total += depth + np.array([c_factor(s) for s in t["size"][node]])
+        total += depth + t["c_leaf"][node]
     return total / len(trees)
 
 
@@ -116,7 +116,9 @@ def isolation_forest(df: DataFrame, features: list[str] | None = None, n_trees:
     trees = []
     for _, g in nodes.groupby("tree"):
         g = g.sort_values("node")
-        trees.append({k: g[k].to_numpy() for k in ("feature", "threshold", "left", "right", "size")})
+        t = {k: g[k].to_numpy() for k in ("feature", "threshold", "left", "right", "size")}
+        t["c_leaf"] = np.array([c_factor(x) for x in t["size"]], dtype=np.float64)  # per node, once
+        trees.append(t)
     cpsi = c_factor(psi)
 
     @F.pandas_udf("double")

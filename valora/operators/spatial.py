@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from valora.functions import geo
 from valora.operators import windows
 from valora.operators.features import price_per_sqft
+from valora.session import stage
 
 LAG_COLS = ["h3_median_ppsf", "h3_neighbor_median_ppsf", "h3_listing_density",
             "h3_price_percentile"]
@@ -142,12 +143,15 @@ def spatial_lags(df: DataFrame) -> DataFrame:
 
     As in the original, a row's own price is inside its cell statistics.
     """
-    df = _ensure_ppsf(df)
-    cells = cell_stats(df)
+    # the row table feeds four consumers (cell stats, rank buckets, bucket
+    # counts, the join back) and the joined table two (medians, output):
+    # both are staged once instead of re-deriving the rows per consumer
+    df = stage(_ensure_ppsf(df), "lag_rows")
+    cells = stage(cell_stats(df), "lag_cells")
     joined = df.join(cells.select("h3_index", "h3_median_ppsf", "h3_listing_density",
                                   "h3_median_price"), "h3_index", "left")
     joined = joined.join(neighbor_ppsf(cells), "h3_index", "left")
-    joined = cell_price_percentile(joined)
+    joined = stage(cell_price_percentile(joined), "lag_joined")
     return fill_with_median(joined, LAG_COLS)
 
 

@@ -59,8 +59,11 @@ def count_lower_in_group(df: DataFrame, group: list[str], value: str,
                          lower_col: str = "n_lower", size_col: str = "group_n",
                          buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add ``#rows in the same group with a strictly lower non-null value``
-    (NULL values count as never lower) and the group's total row count."""
-    tagged = _bucketed(df, group, value, buckets)
+    (NULL values count as never lower) and the group's total row count.
+    The bucketed rows feed two consumers (local ranks, bucket counts) and are
+    staged once."""
+    from valora.session import stage
+    tagged = stage(_bucketed(df, group, value, buckets), "rank_buckets")
     offs = _offsets(tagged, group)
     w = Window.partitionBy(*group, "_bkt").orderBy(F.col(value).asc_nulls_last())
     local = F.rank().over(w) - 1

@@ -57,7 +57,9 @@ def _scratch(spark, name):
     return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-@register("audit_append")
+@register("audit_append", COSTED + """
+SELECT id, timestamp, property_id, prompt_hash, model, input_tokens, output_tokens, cost_estimate,
+  success, CAST(NULL AS VARCHAR) AS error_message, latency_ms FROM costed""")
 def q_audit_append(spark, sf):
     """Append the costed log in two batches to an audit table; read it back."""
     path = _scratch(spark, "audit_table")

@@ -213,7 +213,30 @@ def q_monthly_payment(spark, sf):
                       F.round("total_monthly", 4).alias("total_monthly"))
 
 
-@register("affordability_text")
+def _afford_sql():
+    rate = P.CURRENT_RATES["30_year_fixed"]
+    one, ten = P.RATE_HISTORY["one_year_ago"], P.RATE_HISTORY["ten_year_avg"]
+    env = ("CASE WHEN r >= 7.0 THEN 'high' WHEN r >= 6.0 THEN 'elevated' "
+           "WHEN r >= 5.0 THEN 'moderate' ELSE 'favorable' END")
+    return L + f"""
+SELECT id, '**Interest Rate Environment: ' || upper(ri.sentiment) || '**' || chr(10)
+  || 'Current 30-Year Fixed: {rate:.2f}% (as of {P.CURRENT_RATES['last_updated']})' || chr(10)
+  || '- Year-over-Year: ' || printf('%+.2f%%', r - {one}) || ' (' || CASE WHEN r - {one} > 0 THEN 'up' ELSE 'down' END || ')' || chr(10)
+  || '- vs 10-Year Average: ' || printf('%+.2f%%', r - {ten}) || ' (' || CASE WHEN r - {ten} > 0 THEN 'above' ELSE 'below' END || ')'
+  || chr(10) || chr(10) || '**Monthly Payment Estimate** (20% down):' || chr(10) || '- Principal & Interest: $' || format('{{:,.0f}}', pi)
+  || chr(10) || '- Est. Taxes: $' || format('{{:,.0f}}', tax)
+  || chr(10) || '- Est. Insurance: $' || format('{{:,.0f}}', ins)
+  || chr(10) || '- **Total PITI: $' || format('{{:,.0f}}', pi + tax + ins)
+  || '/month**' || chr(10) || chr(10) || '**Rate Impact Assessment:**' || chr(10) || '- Buyer Impact: ' || ri.buyer_impact
+  || chr(10) || '- Investment Note: ' || ri.investment_note AS affordability_text
+FROM (SELECT id, CAST({rate} AS DOUBLE) AS r,
+  price * (1 - CAST(0.2 AS DOUBLE)) * (CAST({rate} AS DOUBLE) / 100 / 12 * pow(1.0 + CAST({rate} AS DOUBLE) / 100 / 12, CAST(360 AS DOUBLE)))
+    / (pow(1.0 + CAST({rate} AS DOUBLE) / 100 / 12, CAST(360 AS DOUBLE)) - 1) AS pi,
+  price * CAST(0.0115 AS DOUBLE) / 12 AS tax, price * CAST(0.003 AS DOUBLE) / 12 AS ins FROM listings) x
+JOIN {_impact_sql()} ON ri.environment = {env.replace('r >=', 'x.r >=')}"""
+
+
+@register("affordability_text", _afford_sql())
 def q_affordability_text(spark, sf):
     out = VA.affordability_text(listings(spark, sf).select("id", "price"), spark)
     return out.select("id", "affordability_text")

@@ -47,14 +47,18 @@ def q_source_priority(spark, sf):
     return IO.source_priority(spark, [("parquet", f"{base}/preferred.parquet"), ("csv", f"{base}/raw.csv")])
 
 
-@register("write_parquet")
+@register("write_parquet", LV + "SELECT * FROM listings WHERE zip_code = '94107'")
 def q_write_parquet(spark, sf):
     path = _scratch(spark, "partitioned")
     IO.write_parquet(listings(spark, sf), path, partition_by=["zip_code"])
-    return spark.read.parquet(path).where(F.col("zip_code") == "94107")  # partition pruning
+    # explicit schema: zip codes stay strings (no partition type inference);
+    # the zip filter prunes to one partition directory
+    return (spark.read.schema(IO.LISTING_FILE_SCHEMA).parquet(path)
+            .where(F.col("zip_code") == "94107"))
 
 
-@register("write_csv")
+@register("write_csv", LV + "SELECT " + ", ".join(
+    f"CAST({c} AS VARCHAR) AS {c}" for c in LISTING_COLS) + " FROM listings")
 def q_write_csv(spark, sf):
     path = _scratch(spark, "csv_out")
     IO.write_csv(listings(spark, sf), path)

@@ -56,3 +56,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
         pass
     return current
+
+
+def stage(df, name: str = "stage", spread: bool = False):
+    """Write a multi-use intermediate once and read it back.
+
+    The table goes to the cluster's shared ``spark.checkpoint.dir`` as
+    Parquet (columnar: later readers prune columns and push filters), which
+    cuts the lineage: every consumer scans the staged files instead of
+    re-running the upstream plan, and a lost executor only costs a re-read.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.parquet(path)
+    # ``spread``: a small staged table reads back as one split; spread it
+    # over the cluster's parallelism when a fan-out consumer (explode, join)
+    # follows.  Large tables already split into >= that many partitions.
+    if spread:
+        par = spark.sparkContext.defaultParallelism
+        if out.rdd.getNumPartitions() < par:
+            out = out.repartition(par)
+    return out
