@@ -83,8 +83,10 @@ def neighbor_ppsf(cells: DataFrame) -> DataFrame:
     cell table on (q, r), group by the centre cell.  Sum of densities 0 ->
     median of the neighbour medians; no occupied neighbour -> no row (NULL).
     """
-    ax = cells.select("h3_index", "h3_median_ppsf", "h3_listing_density",
-                      geo.cell_unpack("h3_index").alias("_ax"))
+    # the cell table feeds both sides of the self-join: staged once (it has
+    # one row per occupied cell)
+    ax = stage(cells.select("h3_index", "h3_median_ppsf", "h3_listing_density",
+                            geo.cell_unpack("h3_index").alias("_ax")), "nbr_cells")
     centres = ax.select(F.col("h3_index").alias("center"),
                         F.explode(geo.disk_offsets(1, include_center=False)).alias("_o"),
                         "_ax") \
@@ -106,7 +108,8 @@ def neighborhood_stats(df: DataFrame, target_col: str = "price", k: int = 1) ->
     df = _ensure_ppsf(df)
     cells = (df.where(F.col("h3_index").isNotNull()).groupBy("h3_index")
              .agg(F.avg(target_col).alias("_mean"), F.count(target_col).alias("_count")))
-    ax = cells.select("h3_index", "_mean", "_count", geo.cell_unpack("h3_index").alias("_ax"))
+    ax = stage(cells.select("h3_index", "_mean", "_count", geo.cell_unpack("h3_index").alias("_ax")),
+               "disk_cells")  # both sides of the self-join
     centres = ax.select(F.col("h3_index").alias("center"), "_ax",
                         F.explode(geo.disk_offsets(k, include_center=True)).alias("_o")) \
         .select("center", (F.col("_ax.q") + F.col("_o.dq")).alias("q"),
