@@ -3,9 +3,10 @@ zip market statistics; and listing-feed union / dedupe / renumbering."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valora.functions import stats as ST
 from valora import params as P
 from valora.operators import windows
 
@@ -49,8 +50,8 @@ def zip_market_stats(listings: DataFrame) -> DataFrame:
     """Per-zip market statistics table: median sale price, median $/sqft,
     homes sold."""
     return listings.where(F.col("zip_code").isNotNull()).groupBy("zip_code").agg(
-        F.median("price").alias("median_sale_price"),
-        F.median(F.col("price") / F.nullif(F.col("sqft"), F.lit(0.0))).alias("median_ppsf"),
+        ST.median("price").alias("median_sale_price"),
+        ST.median(F.col("price") / F.nullif(F.col("sqft"), F.lit(0.0))).alias("median_ppsf"),
         F.count(F.lit(1)).alias("homes_sold"))
 
 
@@ -73,10 +74,9 @@ def union_sources(*frames: DataFrame) -> DataFrame:
 def dedupe_keep_first(df: DataFrame, key: str = "address", order=("source", "id")) -> DataFrame:
     """First row per address (explicit order); NULL-address rows are all kept.
 
-    A ``row_number`` window over the address: an address group is one
-    property's duplicates across feeds (a handful of rows).  For skew safety a
-    hot key would go through ``min_by`` aggregation instead -- done here:
-    ``min_by(struct(all), order)`` per address is a partial aggregate.
+    ``min_by(struct(all columns), order)`` per address: a partial aggregate,
+    so even an address repeated across a third of the feed only ships one
+    partial row per task (no per-key window).
     """
     cols = df.columns
     keyed = df.where(F.col(key).isNotNull())
@@ -95,9 +95,3 @@ def renumber_ids(df: DataFrame, order_col: str, out_col: str = "id") -> DataFram
     if out_col in out.columns:
         out = out.drop(out_col)
     return out.withColumnRenamed(tmp, out_col)
-
-
-def first_per_key_window(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Reference-style ``row_number`` dedupe (kept for small inputs/tests)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from valora.functions import stats as ST
 from valora import params as P
 from valora.functions import geo
 
@@ -42,10 +43,10 @@ def zip_price_tiers(df: DataFrame, q: int = 5) -> DataFrame:
     lowest included); when edges collide, fall back to cutting the
     first-come ranks (``rank(method='first')``) into min(q, n) bins.
     """
-    med = df.groupBy("zip_code").agg(F.median("price").alias("zip_median")) \
+    med = df.groupBy("zip_code").agg(ST.median("price").alias("zip_median")) \
         .where(F.col("zip_code").isNotNull())
     probs = [i / q for i in range(0, q + 1)]
-    edges = med.agg(F.percentile("zip_median", probs).alias("_e"),
+    edges = med.agg(ST.percentile("zip_median", probs).alias("_e"),
                     F.count(F.lit(1)).alias("_n"))
     e = F.col("_e")
     distinct_edges = F.size(F.array_distinct(e)) == F.lit(q + 1)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from valora.functions import stats as ST
+
 DEFAULT_FEATURES = ["price", "sqft", "bedrooms", "price_per_sqft"]
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int"
 
@@ -93,7 +95,7 @@ def isolation_forest(df: DataFrame, features: list[str] | None = None, n_trees:
     if len(feats) < 2:
         return df.withColumns({"anomaly_score": F.lit(None).cast("double"), "is_outlier": F.lit(False)})
 
-    meds = df.agg(*[F.median(F.col(f).cast("double")).alias(f"_m_{f}") for f in feats])
+    meds = df.agg(*[ST.median(F.col(f).cast("double")).alias(f"_m_{f}") for f in feats])
     filled = df.crossJoin(F.broadcast(meds)).withColumns(
         {f"_x_{f}": F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}")) for f in feats}
     ).drop(*[f"_m_{f}" for f in feats])
@@ -127,6 +129,6 @@ def isolation_forest(df: DataFrame, features: list[str] | None = None, n_trees:
         return pd.Series(np.power(2.0, -_path_lengths(trees, X) / cpsi))
 
     scored = filled.withColumn("anomaly_score", score(*[F.col(c) for c in xcols])).drop(*xcols)
-    thr = scored.agg(F.percentile("anomaly_score", 1.0 - contamination).alias("_thr"))
+    thr = scored.agg(ST.percentile("anomaly_score", 1.0 - contamination).alias("_thr"))
     return (scored.crossJoin(F.broadcast(thr))
             .withColumn("is_outlier", F.col("anomaly_score") > F.col("_thr")).drop("_thr"))

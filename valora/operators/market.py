@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valora.functions import stats as ST
+
 
 def market_pulse(sales: DataFrame) -> DataFrame:
     """Days-on-market and volume summary in one scan (one output row)."""
@@ -68,7 +70,7 @@ def zip_summary(sales: DataFrame, zip_codes: DataFrame | None = None) -> DataFra
     agg = sales.groupBy("zip_code").agg(
         F.count(F.lit(1)).alias("count"),
         (F.round(F.sum("price"), 2) / F.count("price")).alias("avg_price"),
-        F.median("price").alias("median_price"),
+        ST.median("price").alias("median_price"),
         (F.round(F.sum("sqft"), 2) / F.count("sqft")).alias("avg_sqft"),
         F.avg(F.col("price") / F.col("sqft")).alias("avg_price_per_sqft"),
     )

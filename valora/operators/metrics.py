@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from valora.functions import stats as ST
+
 
 def _ape(y: str, p: str):
     return F.abs((F.col(y) - F.col(p)) / F.col(y))
@@ -22,7 +24,7 @@ def mdape(df: DataFrame, y: str = "price", p: str = "prediction", approx: bool =
     """Median absolute percentage error x100 (y = 0 dropped)."""
     d = df.where(F.col(y) != 0)
     e = _ape(y, p) * 100
-    m = F.percentile_approx(e, 0.5, 10000) if approx else F.median(e)
+    m = F.percentile_approx(e, 0.5, 10000) if approx else ST.median(e)
     return d.agg(m.alias("mdape"))
 
 

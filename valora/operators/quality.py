@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from valora.functions import stats as ST
 from valora import params as P
 
 
@@ -176,7 +177,7 @@ def quantile_bounds(df: DataFrame, cols=("price", "sqft", "price_per_sqft")) ->
     """p05 / p95 (linear interpolation) per column, one row."""
     out = []
     for c in cols:
-        out.append(F.percentile(c, [0.05, 0.95]).alias(f"_{c}"))
+        out.append(ST.percentile(c, [0.05, 0.95]).alias(f"_{c}"))
     row = df.agg(*out)
     return row.select(*[F.col(f"_{c}")[i].alias(f"{c}_{n}")
                         for c in cols for i, n in ((0, "p05"), (1, "p95"))])
@@ -237,7 +238,7 @@ def quality_report(df: DataFrame) -> DataFrame:
             # result independent of summation order for <= 6-decimal data
             aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
                      (F.round(F.sum(x), 6) / F.count(x)).alias(f"{c}__mean"),
-                     F.median(x).alias(f"{c}__median"),
+                     ST.median(x).alias(f"{c}__median"),
                      F.stddev_samp(x).alias(f"{c}__std")]
     wide = df.agg(*aggs)
     dtypes = dict(df.dtypes)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from valora.functions import stats as ST
 from valora.functions import geo
 from valora.operators import windows
 from valora.operators.features import price_per_sqft
@@ -51,11 +52,11 @@ def cell_stats(df: DataFrame) -> DataFrame:
     """Per cell: ppsf median/mean/std/count(non-null), price median/min/max."""
     df = _ensure_ppsf(df)
     return (df.where(F.col("h3_index").isNotNull()).groupBy("h3_index").agg(
-        F.median("price_per_sqft").alias("h3_median_ppsf"),
+        ST.median("price_per_sqft").alias("h3_median_ppsf"),
         F.avg("price_per_sqft").alias("h3_mean_ppsf"),
         F.stddev_samp("price_per_sqft").alias("h3_std_ppsf"),
         F.count("price_per_sqft").alias("h3_listing_density"),
-        F.median("price").alias("h3_median_price"),
+        ST.median("price").alias("h3_median_price"),
         F.min("price").alias("h3_min_price"),
         F.max("price").alias("h3_max_price"),
     ))
@@ -65,14 +66,14 @@ def cell_feature_store(df: DataFrame) -> DataFrame:
     """Per cell aggregate store used to score new listings quickly."""
     df = _ensure_ppsf(df)
     return (df.where(F.col("h3_index").isNotNull()).groupBy("h3_index").agg(
-        F.median("price_per_sqft").alias("median_ppsf"),
+        ST.median("price_per_sqft").alias("median_ppsf"),
         F.avg("price_per_sqft").alias("mean_ppsf"),
         F.stddev_samp("price_per_sqft").alias("std_ppsf"),
         F.count("price_per_sqft").alias("listing_count"),
-        F.median("price").alias("median_price"),
+        ST.median("price").alias("median_price"),
         F.avg("price").alias("mean_price"),
-        F.median("sqft").alias("median_sqft"),
-        F.median("bedrooms").alias("median_bedrooms"),
+        ST.median("sqft").alias("median_sqft"),
+        ST.median("bedrooms").alias("median_bedrooms"),
     ))
 
 
@@ -98,7 +99,7 @@ def neighbor_ppsf(cells: DataFrame) -> DataFrame:
     tot = F.sum("h3_listing_density")
     return (j.groupBy("center").agg(
         F.when(tot > 0, F.sum(F.col("h3_median_ppsf") * F.col("h3_listing_density")) / tot)
-        .otherwise(F.median("h3_median_ppsf")).alias("h3_neighbor_median_ppsf"))
+        .otherwise(ST.median("h3_median_ppsf")).alias("h3_neighbor_median_ppsf"))
         .withColumnRenamed("center", "h3_index"))
 
 
@@ -134,7 +135,7 @@ def cell_price_percentile(df: DataFrame) -> DataFrame:
 
 def fill_with_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """NULL -> column median (one 1-row aggregate, broadcast)."""
-    meds = df.agg(*[F.median(c).alias(f"_med_{c}") for c in cols])
+    meds = df.agg(*[ST.median(c).alias(f"_med_{c}") for c in cols])
     out = df.crossJoin(F.broadcast(meds))
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")))
