@@ -49,3 +49,11 @@ SELECT target_id, COUNT(*) AS n_comps, ROUND(SUM(comp_price), 2) / COUNT(comp_pr
 FROM ranked WHERE rank <= 5 GROUP BY target_id""")
 def q_comp_summary(spark, sf):
     return CO.comp_summary(CO.find_comps(QU.impute_sqft(listings(spark, sf))))
+
+
+@register("topk_per_target", IMPUTED + """
+SELECT target_id, comp_id, rank, similarity_score FROM ranked WHERE rank <= 3""")
+def q_topk_per_target(spark, sf):
+    """K2: best 3 comparables per target (NULL scores last, id tie-break)."""
+    out = CO.find_comps(QU.impute_sqft(listings(spark, sf)), n=3)
+    return out.select("target_id", "comp_id", "rank", "similarity_score")

@@ -373,3 +373,11 @@ def q_regression_metrics(spark, sf):
     out = MT.regression_metrics(_metrics_df(spark, sf), "price", "prediction")
     return out.select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"),
                       F.round("r2", 8).alias("r2"))
+
+
+@register("topk_groups", L + """
+SELECT zip_code, ROUND(AVG(price / sqft), 0) AS price_per_sqft, COUNT(*) AS count
+FROM listings GROUP BY zip_code ORDER BY price_per_sqft DESC, zip_code LIMIT 5""")
+def q_topk_groups(spark, sf):
+    """K1: groups ordered by a metric, top 5 (TakeOrderedAndProject)."""
+    return M.top_zips(listings(spark, sf), 5)

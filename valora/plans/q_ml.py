@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from valora import params as P
@@ -211,3 +212,32 @@ def q_memo_fields(spark, sf):
 @register("llm_prompt_rows")
 def q_llm_prompts(spark, sf):
     return ME.llm_prompt_rows(_memo_input(spark, sf)).select("id", "llm_prompt")
+
+
+@register("importance_sorted")
+def q_importance_sorted(spark, sf):
+    """K3: features by importance, descending, with their rank (<= #features rows)."""
+    res, _ = _model(spark, sf)
+    imp = ML.feature_importance(spark, res)
+    return imp.select("feature", "importance",
+                      F.row_number().over(Window.orderBy(F.desc("importance"), "feature")).alias("rank"))
+
+
+@register("memo_pipeline")
+def q_memo_pipeline(spark, sf):
+    """E5: explanations -> retrieved market context per zip (the static
+    record where nothing is retrieved) -> memo fields + analyst prompt."""
+    from valora.operators import retrieval as RE
+    from valora.sources.tables import table
+    res, feats = _model(spark, sf)
+    expl = _explained(spark, sf).select("id", "base_value", "prediction", "shap_values")
+    store = RE.build_chunk_store(table(spark, sf, "documents"))
+    ctx = RE.market_context_rag(listings(spark, sf), store)  # one row per listing zip
+    base = feats.select("id", "zip_code", "sqft", "bedrooms", "year_built", "condition")
+    j = (base.join(ctx, "zip_code", "left").join(expl, "id")
+         .withColumn("shap_sorted", TS.sorted_contributions())
+         .withColumnRenamed("prediction", "model_price"))
+    out = ME.llm_prompt_rows(ME.memo_fields(j))
+    return out.select("id", "model_price", "base_value", "price_diff_pct", "recommendation",
+                      "positive_drivers", "negative_drivers", "news_highlights", "risk_factors",
+                      "source_note", "llm_prompt")
