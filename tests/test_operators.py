@@ -360,3 +360,23 @@ def test_stage_cuts_lineage(spark):
     assert st.count() == 1000
     plan = st._jdf.queryExecution().optimizedPlan().toString()
     assert "Range" not in plan  # reads the staged files, not the upstream plan
+
+
+def test_treeshap_tables_equal_recursion():
+    from valora.operators import treeshap as TS
+    rng = np.random.default_rng(11)
+    # a hand-built depth-4 tree that splits twice on feature 0
+    t = {"feature": np.array([0, 1, 0, -1, -1, 2, -1, -1, -1]),
+         "thr": np.array([5.0, 3.0, 7.0, 0, 0, 1.0, 0, 0, 0]),
+         "left": np.array([1, 3, 5, -1, -1, 7, -1, -1, -1]),
+         "right": np.array([2, 4, 6, -1, -1, 8, -1, -1, -1]),
+         "cover": np.array([100.0, 40, 60, 25, 15, 35, 25, 20, 15]),
+         "value": np.array([0, 0, 0, 1.0, 2.0, 0, 3.0, 4.0, 5.0]), "root": 0}
+    X = rng.uniform(0, 10, size=(500, 3))
+    a = np.zeros_like(X)
+    b = np.zeros_like(X)
+    TS._tree_shap(t, X, a)
+    TS.prepare([t])
+    TS._tree_shap_tables(t, X, b)
+    assert np.allclose(a, b, rtol=1e-12, atol=1e-12)
+    assert np.allclose(TS._expected(t, 0) + b.sum(axis=1), TS._predict_tree(t, X))
