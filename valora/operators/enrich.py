@@ -40,10 +40,10 @@ def neighborhood_name(zip_col: str = "zip_code"):
 
 
 def zip_enrich(df: DataFrame, zip_dim: DataFrame) -> DataFrame:
-    """Left join of zip demographics (one row per zip).  The dimension is
-    keyed by zip code, so its size is bounded by the number of zip codes;
-    the broadcast hint is applied on that bound."""
-    return df.join(F.broadcast(zip_dim), "zip_code", "left")
+    """Left join of zip demographics (one row per zip).  No hint: AQE sees
+    the dimension's runtime size and broadcasts it when it is under
+    ``spark.sql.autoBroadcastJoinThreshold``, else keeps a shuffle join."""
+    return df.join(zip_dim, "zip_code", "left")
 
 
 def zip_market_stats(listings: DataFrame) -> DataFrame:

@@ -72,10 +72,10 @@ def zip_price_tiers(df: DataFrame, q: int = 5) -> DataFrame:
 
 
 def add_price_tier(df: DataFrame) -> DataFrame:
-    """Left join of the tier table (one row per zip: broadcast-sized by
-    construction), missing zip -> tier 3."""
+    """Left join of the tier table (one row per zip), missing zip -> tier 3.
+    The join strategy is left to AQE's runtime size check."""
     tiers = zip_price_tiers(df)
-    return (df.join(F.broadcast(tiers), "zip_code", "left")
+    return (df.join(tiers, "zip_code", "left")
             .withColumn("neighborhood_price_tier",
                         F.coalesce(F.col("neighborhood_price_tier"), F.lit(3)).cast("int")))
 
