@@ -100,8 +100,10 @@ def isolation_forest(df: DataFrame, features: list[str] | None = None, n_trees:
         {f"_x_{f}": F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}")) for f in feats}
     ).drop(*[f"_m_{f}" for f in feats])
     xcols = [f"_x_{f}" for f in feats]
-
-    n = df.count()
+    # the imputed rows feed the count, the tree samples and the scoring
+    from valora.session import stage
+    filled = stage(filled, "iforest_rows")
+    n = filled.count()
     psi = min(max_samples, n)
     rate = min(1.0, 3.0 * psi / max(n, 1))
     u = lambda t: (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), t), F.lit(1 << 40)) /
@@ -128,7 +130,10 @@ def isolation_forest(df: DataFrame, features: list[str] | None = None, n_trees:
         X = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])
         return pd.Series(np.power(2.0, -_path_lengths(trees, X) / cpsi))
 
-    scored = filled.withColumn("anomaly_score", score(*[F.col(c) for c in xcols])).drop(*xcols)
+    # scores feed the threshold percentile and the output: staged once so
+    # the trees are walked once per row
+    scored = stage(filled.withColumn("anomaly_score", score(*[F.col(c) for c in xcols])).drop(*xcols),
+                   "iforest_scores")
     thr = scored.agg(ST.percentile("anomaly_score", 1.0 - contamination).alias("_thr"))
     return (scored.crossJoin(F.broadcast(thr))
             .withColumn("is_outlier", F.col("anomaly_score") > F.col("_thr")).drop("_thr"))
