@@ -57,7 +57,9 @@ def find_comps(df: DataFrame, n: int = 5, sqft_tol: float = 0.20, year_tol: int
         "_sbin": F.floor(F.log(F.col("c_sqft")) / SQFT_BIN).cast("int"),
     })
     lo, hi = 1 - sqft_tol, 1 + sqft_tol
-    probes = t.withColumns({
+    # each target fans out to <= 27 probe keys: keep the fan-out parallel
+    from valora.session import spread_out
+    probes = spread_out(t).withColumns({
         "_pbeds": F.sequence(F.col("t_bedrooms") - 1, F.col("t_bedrooms") + 1),
         "_pyears": F.sequence(F.floor((F.col("t_year_built") - year_tol) / YEAR_BIN).cast("int"),
                               F.floor((F.col("t_year_built") + year_tol) / YEAR_BIN).cast("int")),

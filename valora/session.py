@@ -74,8 +74,13 @@ def stage(df, name: str = "stage", spread: bool = False):
     # ``spread``: a small staged table reads back as one split; spread it
     # over the cluster's parallelism when a fan-out consumer (explode, join)
     # follows.  Large tables already split into >= that many partitions.
-    if spread:
-        par = spark.sparkContext.defaultParallelism
-        if out.rdd.getNumPartitions() < par:
-            out = out.repartition(par)
-    return out
+    return spread_out(out) if spread else out
+
+
+def spread_out(df):
+    """Repartition round-robin to the cluster's default parallelism when a
+    (small) input arrives in fewer partitions -- used before a fan-out
+    (explode + join) so the expanded rows are not processed by one task.
+    Inputs that already have enough partitions are returned unchanged."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
