@@ -192,7 +192,16 @@ def q_run_etl(spark, sf):
     return run_etl(spark, sf)
 
 
-@register("ingest_all")
+@register("ingest_all", with_views("listings", "zip_dim") + """
+, u AS (SELECT zip_code, id AS source_id, lat, lon, price, sqft, bedrooms, CAST(NULL AS DOUBLE) AS bathrooms,
+    year_built, 'ADDR-' || CAST(id AS VARCHAR) AS address, 'SINGLE_FAMILY' AS property_type, days_on_market,
+    'feed_a' AS source FROM listings WHERE id % 2 = 0
+  UNION ALL
+  SELECT zip_code, id, lat, lon, price, sqft, bedrooms, NULL, year_built, NULL, NULL, NULL, 'feed_b'
+    FROM listings WHERE id % 2 = 1)
+SELECT u.*, z.city, z.county, z.state, z.population, z.population_density, z.median_household_income,
+  CAST(row_number() OVER (ORDER BY CASE WHEN u.source = 'feed_a' THEN 0 ELSE 1 END, u.source_id) AS BIGINT) AS id
+FROM u LEFT JOIN zip_dim z ON u.zip_code = z.zip_code""".replace("\n, u AS", ", u AS", 1))
 def q_ingest_all(spark, sf):
     """Per-zip landed payloads of two feeds -> parse -> tag -> union ->
     dedupe by address -> zip enrich -> ids 1..n."""
