@@ -187,9 +187,37 @@ def run_etl(spark, sf, validate: bool = True):
     return IO.sales_table(spark.read.parquet(f"{base}/processed"), "sales")
 
 
-@register("run_etl")
+def _etl_sql(extra: str = ""):
+    from valora.plans import q_spatial as QS
+    imp = """sqm AS (SELECT zip_code, median(sqft) AS m FROM listings WHERE zip_code IS NOT NULL GROUP BY zip_code),
+som AS (SELECT median(sqft) AS m FROM listings),
+li AS (SELECT l.id, l.lat, l.lon, l.price, coalesce(l.sqft, sqm.m, som.m) AS sqft, l.sqft IS NULL AS sqft_imputed,
+  l.bedrooms, l.year_built, l.zip_code,
+  CAST(coalesce(l.condition, CASE WHEN 2025 - l.year_built < 10 THEN 5 WHEN 2025 - l.year_built < 25 THEN 4
+    WHEN 2025 - l.year_built < 50 THEN 3 WHEN 2025 - l.year_built < 75 THEN 2 ELSE 1 END) AS INTEGER) AS condition
+  FROM listings l LEFT JOIN sqm ON l.zip_code = sqm.zip_code, som)"""
+    lc = f"lc AS {Q.with_cell_id('li')}"
+    ctes = ",\n".join([imp, QS.TIERS, lc, QS.LCP.strip(), QS.CELLS, QS.NB, QS.PCT, QS.LAGS])
+    return LV.rstrip("\n") + ",\n" + ctes + f"""
+SELECT li.id, li.sqft, li.sqft_imputed, li.condition, 2025 - li.year_built AS property_age,
+  ROUND({Q.dist_center('li.lat', 'li.lon')}, 6) AS distance_to_downtown_km,
+  CAST(coalesce(t.neighborhood_price_tier, 3) AS INTEGER) AS neighborhood_price_tier,
+  ROUND(coalesce(g.h3_median_ppsf, median(g.h3_median_ppsf) OVER ()), 6) AS h3_median_ppsf,
+  ROUND(coalesce(g.h3_neighbor_median_ppsf, median(g.h3_neighbor_median_ppsf) OVER ()), 6) AS h3_neighbor_median_ppsf,
+  ROUND(coalesce(g.h3_listing_density, median(g.h3_listing_density) OVER ()), 6) AS h3_listing_density,
+  ROUND(coalesce(g.h3_price_percentile, median(g.h3_price_percentile) OVER ()), 6) AS h3_price_percentile{extra}
+FROM li LEFT JOIN tiers t ON li.zip_code = t.zip_code JOIN lags g ON li.id = g.id"""
+
+
+@register("run_etl", _etl_sql())
 def q_run_etl(spark, sf):
-    return run_etl(spark, sf)
+    """E1 end to end; the processed table projected to its imputation,
+    V2.2 and V3 columns."""
+    out = run_etl(spark, sf)
+    r6 = lambda c: F.round(F.col(c), 6).alias(c)
+    return out.select("id", "sqft", "sqft_imputed", "condition", "property_age",
+                      r6("distance_to_downtown_km"), "neighborhood_price_tier",
+                      *[r6(c) for c in SP.LAG_COLS])
 
 
 @register("ingest_all", with_views("listings", "zip_dim") + """
@@ -229,9 +257,20 @@ def ensure_features(df):
     return df
 
 
-@register("ensure_features")
+def _walk_cols_sql():
+    b = f"least(greatest(100.0 - {Q.dist_center('li.lat', 'li.lon')} * 8, 20.0), 95.0)"
+    return (f",\n  CAST(round_even(least(greatest({b}, 10.0), 100.0), 0) AS INTEGER) AS walk_score"
+            f",\n  CAST(round_even(least(greatest({b} - 5, 0.0), 100.0), 0) AS INTEGER) AS transit_score"
+            f",\n  CAST(round_even(least(greatest({b} + 5, 10.0), 100.0), 0) AS INTEGER) AS bike_score")
+
+
+@register("ensure_features", _etl_sql(_walk_cols_sql()))
 def q_ensure_features(spark, sf):
-    return ensure_features(QU.impute_condition(QU.impute_sqft(listings(spark, sf))))
+    out = ensure_features(QU.impute_condition(QU.impute_sqft(listings(spark, sf))))
+    r6 = lambda c: F.round(F.col(c), 6).alias(c)
+    return out.select("id", "sqft", "sqft_imputed", "condition", "property_age",
+                      r6("distance_to_downtown_km"), "neighborhood_price_tier",
+                      *[r6(c) for c in SP.LAG_COLS], "walk_score", "transit_score", "bike_score")
 
 
 @register("feature_ranges", LV + f"""
