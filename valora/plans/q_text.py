@@ -118,7 +118,30 @@ def q_key_points(spark, sf):
 
 # ------------------------------------------------------------------ T1, T2, S12, T16 (rows)
 
-@register("chunk_sentence")
+def _sentence_sql(size: int = 500, overlap: int = 50, min_len: int = 50) -> str:
+    """Recursive CTE: each step cuts [start, start+size), moves the end back
+    to after the last '.' when it lies past half the window (not for the
+    final window), and restarts ``overlap`` chars before the end."""
+    half = size * 0.5
+    return f"""WITH RECURSIVE steps(doc_id, text, n, start, step) AS (
+  SELECT doc_id, text, length(text), 0, 0 FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, text, n, nxt_end - {overlap}, step + 1 FROM (
+    SELECT s.*, CASE WHEN start + {size} < n AND lp > {half} THEN start + lp + 1 ELSE start + {size} END AS nxt_end
+    FROM (SELECT *, CASE WHEN strpos(substring(text, start + 1, {size}), '.') = 0 THEN -1
+                         ELSE {size} - strpos(reverse(rpad(substring(text, start + 1, {size}), {size}, ' ')), '.') END AS lp
+          FROM steps) s) t
+  WHERE nxt_end - {overlap} < n
+),
+pieces AS (SELECT doc_id, step, {_strip_sql(f"substring(text, start + 1, CASE WHEN start + {size} < n AND lp > {half} THEN lp + 1 ELSE {size} END)")} AS chunk
+  FROM (SELECT *, CASE WHEN strpos(substring(text, start + 1, {size}), '.') = 0 THEN -1
+                       ELSE {size} - strpos(reverse(rpad(substring(text, start + 1, {size}), {size}, ' ')), '.') END AS lp
+        FROM steps) x)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS chunk_index, chunk
+FROM pieces WHERE length(chunk) > {min_len}"""
+
+
+@register("chunk_sentence", _sentence_sql())
 def q_chunk_sentence(spark, sf):
     return TO.chunk_sentence(docs(spark, sf))
 
