@@ -128,7 +128,24 @@ def q_cell_boundary(spark, sf):
                     r6(F.col("col.lat")).alias("lat"), r6(F.col("col.lon")).alias("lon")))
 
 
-@register("cell_geojson")
+def _geojson_sql():
+    lit = geo.sql_literal
+    clat = f"{lit(37.7749)} + ({lit(geo.EDGE)} * ({lit(1.5)} * r)) / {lit(geo.KY)}"
+    clon = f"{lit(-122.4194)} + ({lit(geo.EDGE)} * ({lit(geo.SQRT3)} * q + {lit(geo.SQRT3 / 2.0)} * r)) / {lit(geo.KX)}"
+    ang = f"radians({lit(60.0)} * i - {lit(30.0)})"
+    corner = (f"[ROUND(({clon}) + {lit(geo.EDGE)} * cos({ang}) / {lit(geo.KX)}, 7), "
+              f"ROUND(({clat}) + {lit(geo.EDGE)} * sin({ang}) / {lit(geo.KY)}, 7)]")
+    return _lv(LC) + f"""
+, cs AS (SELECT h3_index, q, r, ROUND(SUM(price), 2) / COUNT(price) AS value, COUNT(price) AS count
+  FROM lc WHERE h3_index IS NOT NULL GROUP BY h3_index, q, r),
+ring AS (SELECT h3_index, list({corner} ORDER BY i) AS pts FROM cs, range(0, 6) t(i) GROUP BY h3_index)
+SELECT cs.h3_index, cs.value, cs.count,
+  CAST(to_json({{'type': 'Feature', 'geometry': {{'type': 'Polygon', 'coordinates': [list_concat(ring.pts, [ring.pts[1]])]}},
+    'properties': {{'h3_index': cs.h3_index, 'value': cs.value, 'count': cs.count}}}}) AS VARCHAR) AS feature
+FROM cs JOIN ring ON cs.h3_index = ring.h3_index""".replace("\n, cs AS", ", cs AS", 1)
+
+
+@register("cell_geojson", _geojson_sql())
 def q_cell_geojson(spark, sf):
     return SP.cell_geojson(listings(spark, sf))
 
