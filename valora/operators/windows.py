@@ -5,11 +5,11 @@ holding a third of all rows becomes one straggler task (AQE splits skewed
 joins, not windows).  The helpers here compute the same exact ranks with
 bounded groups:
 
-1. per group, approximate quantile boundaries of ``v`` (one partial-aggregated
-   row per group, sketch size bounded by ``accuracy``);
-2. sub-bucket ``b = #(boundaries < v)``: every value in an earlier bucket is
-   strictly smaller, every value in a later bucket strictly larger, so ties
-   never straddle buckets and the split is exact;
+1. ordered value buckets from one global quantile sketch (bucket count
+   scales with the row count, boundaries assigned by binary search);
+2. every value in an earlier bucket is strictly smaller, every value in a
+   later bucket strictly larger, so ties never straddle buckets and the
+   split is exact;
 3. rank inside (group, bucket) with a window whose partitions are ~1/B of the
    group, plus the row count of earlier buckets (a window over the tiny
    (group, bucket) count table).
@@ -23,25 +23,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 32
+ROWS_PER_BUCKET = 1_000_000
+MIN_BUCKETS = 32
+MAX_BUCKETS = 65_536
 
 
-def _bucketed(df: DataFrame, group: list[str], value: str, buckets: int,
-              accuracy: int = 10000) -> DataFrame:
+def _bucketed(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
+    """Tag rows with an ordered bucket of ``value`` (ties share a bucket).
+
+    The bucket count follows the data size (about ``ROWS_PER_BUCKET`` rows per
+    bucket), the boundaries come from one global quantile sketch (a 1-row
+    aggregate; <= MAX_BUCKETS doubles reach the driver), and MLlib's
+    ``Bucketizer`` assigns buckets JVM-side by binary search.  Any monotone
+    bucketing keeps the ranks exact; the sketch only balances the buckets, so
+    a group holding a third of all rows is spread over about a third of them.
+    NULL values go to a bucket after all others.
+    """
+    import math
+
+    from pyspark.ml.feature import Bucketizer
+    if buckets is None:
+        n = df.count()
+        buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n / ROWS_PER_BUCKET)))
     probs = [i / buckets for i in range(1, buckets)]
-    gcols = group or []
-    if gcols:
-        bounds = df.groupBy(*gcols).agg(
-            F.percentile_approx(value, probs, accuracy).alias("_bounds"))
-        tagged = df.join(bounds, gcols, "left")
-    else:
-        bounds = df.agg(F.percentile_approx(value, probs, accuracy).alias("_bounds"))
-        tagged = df.crossJoin(F.broadcast(bounds))  # one row: size proven
-    v = F.col(value)
-    b = F.when(v.isNull(), F.lit(buckets)).otherwise(
-        F.size(F.filter(F.coalesce(F.col("_bounds"), F.array().cast("array<double>")),
-                        lambda x: x < v)))
-    return tagged.withColumn("_bkt", b.cast("int")).drop("_bounds")
+    v = F.col(value).cast("double")
+    row = df.agg(F.percentile_approx(v, probs, max(10_000, 10 * buckets)).alias("b")).first()
+    bounds = sorted({float(x) for x in (row["b"] or []) if x is not None})
+    splits = [float("-inf")] + bounds + [float("inf")]
+    if len(splits) < 3:
+        splits = [float("-inf"), 0.0, float("inf")]
+    tagged = df.withColumn("_bv", F.coalesce(v, F.lit(0.0)))
+    tagged = Bucketizer(splits=splits, inputCol="_bv", outputCol="_bd").transform(tagged)
+    return (tagged.withColumn("_bkt", F.when(F.col(value).isNull(), F.lit(len(splits)))
+                              .otherwise(F.col("_bd")).cast("int"))
+            .drop("_bv", "_bd"))
 
 
 def _offsets(tagged: DataFrame, group: list[str]) -> DataFrame:
@@ -57,13 +72,13 @@ def _offsets(tagged: DataFrame, group: list[str]) -> DataFrame:
 
 def count_lower_in_group(df: DataFrame, group: list[str], value: str,
                          lower_col: str = "n_lower", size_col: str = "group_n",
-                         buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                         buckets: int | None = None) -> DataFrame:
     """Add ``#rows in the same group with a strictly lower non-null value``
     (NULL values count as never lower) and the group's total row count.
     The bucketed rows feed two consumers (local ranks, bucket counts) and are
     staged once."""
     from valora.session import stage
-    tagged = stage(_bucketed(df, group, value, buckets), "rank_buckets")
+    tagged = stage(_bucketed(df, value, buckets), "rank_buckets")
     offs = _offsets(tagged, group)
     w = Window.partitionBy(*group, "_bkt").orderBy(F.col(value).asc_nulls_last())
     local = F.rank().over(w) - 1
@@ -75,14 +90,15 @@ def count_lower_in_group(df: DataFrame, group: list[str], value: str,
 
 
 def global_row_number(df: DataFrame, order_col: str, out_col: str = "row_id",
-                      buckets: int = 64) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """1..n in ``order_col`` order (unique key expected) without moving all
-    rows through one task.  The only single-partition step sorts ``buckets``
-    count rows."""
-    tagged = _bucketed(df, [], order_col, buckets)
+    rows through one task.  The only single-partition step sorts the bucket
+    count table (<= MAX_BUCKETS rows)."""
+    from valora.session import stage
+    tagged = stage(_bucketed(df, order_col, buckets), "rownum_buckets")  # two consumers
     offs = _offsets(tagged, [])
     w = Window.partitionBy("_bkt").orderBy(F.col(order_col).asc_nulls_last())
     return (tagged.withColumn("_local", F.row_number().over(w))
-            .join(F.broadcast(offs), ["_bkt"], "left")  # <= buckets+1 rows
+            .join(F.broadcast(offs), ["_bkt"], "left")  # <= MAX_BUCKETS + 2 rows
             .withColumn(out_col, (F.col("_before") + F.col("_local")).cast("bigint"))
             .drop("_bkt", "_local", "_before", "_group_n"))
