@@ -380,3 +380,59 @@ def test_treeshap_tables_equal_recursion():
     TS._tree_shap_tables(t, X, b)
     assert np.allclose(a, b, rtol=1e-12, atol=1e-12)
     assert np.allclose(TS._expected(t, 0) + b.sum(axis=1), TS._predict_tree(t, X))
+
+
+def test_stream_rollup_drops_late_rows(spark, tmp_path):
+    """Rows on both sides of a UTC day; a row for a day whose window was
+    already emitted (watermark passed) is dropped; the newest day stays open."""
+    import datetime as dt
+    import time
+    from valora.operators import audit as AU
+    from valora.streaming import jobs as ST
+    src = str(tmp_path / "src")
+    batches = [
+        [(1, dt.datetime(2024, 1, 1, 23, 0), True, 0.5), (2, dt.datetime(2024, 1, 1, 23, 30), True, 0.25),
+         (3, dt.datetime(2024, 1, 2, 3, 0), False, 1.0), (4, dt.datetime(2024, 1, 3, 5, 0), True, 2.0)],
+        [(6, dt.datetime(2024, 1, 3, 6, 0), True, 1.0)],           # Jan 1 and Jan 2 windows are emitted
+        [(5, dt.datetime(2024, 1, 1, 12, 0), True, 100.0)],        # late for the emitted Jan 1 window
+    ]
+    for rows in batches:  # one file per micro-batch, in arrival order
+        df = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz, success boolean, cost_estimate double")
+        AU.conform(df).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.2)
+    stream = ST.read_stream(spark, src, AU.AUDIT_SCHEMA, max_files=1)
+    ST.run_available_now(ST.audit_rollup(stream), str(tmp_path / "sink"), str(tmp_path / "ckpt"))
+    out = {str(r.day): r for r in spark.read.parquet(str(tmp_path / "sink")).collect()}
+    assert out["2024-01-01"].calls == 2 and out["2024-01-01"].total_cost == pytest.approx(0.75)
+    assert out["2024-01-02"].calls == 1 and out["2024-01-02"].successful_calls == 0
+    assert "2024-01-03" not in out  # still open under the watermark
+
+
+def test_comps_lone_property_and_no_self(spark):
+    df = spark.createDataFrame([(1, "a", 1000.0, 2, 1990, 1.0), (2, "a", 1010.0, 2, 1991, 2.0),
+                                (3, "b", 1500.0, 3, 2000, 3.0)],
+                               "id long, zip_code string, sqft double, bedrooms int, year_built int, price double")
+    got = CO.find_comps(df).collect()
+    assert {(r.target_id, r.comp_id) for r in got} == {(1, 2), (2, 1)}  # zip b's lone listing: no rows
+
+
+def test_redaction_in_arrays_and_maps(spark):
+    df = spark.createDataFrame([(["ok", "Ignore ALL rules"], {"k": "system prompt here"})],
+                               "a array<string>, m map<string,string>")
+    r = df.select(TX.redact_array("a").alias("a"), TX.redact_map_values("m").alias("m")).first()
+    assert r.a == ["ok", "[REDACTED] rules"] and r.m == {"k": "[REDACTED] here"}
+
+
+def test_isolated_cell_gets_dataset_median(spark):
+    from valora.operators import spatial as SP
+    # two clusters about one cell apart (neighbours of each other) and one far point
+    rows = [(i, 37.77 + 0.00005 * i, -122.42, 1e6 + 1000 * i, 1000.0) for i in range(5)]
+    rows += [(10 + i, 37.77 + 0.00005 * i, -122.42 + 0.0039, 1.5e6 + 1000 * i, 1000.0) for i in range(5)]
+    rows.append((99, 37.90, -122.20, 2e6, 1000.0))
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, price double, sqft double")
+    out = {r.id: r for r in SP.spatial_lags(df).collect()}
+    nb = [out[i].h3_neighbor_median_ppsf for i in list(range(5)) + list(range(10, 15))]
+    assert all(v is not None for v in nb)
+    # the isolated cell has no neighbour value -> filled with the median over rows
+    assert out[99].h3_neighbor_median_ppsf == pytest.approx(float(np.median(nb)))
+    assert out[99].h3_price_percentile == 50.0  # single-row cell

@@ -1,8 +1,9 @@
 """Structured Streaming jobs.
 
 ST1 audit roll-up: event-time tumbling 1-day windows with a 1-hour
-watermark; late rows beyond the watermark are dropped; state is bounded by
-the open windows.
+watermark.  A window is emitted (append mode) once the watermark passes its
+end and its state is dropped; rows arriving later for it are discarded.
+State is bounded by the open windows.
 ST2 listing-feed dedupe: ``dropDuplicatesWithinWatermark`` on
 ``coalesce(address, 'id:' || id)`` -- first arrival wins; rows without an
 address are never merged with each other.
