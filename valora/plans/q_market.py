@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from valora import params as P
+from valora.operators import enrich as EN
 from valora.operators import market as M
+from valora.operators import valuation as VA
 from valora.plans.catalog import register, with_views
-from valora.sources.tables import listings
+from valora.sources.tables import demand_feed, listings, table, zip_dim
 
 L = with_views("listings")
 
@@ -29,10 +32,6 @@ def q_top_zips(spark, sf):
 
 # ---------------------------------------------------------------- A1, A5, A14, A15, U2, P7
 
-from valora import params as P  # noqa: E402
-from valora.operators import enrich as EN  # noqa: E402
-from valora.operators import valuation as VA  # noqa: E402
-from valora.sources.tables import demand_feed, table, zip_dim  # noqa: E402
 
 
 def r6(c):
