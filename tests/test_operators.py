@@ -436,3 +436,11 @@ def test_isolated_cell_gets_dataset_median(spark):
     # the isolated cell has no neighbour value -> filled with the median over rows
     assert out[99].h3_neighbor_median_ppsf == pytest.approx(float(np.median(nb)))
     assert out[99].h3_price_percentile == 50.0  # single-row cell
+
+
+def test_market_pulse_dataframe_equals_sql(spark):
+    from tests.conftest import SF_SMALL
+    from valora.operators import market as M
+    from valora.sources.tables import listings
+    ls = listings(spark, SF_SMALL)
+    assert M.market_pulse(ls).first().asDict() == M.market_pulse_sql(spark, ls).first().asDict()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from valora.operators import comps as CO
 from valora.operators import quality as QU
