@@ -48,10 +48,9 @@ def distance_to_center(lat="lat", lon="lon", center=(P.CITY_CENTER_LAT, P.CITY_C
 
 
 def distance_to_nearest_station(lat="lat", lon="lon", stations=P.STATIONS) -> Column:
-    """Minimum distance to a literal station list: ``least`` of N haversines.
-
-    For a station *table* use ``nearest_station_join`` (broadcast + min).
-    """
+    """Minimum distance to a station list: ``least`` of N haversines, all
+    JVM-side in one projection.  A station table is small and fixed-size:
+    pass its (name, lat, lon) rows as ``stations``."""
     return F.least(*[haversine_km(lat, lon, F.lit(s_lat), F.lit(s_lon))
                      for _, s_lat, s_lon in stations])
 
