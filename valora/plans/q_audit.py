@@ -79,16 +79,30 @@ def q_audit_stream(spark, sf):
     return spark.read.parquet(f"{base}/sink")
 
 
-@register("listing_feed_dedupe_stream")
+@register("listing_feed_dedupe_stream", with_views("demand_feed") + """
+SELECT id, address, source, price FROM (
+  SELECT *, row_number() OVER (PARTITION BY coalesce(address, 'id:' || CAST(id AS VARCHAR))
+                               ORDER BY source, id) AS rn FROM demand_feed) x WHERE rn = 1""")
 def q_feed_stream(spark, sf):
+    """Feeds land in arrival order (feed_a, then feed_b); inside a landing,
+    rows are hash-partitioned by the dedupe key and sorted by id, so each
+    key's duplicates arrive in id order.  First arrival wins."""
+    import time
     base = _scratch(spark, "feed")
     src = f"{base}/source"
     feed = demand_feed(spark, sf).withColumn(
         "ingested_at", F.timestamp_seconds(F.lit(1_735_689_600) + F.col("id")))
-    feed.write.parquet(src)
-    stream = ST.read_stream(spark, src, feed.schema)
+    key = F.coalesce(F.col("address"), F.concat(F.lit("id:"), F.col("id").cast("string")))
+    first_files = None
+    for name in ("feed_a", "feed_b"):
+        (feed.where(F.col("source") == name).repartition(4, key).sortWithinPartitions("id")
+         .write.mode("append").parquet(src))
+        if first_files is None:
+            first_files = len(spark.read.parquet(src).inputFiles())
+        time.sleep(1.1)  # distinct modification times: landings are read in order
+    stream = ST.read_stream(spark, src, feed.schema, max_files=first_files)
     ST.run_available_now(ST.feed_dedupe(stream), f"{base}/sink", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/sink")
+    return spark.read.parquet(f"{base}/sink").select("id", "address", "source", "price")
 
 
 @register("listing_scoring_stream")
