@@ -39,7 +39,8 @@ def q_daily_cost(spark, sf):
 SELECT COUNT(*) AS total_calls,
   coalesce(CASE WHEN COUNT(*) > 0 THEN SUM(CASE WHEN success THEN 1 ELSE 0 END) * CAST(100 AS DOUBLE) / COUNT(*) END, 0) AS success_rate,
   ROUND(coalesce(SUM(cost_estimate), 0), 8) AS total_cost, ROUND(coalesce(AVG(latency_ms), 0), 6) AS avg_latency_ms,
-  coalesce(SUM(input_tokens), 0) AS total_input_tokens, coalesce(SUM(output_tokens), 0) AS total_output_tokens
+  CAST(coalesce(SUM(input_tokens), 0) AS BIGINT) AS total_input_tokens,
+  CAST(coalesce(SUM(output_tokens), 0) AS BIGINT) AS total_output_tokens
 FROM costed WHERE timestamp >= (SELECT MAX(timestamp) FROM costed) - INTERVAL 7 DAY""")
 def q_usage_stats(spark, sf):
     log = _costed(spark, sf)
@@ -69,14 +70,25 @@ def q_audit_append(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("audit_rollup_stream")
+@register("audit_rollup_stream", COSTED + """
+SELECT strftime(CAST(timestamp AS DATE), '%Y-%m-%d') AS day, COUNT(*) AS calls,
+  CAST(SUM(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS successful_calls, ROUND(SUM(cost_estimate), 8) AS total_cost,
+  ROUND(AVG(latency_ms), 6) AS avg_latency_ms, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
+  CAST(SUM(output_tokens) AS BIGINT) AS output_tokens
+FROM costed GROUP BY CAST(timestamp AS DATE)
+HAVING CAST(timestamp AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(timestamp) FROM costed) - INTERVAL 1 HOUR""")
 def q_audit_stream(spark, sf):
+    """All landed files in one micro-batch; the following no-data batch
+    emits every day whose window end the watermark (max ts - 1 h) passed."""
     base = _scratch(spark, "audit")
     src = f"{base}/source"
     AU.conform(_costed(spark, sf)).write.parquet(src)
-    stream = ST.read_stream(spark, src, AU.AUDIT_SCHEMA)
+    stream = ST.read_stream(spark, src, AU.AUDIT_SCHEMA, max_files=1_000_000)
     ST.run_available_now(ST.audit_rollup(stream), f"{base}/sink", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/sink")
+    out = spark.read.parquet(f"{base}/sink")
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "calls", "successful_calls",
+                      F.round("total_cost", 8).alias("total_cost"),
+                      F.round("avg_latency_ms", 6).alias("avg_latency_ms"), "input_tokens", "output_tokens")
 
 
 @register("listing_feed_dedupe_stream", with_views("demand_feed") + """
