@@ -9,9 +9,19 @@ from tests.conftest import SF_SMALL
 ORACLE = E.oracle_sql()
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = E.queries()[name](spark, SF_SMALL).toPandas()
+    df = E.queries()[name](spark, SF_SMALL)
+    # column types agree with the oracle's
+    st = {f.name: SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in df.schema.fields}
+    dt = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    assert st == dt
+    sdf = df.toPandas()
     odf = duck.execute(ORACLE[name]).df()
     sc, sr = _rows(sdf)
     oc, orr = _rows(odf)
