@@ -65,6 +65,8 @@ def stage(df, name: str = "stage", spread: bool = False):
     Parquet (columnar: later readers prune columns and push filters), which
     cuts the lineage: every consumer scans the staged files instead of
     re-running the upstream plan, and a lost executor only costs a re-read.
+    Staged tables are needed until the consuming job finishes (retention of
+    ``<checkpoint dir>/stage`` is the cluster's TTL policy).
     """
     import uuid
     spark = df.sparkSession
