@@ -156,16 +156,24 @@ def q_walkscore(spark, sf):
     return out.select("id", "walk_score", "transit_score", "bike_score", "ws_link", "description", "error")
 
 
-@register("chunk_store_seed_clear")
+def _chunk_store_sql():
+    from valora.plans.q_text import _ingest_sql
+    return _ingest_sql()
+
+
+@register("chunk_store_seed_clear", _chunk_store_sql())
 def q_chunk_store(spark, sf):
+    """Seed twice (the second seed adds nothing: left-anti on id); the
+    metadata map is reported as its JSON text."""
     from valora.operators.text import ingest_text
     from valora.sources.tables import table
     path = _scratch(spark, "chunk_store")
     d = table(spark, sf, "documents").withColumn(
         "source_name", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
-    seed = ingest_text(d, source_col="source_name")
+    seed = ingest_text(d, source_col="source_name", extra_meta=["lang"])
     IO.seed_chunk_store(path, seed)
-    return IO.seed_chunk_store(path, seed)  # second seed adds nothing
+    out = IO.seed_chunk_store(path, seed)
+    return out.withColumn("metadata", F.to_json("metadata"))
 
 
 # ------------------------------------------------------------------ pipelines

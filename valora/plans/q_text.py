@@ -151,10 +151,26 @@ def q_chunk_recursive(spark, sf):
     return TO.chunk_recursive(docs(spark, sf))
 
 
-@register("ingest_text")
+def _ingest_sql():
+    body = _sentence_sql()
+    head, final = body.rsplit("\nSELECT doc_id, CAST(row_number()", 1)
+    chunks = ("chunks AS (SELECT doc_id, CAST(row_number()" + final.replace(
+        "FROM pieces WHERE", "FROM pieces WHERE", 1) + ")")
+    return head + ",\n" + chunks + """
+SELECT d.source || '/' || CAST(d.doc_id AS VARCHAR) || '_' || CAST(c.chunk_index AS VARCHAR) AS id,
+  c.chunk AS text,
+  CAST(to_json(MAP {'source': d.source || '/' || CAST(d.doc_id AS VARCHAR),
+                    'chunk_index': CAST(c.chunk_index AS VARCHAR), 'lang': d.lang}) AS VARCHAR) AS metadata,
+  c.chunk_index, c.doc_id
+FROM chunks c JOIN documents d ON c.doc_id = d.doc_id"""
+
+
+@register("ingest_text", _ingest_sql())
 def q_ingest_text(spark, sf):
+    """Chunk-store rows; the metadata map is reported as its JSON text."""
     d = docs(spark, sf).withColumn("source_name", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
-    return TO.ingest_text(d, source_col="source_name", extra_meta=["lang"])
+    out = TO.ingest_text(d, source_col="source_name", extra_meta=["lang"])
+    return out.withColumn("metadata", F.to_json("metadata"))
 
 
 @register("embed_chunks")
