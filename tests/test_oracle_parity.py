@@ -40,3 +40,11 @@ def test_every_query_has_unique_name():
     q = E.queries()
     assert len(q) >= 120
     assert set(ORACLE) <= set(q)
+
+
+def test_package_zip_for_workers():
+    import zipfile
+    path = E._package_zip()
+    names = zipfile.ZipFile(path).namelist()
+    assert "valora/__init__.py" in names and "valora/operators/treeshap.py" in names
+    assert E._package_zip() == path  # content-hashed: stable while the code is unchanged
