@@ -48,8 +48,10 @@ def find_comps(df: DataFrame, n: int = 5, sqft_tol: float = 0.20, year_tol: int
                with_fallback: bool = True) -> DataFrame:
     """(target_id, comp_id, rank, similarity_score, comp_price, target_price, fallback)."""
     from valora.session import stage
-    base = (df.where(F.col("zip_code").isNotNull())
-            .select("id", "zip_code", "sqft", "bedrooms", "year_built", "price"))
+    # the listing base feeds both join sides, the fallback and its size
+    # tables: staged once instead of re-deriving it per consumer
+    base = stage(df.where(F.col("zip_code").isNotNull())
+                 .select("id", "zip_code", "sqft", "bedrooms", "year_built", "price"), "comps_base")
     t = _side(base, "t")
     c = _side(base, "c")
     c = c.withColumns({
