@@ -107,8 +107,9 @@ def predict(docs: DataFrame, model: dict[str, bytes], text: str = "text",
     return docs.mapInArrow(run, schema)
 
 
-def held_out(docs: DataFrame, key: str = "doc_id"):
-    return F.coalesce(F.crc32(docs[key].cast("string").cast("binary")) % 3 == 1, F.lit(False))
+def held_out(key: str = "doc_id"):
+    """True for every third document by checksum; false for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit_documents(docs: DataFrame) -> dict[str, bytes]:
@@ -121,7 +122,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit_documents(docs)
     return (predict(docs.select("doc_id", "text"), model)
-            .select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score", "rejected"))
+            .select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
