@@ -4,8 +4,7 @@ Every language gets a raw-content zstandard dictionary of its own sample
 texts.  A text is encoded with each dictionary and goes to the language that
 needs the fewest bytes; a narrow margin over the runner-up is a rejection.
 
-Texts are compared as lower-case letters (A-Z folded, other ASCII signs to
-one space) and encoded in pieces of ``CHUNK`` bytes, all of them, so that the
+Texts are compared as lower-case letters (other ASCII signs become one space) and encoded in pieces of ``CHUNK`` bytes, all of them, so that the
 dictionary counts over the whole text and not only at its start.
 
 The dictionaries come from a bounded sample: per language the ``SAMPLE_DOCS``
@@ -35,11 +34,11 @@ MIN_MARGIN = 0.002
 #: languages beyond this number would make every text's work too large
 MAX_LANGS = 200
 
-_FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def letters(text: str) -> bytes:
-    return b" ".join(text.encode("utf-8", "replace").translate(_FOLD).split())
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_FOLD).split())
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
