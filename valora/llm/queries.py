@@ -1,6 +1,8 @@
 """The queries of this package; importing the modules registers them."""
 
-from valora.llm import decontaminate, language_id, mixing, sharding, simhash  # noqa: F401
+from valora.llm import (  # noqa: F401
+    decontaminate, language_id, license_scan, mixing, sharding, simhash, suffix_dedup,
+)
 from valora.llm.common import ORACLE, REGISTRY
 
 __all__ = ["ORACLE", "REGISTRY"]
