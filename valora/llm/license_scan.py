@@ -108,9 +108,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                      lambda x: x.isNotNull())
 
     def starts(t: Template) -> Column:
-        one = [F.transform(F.filter(F.col(hits), lambda x, w=w: x["w"] == w), lambda x, o=o: x["i"] - o)
-               for w, o in t.rare(idf)]
-        shared = reduce(F.array_intersect, one)
+        shared = reduce(F.array_intersect, [
+            F.expr(f"transform(filter({hits}, x -> x.w = '{w}'), x -> x.i - {o})") for w, o in t.rare(idf)])
         stands = lambda s: reduce(lambda a, b: a & b, [
             (s + at >= 0) & (F.slice(F.col(ws), F.greatest(s + at, F.lit(0)) + 1, len(p)) == F.array(*map(F.lit, p)))
             for at, p in t.keys])
