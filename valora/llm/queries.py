@@ -1,7 +1,7 @@
 """The queries of this package; importing the modules registers them."""
 
 from valora.llm import (  # noqa: F401
-    decontaminate, language_id, license_scan, mixing, sharding, simhash, suffix_dedup,
+    decontaminate, language_id, license_scan, mixing, nearest, quality, sharding, simhash, suffix_dedup, url_filter,
 )
 from valora.llm.common import ORACLE, REGISTRY
 
