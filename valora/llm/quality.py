@@ -69,8 +69,10 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(weights: np.ndarray, idx: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(weights[idx])])
-    return total[ptr[1:]] - total[ptr[:-1]]
+    out, some = np.zeros(len(ptr) - 1), ptr[1:] > ptr[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(weights[idx], ptr[:-1][some])
+    return out
 
 
 def _sigmoid(x):
@@ -138,7 +140,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
     """``docs`` with ``expected_grade``, ``p_1``, ``p_2``, ... (tails) and
     ``keep``."""
     names = fresh(docs, "expected_grade", *(f"p_{g}" for g in range(1, len(model[1]) + 1)), "keep")
-    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from valora.llm.common import fresh, lower_ascii, read, register
 
@@ -45,7 +46,7 @@ def rule_of(host: Column, path: Column, rules=None) -> Column:
     return F.coalesce(*fits)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def entropy(url: pd.Series) -> pd.Series:
     """Bits per byte."""
     def one(u: str | None) -> float:
