@@ -116,13 +116,30 @@ CHUNK_CASES = ["short text", "x" * 500, "a" * 1200, ("word " * 90 + ". ") * 6 +
                "First sentence is here. " * 60, "no periods at all " * 100]
 
 
+def sentences_by_hand(t, size=500, overlap=50):
+    """Plain walk: the last '.' of a window counts if it lies past the middle."""
+    out, lo = [], 0
+    while lo < len(t):
+        window = t[lo:lo + size]
+        dot = window.rfind(".") if lo + size < len(t) else -1
+        stop = lo + (dot + 1 if dot > size / 2 else size)
+        out.append(t[lo:stop].strip())
+        lo = stop - overlap
+    return [c for c in out if len(c) > 50]
+
+
+def windows_by_hand(t, size, overlap):
+    last = max(0, -(-(len(t) - size) // (size - overlap)))
+    return [t[i * (size - overlap):][:size] for i in range(last + 1)] if t else []
+
+
 def test_sentence_chunker_edge_cases(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(CHUNK_CASES)], "doc_id long, text string")
     got = TO.chunk_sentence(df).orderBy("doc_id", "chunk_index").toPandas()
     assert got[got.doc_id == 0].empty  # <= 50 chars dropped
     assert list(got[got.doc_id == 1].chunk) == ["x" * 500]
     for i, t in enumerate(CHUNK_CASES):
-        assert list(got[got.doc_id == i].chunk) == TO.sentence_chunks(t)
+        assert list(got[got.doc_id == i].chunk) == sentences_by_hand(t)
     for c in got.chunk:
         assert 50 < len(c) <= P.CHUNK_SIZE
 
@@ -133,9 +150,10 @@ def test_fixed_and_overlap_chunks_match_python(spark):
     got = fixed.orderBy("doc_id", "chunk_index").toPandas()
     ov = TO.chunk_overlap(fixed, 20).orderBy("doc_id", "chunk_index").toPandas()
     for i, t in enumerate(CHUNK_CASES):
-        want = TO._by_size(t, 100, 20)
+        want = windows_by_hand(t, 100, 20)
         assert list(got[got.doc_id == i].chunk) == want
-        assert list(ov[ov.doc_id == i].chunk) == TO._with_overlap(want, 20)
+        joined = want[:1] + [a[-20:] + " " + b for a, b in zip(want, want[1:])]
+        assert list(ov[ov.doc_id == i].chunk) == joined
 
 
 def test_recursive_chunks_cover_text():
@@ -147,6 +165,30 @@ def test_recursive_chunks_cover_text():
     assert letters("".join(chunks)) == letters(text)
 
 
+def test_recursive_chunks_by_hand():
+    cut = lambda t, size, overlap=0: TO.recursive_chunks(t, size, overlap)
+    assert cut("short", 10) == ["short"] and cut("", 10) == [""]
+    assert cut("aaaa\n\nbbbb\n\ncc", 10) == ["aaaa\n\nbbbb", "cc"]
+    assert cut("aa bb cc dd", 5) == ["aa bb", "cc dd"]
+    # all five levels add the overlap; the windows of the last one overlap too
+    assert cut("aa bb cc dd", 5, 2) == ["aa bb", "bb " * 5 + "cc dd"]
+    assert cut("x" * 23, 10, 3) == ["x" * 10, "xxx " * 5 + "x" * 10, "xxx " * 5 + "x" * 9]
+    # a part that is too long is split at the next separator, and its last
+    # chunk is packed with what follows
+    assert cut("one two three\nfour", 8) == ["one two", "three\nfour"[:5], "four"]
+    assert cut("one two three\nfo", 8) == ["one two", "three\nfo"]
+    assert cut("a, b. c", 4) == ["a, b", "c"]
+
+
+def test_chunkers_carry_columns_and_hand_on_slices(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", "word " * 900), (2, "b", None), (3, None, "x" * 700)], "doc_id long, tag string, text string")
+    monkeypatch.setattr(TO, "SLICE_CHARS", 1)
+    got = TO.chunk_recursive(df, size=100, overlap=0).toPandas()
+    assert list(got.columns) == ["doc_id", "chunk_index", "chunk", "tag"]
+    assert set(got[got.doc_id == 1].tag) == {"a"} and 2 not in set(got.doc_id)
+    assert list(got[got.doc_id == 3].chunk_index) == list(range(7))
+
+
 def test_memo_json_validation(spark):
     rows = [("not json",), ('{"summary": "s", "investment_thesis": "t"}',),
             ('{"summary": "s", "investment_thesis": "t", "key_risks": "one", "confidence_level": "HIGH"}',),

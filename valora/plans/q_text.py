@@ -143,12 +143,12 @@ FROM pieces WHERE length(chunk) > {min_len}"""
 
 @register("chunk_sentence", _sentence_sql())
 def q_chunk_sentence(spark, sf):
-    return TO.chunk_sentence(docs(spark, sf))
+    return TO.chunk_sentence(docs(spark, sf).select("doc_id", "text"))
 
 
 @register("chunk_recursive")
 def q_chunk_recursive(spark, sf):
-    return TO.chunk_recursive(docs(spark, sf))
+    return TO.chunk_recursive(docs(spark, sf).select("doc_id", "text"))
 
 
 def _ingest_sql():
