@@ -268,6 +268,48 @@ def test_comps_match_brute_force(spark):
     assert sorted(zip(got.target_id, got.comp_id)) == sorted(want)
 
 
+def comps_by_hand(rows, n=5):
+    out = []
+    for t in rows:
+        near = [c for c in rows if c[1] == t[1] and c[0] != t[0]]
+        hit = [c for c in near if None not in (t[2], c[2]) and t[2] * 0.8 <= c[2] <= t[2] * 1.2
+               and abs(c[3] - t[3]) <= 1 and abs(c[4] - t[4]) <= 15]
+
+        def score(c):
+            if t[2] is None or c[2] is None:
+                return (1, 0.0, c[0])
+            return (0, round(abs(c[2] - t[2]) / t[2] * 0.5 + abs(c[3] - t[3]) * 0.3 + abs(c[4] - t[4]) / 100 * 0.2, 10), c[0])
+        out += [(t[0], c[0], i + 1) for i, c in enumerate(sorted(hit or near, key=score)[:n])]
+    return sorted(out)
+
+
+LISTING = "id long, zip_code string, sqft double, bedrooms int, year_built int, price double"
+
+
+def test_comps_ties_and_missing_sqft_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(100, "a", 1000.0, 3, 2000, 1.0)]
+    # 60 candidates whose scores tie at 10 digits, larger ids a little nearer
+    rows += [(i, "a", 1100.0 + 1e-9 * (99 - i), 3, 2000, 1.0) for i in range(41, 99)]
+    rows += [(200 + i, "b", float(rng.integers(5, 30)) * 100, int(rng.integers(1, 5)), int(rng.integers(1950, 2020)), 1.0)
+             for i in range(120)]
+    rows += [(400 + i, "bc"[i % 2], None, 3, 1990, 1.0) for i in range(12)]
+    rows += [(500, "c", 900.0, 2, 1900, 1.0), (501, "d", 900.0, 2, 1900, 1.0), (502, "b", 99999.0, 9, 1800, 1.0)]
+    got = CO.find_comps(spark.createDataFrame(rows, LISTING)).collect()
+    assert sorted((r.target_id, r.comp_id, r["rank"]) for r in got) == comps_by_hand(rows)
+
+
+def test_comps_meet_a_bounded_number_of_candidates(spark):
+    """Same sqft for a whole group: what a target meets doesn't grow."""
+    met = []
+    for size in (60, 600):
+        rows = [(i, "a", 1000.0, 3, 2000, 1.0) for i in range(size)]
+        df = spark.createDataFrame(rows, LISTING).selectExpr(
+            "id", "zip_code zip", "sqft", "bedrooms beds", "year_built year", "price")
+        met.append(CO._numbered(df, 5).count())
+    assert met[0] == met[1] <= 18
+
+
 def test_vector_topk_matches_numpy(spark):
     from valora.operators import retrieval as RE
     rng = np.random.default_rng(3)

@@ -1,200 +1,131 @@
 """Comparable-sales search for every listing at once.
 
 Criteria per target: same zip, sqft within +-20 %, bedrooms +-1, year built
-+-15, not itself.  Score = .5*|dsqft|/sqft + .3*|dbeds| + .2*|dyear|/100;
-best ``n`` by (score, id).  Targets with no match fall back to the whole zip.
-
-Plan: instead of a zip-only self-join (|zip|^2 pairs, fatal for a hot zip),
-candidates are keyed by (zip, bedrooms, year bin, log-sqft bin) and each
-target probes only the <= 3 x 3 x 3 keys that can hold matches, so the
-equi-join emits only near neighbours; the exact range predicate runs as the
-join residual.  The per-target ``row_number() <= n`` filter is planned by
-Spark as a WindowGroupLimit, i.e. a partial top-n *before* the shuffle.
++-15, not itself.  Score = .5*|dsqft|/sqft + .3*|dbeds| + .2*|dyear|/100,
+rounded to 10 digits; best ``n`` by (score, id), NULL scores last.  Targets
+with no match fall back to the whole zip.
+
+Plan: for fixed (zip, bedrooms, year) the score only grows with the distance
+in sqft, so the n nearest sqft values on each side hold the best n.  Listings
+of such a group are numbered in order of sqft; a target finds its place in
+each group it may use by one running maximum over the group's sorted rows, and
+then joins the few numbers around it.  A target meets at most
+(2 n + 1) * (n + 1) listings of a group, whatever the data size.
+
+Equal sqft values (to 1e-6, the rounding of the score) are one value; of each
+only the listings that can still be among the best n are kept (smallest ids,
+smallest and largest sqft), so a sqft shared by many listings costs nothing.
+The nearest bedrooms come first: where one more bedroom always costs more than
+the widest match with the same bedrooms, only targets with fewer than n such
+matches look further.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-YEAR_BIN = 15
-SQFT_BIN = math.log(1.25)  # 1/0.8: the wider side of the +-20 % window
-
-
-def _score(t: str = "t", c: str = "c"):
-    ts, cs = F.col(f"{t}_sqft"), F.col(f"{c}_sqft")
-    return (F.abs(cs - ts) / ts * 0.5
-            + F.abs(F.col(f"{c}_bedrooms") - F.col(f"{t}_bedrooms")) * 0.3
-            + F.abs(F.col(f"{c}_year_built") - F.col(f"{t}_year_built")) / 100 * 0.2)
-
-
-def _side(df: DataFrame, p: str) -> DataFrame:
-    return df.select(F.col("id").alias(f"{p}_id"), F.col("zip_code").alias(f"{p}_zip"),
-                     F.col("sqft").alias(f"{p}_sqft"), F.col("bedrooms").alias(f"{p}_bedrooms"),
-                     F.col("year_built").alias(f"{p}_year_built"), F.col("price").alias(f"{p}_price"))
-
-
-def _top_n(pairs: DataFrame, n: int) -> DataFrame:
-    score = F.round(_score(), 10)
-    w = Window.partitionBy("t_id").orderBy(F.col("score").asc_nulls_last(), F.col("c_id"))
-    return (pairs.withColumn("score", score)
-            .withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= n))
+from valora.session import stage
+
+GROUP = ["zip", "beds", "year"]
+PAIR = ["t_id", "c_id", "c_price", "t_price", "score"]
+
+
+def _score(sqft: Column, beds: Column, year: Column, c_sqft: Column, c_beds: Column, c_year: Column) -> Column:
+    return F.round(F.abs(c_sqft - sqft) / sqft * 0.5 + F.abs(c_beds - beds) * 0.3
+                   + F.abs(c_year - year) / 100 * 0.2, 10)
+
+
+def _numbered(base: DataFrame, n: int) -> DataFrame:
+    """Listings with all attributes, numbered within their group by sqft
+    value (``place``), only those that can be among the best n."""
+    cell = F.round("c_sqft", 6)
+    c = base.select(*GROUP, F.col("id").alias("c_id"), F.col("sqft").alias("c_sqft"), F.col("price").alias("c_price")) \
+        .dropna(subset=["beds", "year", "c_sqft"]).withColumn("cell", cell)
+    ways = [F.row_number().over(Window.partitionBy(*GROUP, "cell").orderBy(*o))
+            for o in (["c_id"], ["c_sqft", "c_id"], [F.desc("c_sqft"), "c_id"])]
+    useful = reduce(lambda x, y: x | y, [F.col(f"w{i}") <= n + 1 for i in range(3)])
+    kept = c.withColumns({f"w{i}": w for i, w in enumerate(ways)}).where(useful).drop("w0", "w1", "w2")
+    return kept.withColumn("place", F.dense_rank().over(Window.partitionBy(*GROUP).orderBy("cell")))
+
+
+def _near(probes: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """``probes`` (GROUP, t_id, t_sqft, ...) with the members of their group
+    at the n sqft values below and above."""
+    places = members.select(*GROUP, F.col("cell").alias("at"), "place").distinct()
+    events = (probes.withColumn("at", F.col("t_sqft")).withColumn("place", F.lit(None).cast("int"))
+              .unionByName(places, allowMissingColumns=True))
+    ordered = Window.partitionBy(*GROUP).orderBy("at", F.col("place").asc_nulls_last())
+    last = F.max("place").over(Window.partitionBy(*GROUP))
+    here = (events.withColumn("here", F.coalesce(F.max("place").over(
+                ordered.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+            .withColumn("last", last).where(F.col("t_id").isNotNull() & F.col("last").isNotNull()))
+    lo, hi = F.greatest(F.lit(1), F.col("here") - n), F.least(F.col("last"), F.col("here") + n + 1)
+    spots = here.where(lo <= hi).drop("at", "place").withColumn("place", F.explode(F.sequence(lo, hi)))
+    return spots.join(members, [*GROUP, "place"]).where(F.col("c_id") != F.col("t_id"))
+
+
+def _best(pairs: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("t_id").orderBy(F.col("score").asc_nulls_last(), "c_id")
+    return pairs.select(*PAIR).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def _matches(targets: DataFrame, members: DataFrame, n: int, sqft_tol: float, year_tol: int, beds: list[int]) -> DataFrame:
+    """Pairs within the criteria, for the given differences in bedrooms."""
+    probes = (targets.dropna(subset=["t_sqft", "t_beds", "t_year"])
+              .withColumn("beds", F.explode(F.array(*[(F.col("t_beds") + d).cast("int") for d in beds])))
+              .withColumn("year", F.explode(F.sequence(F.col("t_year") - year_tol, F.col("t_year") + year_tol))))
+    probes = probes.join(members.select(*GROUP).distinct(), GROUP, "left_semi")
+    near = _near(probes, members, n)
+    return near.where((F.col("c_sqft") >= F.col("t_sqft") * (1 - sqft_tol)) & (F.col("c_sqft") <= F.col("t_sqft") * (1 + sqft_tol))) \
+        .withColumn("score", _score(F.col("t_sqft"), F.col("t_beds"), F.col("t_year"), F.col("c_sqft"), F.col("beds"), F.col("year")))
+
+
+def _whole_zip(lonely: DataFrame, base: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """Pairs for targets without a match: the nearest of every group of the
+    zip, and the smallest ids among the listings without a score."""
+    groups = members.select(*GROUP).distinct()
+    complete = F.col("t_sqft").isNotNull() & F.col("t_beds").isNotNull() & F.col("t_year").isNotNull()
+    scored = _near(lonely.where(complete).join(groups, "zip"), members, n) \
+        .withColumn("score", _score(F.col("t_sqft"), F.col("t_beds"), F.col("t_year"), F.col("c_sqft"), F.col("beds"), F.col("year")))
+    first = Window.partitionBy("zip").orderBy("c_id")
+    plain = base.select("zip", F.col("id").alias("c_id"), F.col("price").alias("c_price"),
+                        (F.col("sqft").isNull() | F.col("beds").isNull() | F.col("year").isNull()).alias("open"))
+    head = lambda df: df.withColumn("w", F.row_number().over(first)).where(F.col("w") <= n + 1)
+    without = (lonely.where(complete).join(head(plain.where("open")), "zip")
+               .unionByName(lonely.where(~complete).join(head(plain), "zip"))
+               .where(F.col("c_id") != F.col("t_id")).withColumn("score", F.lit(None).cast("double")))
+    return scored.select(*PAIR).unionByName(without.select(*PAIR))
 
 
 def find_comps(df: DataFrame, n: int = 5, sqft_tol: float = 0.20, year_tol: int = 15,
                with_fallback: bool = True) -> DataFrame:
     """(target_id, comp_id, rank, similarity_score, comp_price, target_price, fallback)."""
-    from valora.session import stage
-    # the listing base feeds both join sides, the fallback and its size
-    # tables: staged once instead of re-deriving it per consumer
     base = stage(df.where(F.col("zip_code").isNotNull())
-                 .select("id", "zip_code", "sqft", "bedrooms", "year_built", "price"), "comps_base")
-    t = _side(base, "t")
-    c = _side(base, "c")
-    c = c.withColumns({
-        "_ybin": F.floor(F.col("c_year_built") / YEAR_BIN).cast("int"),
-        "_sbin": F.floor(F.log(F.col("c_sqft")) / SQFT_BIN).cast("int"),
-    })
-    lo, hi = 1 - sqft_tol, 1 + sqft_tol
-    # each target fans out to <= 27 probe keys: keep the fan-out parallel
-    from valora.session import spread_out
-    probes = spread_out(t).withColumns({
-        "_pbeds": F.sequence(F.col("t_bedrooms") - 1, F.col("t_bedrooms") + 1),
-        "_pyears": F.sequence(F.floor((F.col("t_year_built") - year_tol) / YEAR_BIN).cast("int"),
-                              F.floor((F.col("t_year_built") + year_tol) / YEAR_BIN).cast("int")),
-        "_psqft": F.sequence(F.floor(F.log(F.col("t_sqft") * lo) / SQFT_BIN).cast("int"),
-                             F.floor(F.log(F.col("t_sqft") * hi) / SQFT_BIN).cast("int")),
-    })
-    probes = (probes.withColumn("_b", F.explode("_pbeds"))
-              .withColumn("_ybin", F.explode("_pyears"))
-              .withColumn("_sbin", F.explode("_psqft"))
-              .drop("_pbeds", "_pyears", "_psqft"))
-    cond = [probes["t_zip"] == c["c_zip"], probes["_b"] == c["c_bedrooms"],
-            probes["_ybin"] == c["_ybin"], probes["_sbin"] == c["_sbin"],
-            c["c_id"] != probes["t_id"],
-            c["c_sqft"] >= probes["t_sqft"] * lo, c["c_sqft"] <= probes["t_sqft"] * hi,
-            c["c_year_built"] >= probes["t_year_built"] - year_tol,
-            c["c_year_built"] <= probes["t_year_built"] + year_tol]
-    matched = (probes.join(c, cond)
-               .select(*[x for x in probes.columns if x.startswith("t_")],
-                       *[x for x in c.columns if x.startswith("c_")]))
-    best = _top_n(matched, n).withColumn("fallback", F.lit(False))
+                 .select("id", F.col("zip_code").alias("zip"), F.col("sqft").cast("double").alias("sqft"),
+                         F.col("bedrooms").cast("int").alias("beds"), F.col("year_built").cast("int").alias("year"), "price"),
+                 "comps_base")
+    members = stage(_numbered(base, n), "comps_numbered")
+    targets = base.select("zip", F.col("id").alias("t_id"), F.col("sqft").alias("t_sqft"), F.col("beds").alias("t_beds"),
+                          F.col("year").alias("t_year"), F.col("price").alias("t_price"))
+    widest_same = 0.5 * sqft_tol + 0.2 * year_tol / 100
+    if widest_same < 0.3:
+        same = stage(_best(_matches(targets, members, n, sqft_tol, year_tol, [0]), n), "comps_same")
+        full = same.where(F.col("rank") == n).select("t_id")
+        rest = targets.join(full, "t_id", "left_anti")
+        found = same.drop("rank").unionByName(_matches(rest, members, n, sqft_tol, year_tol, [-1, 1]).select(*PAIR))
+    else:
+        found = _matches(targets, members, n, sqft_tol, year_tol, [-1, 0, 1])
+    best = stage(_best(found, n), "comps_best").withColumn("fallback", F.lit(False))
     if not with_fallback:
         return _finish(best)
-    # the (<= n per target) best table has two consumers: the output and the
-    # unmatched-target anti join -- staged once
-    best = stage(best, "comps_best")
-    # Targets without any match -> whole zip (not self), same score.
-    lonely = t.join(best.select("t_id"), "t_id", "left_anti")
-    fb = _top_n(_fallback_survivors(lonely, _side(base, "c"), n), n).withColumn("fallback", F.lit(True))
+    lonely = stage(targets.join(best.select("t_id"), "t_id", "left_anti"), "comps_lonely")
+    fb = _best(_whole_zip(lonely, base, members, n), n).withColumn("fallback", F.lit(True))
     return _finish(best.unionByName(fb))
 
 
-FALLBACK_BUCKETS = 256
-ROWS_PER_BUCKET = 50_000
-_SURVIVOR_SCHEMA = ("t_id long, t_zip string, t_sqft double, t_bedrooms int, t_year_built int, "
-                    "t_price double, c_id long, c_zip string, c_sqft double, c_bedrooms int, "
-                    "c_year_built int, c_price double")
-
-
-def _fallback_survivors(lonely: DataFrame, cands: DataFrame, n: int,
-                        buckets: int = FALLBACK_BUCKETS) -> DataFrame:
-    """Whole-zip search for unmatched targets without a zip self-join.
-
-    Candidates are spread over ``buckets`` hash buckets per zip; each
-    unmatched target is replicated to its zip's buckets (bounded factor).
-    Per (zip, bucket) group a numpy scorer keeps only the best n + 5
-    candidates per target (ties broken by the lower id), so a hot zip is
-    split over ``buckets`` tasks and no (target, candidate) table is
-    materialised.  The final exact top-n (rounded score, id) runs over
-    <= buckets * (n + 5) survivors per target.
-    """
-    keep = n + 5
-    common = ["_zip", "_bkt", "_role", "_id", "_sqft", "_beds", "_year", "_price"]
-    # only zips with an unmatched target; bucket count per zip from its size
-    # (one bucket per ``rows_per_bucket`` candidates, at most ``buckets``):
-    # a normal zip is one group, a hot zip is split
-    zips = lonely.select(F.col("t_zip").alias("c_zip")).distinct()
-    cz = cands.join(zips, "c_zip", "left_semi")
-    sizes = cz.groupBy("c_zip").agg(F.least(F.lit(buckets), F.greatest(F.lit(1), F.ceil(
-        F.count(F.lit(1)) / F.lit(ROWS_PER_BUCKET)))).cast("int").alias("_nb"))
-    c = cz.join(sizes, "c_zip").select(
-        F.col("c_zip").alias("_zip"),
-        F.pmod(F.xxhash64("c_id"), F.col("_nb")).cast("int").alias("_bkt"),
-        F.lit("c").alias("_role"), F.col("c_id").alias("_id"),
-        F.col("c_sqft").alias("_sqft"), F.col("c_bedrooms").alias("_beds"),
-        F.col("c_year_built").alias("_year"), F.col("c_price").alias("_price"))
-    t = lonely.join(sizes.withColumnRenamed("c_zip", "t_zip"), "t_zip").select(
-        F.col("t_zip").alias("_zip"),
-        F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_bkt"),
-        F.lit("t").alias("_role"), F.col("t_id").alias("_id"),
-        F.col("t_sqft").alias("_sqft"), F.col("t_bedrooms").alias("_beds"),
-        F.col("t_year_built").alias("_year"), F.col("t_price").alias("_price"))
-    both = t.select(*common).unionByName(c.select(*common))
-
-    def score(pdf):
-        import numpy as np
-        import pandas as pd
-
-        def empty():
-            return pd.DataFrame({
-                "t_id": np.array([], np.int64), "t_zip": np.array([], object),
-                "t_sqft": np.array([], np.float64), "t_bedrooms": np.array([], np.int32),
-                "t_year_built": np.array([], np.int32), "t_price": np.array([], np.float64),
-                "c_id": np.array([], np.int64), "c_zip": np.array([], object),
-                "c_sqft": np.array([], np.float64), "c_bedrooms": np.array([], np.int32),
-                "c_year_built": np.array([], np.int32), "c_price": np.array([], np.float64)})
-        tp = pdf[pdf["_role"] == "t"].reset_index(drop=True)
-        cp = pdf[(pdf["_role"] == "c")].dropna(subset=["_sqft", "_beds", "_year"]).reset_index(drop=True)
-        if len(tp) == 0 or len(cp) == 0:
-            return empty()
-        cs = cp["_sqft"].to_numpy(np.float64)
-        cb = cp["_beds"].to_numpy(np.float64)
-        cy = cp["_year"].to_numpy(np.float64)
-        cid = cp["_id"].to_numpy(np.int64)
-        ti_all, ci_all = [], []
-        step = max(1, 2_000_000 // len(cp))
-        for s0 in range(0, len(tp), step):
-            blk = tp.iloc[s0:s0 + step]
-            ts = blk["_sqft"].to_numpy(np.float64)[:, None]
-            tb = blk["_beds"].to_numpy(np.float64)[:, None]
-            ty = blk["_year"].to_numpy(np.float64)[:, None]
-            tid = blk["_id"].to_numpy(np.int64)
-            sc = np.abs(cs[None, :] - ts) / ts * 0.5 + np.abs(cb[None, :] - tb) * 0.3 \
-                + np.abs(cy[None, :] - ty) / 100 * 0.2
-            sc = np.where(cid[None, :] == tid[:, None], np.inf, sc)
-            kk = min(keep, sc.shape[1])
-            kth = np.partition(sc, kk - 1, axis=1)[:, kk - 1]
-            for r in range(len(blk)):
-                row = sc[r]
-                less = np.nonzero(row < kth[r])[0]
-                eq = np.nonzero(row == kth[r])[0]
-                eq = eq[np.argsort(cid[eq], kind="stable")][:kk - len(less)]  # ties: lowest ids
-                for j in np.concatenate([less, eq]):
-                    if np.isfinite(row[j]):
-                        ti_all.append(r + s0)
-                        ci_all.append(int(j))
-        if not ti_all:
-            return empty()
-        ti, ci = np.array(ti_all), np.array(ci_all)
-        zips = np.array([str(z) for z in tp["_zip"].to_numpy()[ti]], dtype=object)
-        return pd.DataFrame({
-            "t_id": tp["_id"].to_numpy()[ti].astype(np.int64), "t_zip": zips,
-            "t_sqft": tp["_sqft"].to_numpy()[ti].astype(np.float64),
-            "t_bedrooms": tp["_beds"].to_numpy()[ti].astype(np.int32),
-            "t_year_built": tp["_year"].to_numpy()[ti].astype(np.int32),
-            "t_price": tp["_price"].to_numpy()[ti].astype(np.float64),
-            "c_id": cid[ci], "c_zip": zips, "c_sqft": cs[ci],
-            "c_bedrooms": cp["_beds"].to_numpy()[ci].astype(np.int32),
-            "c_year_built": cp["_year"].to_numpy()[ci].astype(np.int32),
-            "c_price": cp["_price"].to_numpy()[ci].astype(np.float64)})
-
-    return both.groupBy("_zip", "_bkt").applyInPandas(score, _SURVIVOR_SCHEMA)
-
-
 def _finish(df: DataFrame) -> DataFrame:
     return df.select(F.col("t_id").alias("target_id"), F.col("c_id").alias("comp_id"),
                      F.col("rank").cast("bigint").alias("rank"),
