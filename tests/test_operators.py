@@ -564,3 +564,56 @@ def test_cell_percentile_edge_cases(spark):
     df = spark.createDataFrame(rows, "id long, lat double, lon double, price double")
     got = {r.id: r.h3_price_percentile for r in SP.cell_price_percentile(SP.add_cell_index(df)).collect()}
     assert got == {1: 0.0, 2: 20.0, 3: 20.0, 4: 60.0, 5: 0.0, 6: 50.0, 7: 50.0}
+
+
+def test_nearest_property_always_answers(spark):
+    from valora.operators import spatial as SP
+    rng = np.random.default_rng(8)
+    rows = [(i, float(37.7 + rng.normal(0, 0.05)), float(-122.4 + rng.normal(0, 0.05))) for i in range(300)]
+    rows += [(300, 37.7, -122.4), (301, 37.7, -122.4), (302, None, -122.0)]
+    pts = [(1, 37.7, -122.4), (2, 40.7, -74.0), (3, -33.9, 151.2), (4, 89.9, 179.9), (5, -90.0, -180.0)]
+    pts += [(10 + i, float(37.7 + rng.normal(0, 0.2)), float(-122.4 + rng.normal(0, 0.2))) for i in range(40)]
+    got = SP.nearest_property(spark.createDataFrame(rows, "id long, lat double, lon double"),
+                              spark.createDataFrame(pts, "point_id long, plat double, plon double")).collect()
+    want = {p: min((round((a - x) ** 2 + (b - y) ** 2, 12), i) for i, a, b in rows if a is not None)[1] for p, x, y in pts}
+    assert {r.point_id: r.id for r in got} == want
+
+
+def test_exact_quantiles_do_not_depend_on_the_buckets(spark, monkeypatch):
+    from valora.functions import stats as ST
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c", None], 3000, p=[0.7, 0.1, 0.1, 0.1]),
+                        "x": np.where(rng.random(3000) < 0.3, 5.0, rng.normal(0, 10, 3000).round(2)), "y": rng.integers(0, 9, 3000)})
+    pdf.loc[:50, "x"] = np.nan
+    df = spark.createDataFrame([(r.g, None if r.x != r.x else r.x, int(r.y)) for r in pdf.itertuples()], "g string, x double, y int")
+    wanted = {"x50": ("x", 0.5), "x05": ("x", 0.05), "x95": ("x", 0.95), "y50": ("y", 0.5), "z50": (F.col("x") * 2, 0.5)}
+    for rows in (1_000_000, 100):
+        monkeypatch.setattr(ST, "BUCKET_ROWS", rows)
+        got = {r.g: r for r in ST.quantiles(df, ["g"], wanted).collect()}
+        assert set(got) == {"a", "b", "c", None}
+        for g, r in got.items():
+            part = pdf[pdf.g.isna()] if g is None else pdf[pdf.g == g]
+            x = part.x.dropna()
+            want = [x.quantile(0.5), x.quantile(0.05), x.quantile(0.95), part.y.median(), x.quantile(0.5) * 2]
+            assert [r.x50, r.x05, r.x95, r.y50, r.z50] == pytest.approx(want, abs=1e-9)
+        one = ST.quantiles(df, [], wanted).collect()
+        assert len(one) == 1 and one[0].x50 == pytest.approx(pdf.x.median(), abs=1e-9)
+        empty = ST.quantiles(df.limit(0), [], {"q": ("x", 0.5)}).collect()
+        assert len(empty) == 1 and empty[0].q is None
+
+
+def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
+    from valora.session import ensure_checkpoint_dir
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf({"spark.master": "spark://host:7077"}), Context()
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())

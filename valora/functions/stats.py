@@ -1,31 +1,112 @@
-"""Quantile aggregates with one switch for exact vs sketch evaluation.
-
-Exact ``median`` / ``percentile`` keep a value -> count map per group, merged
-in one task per group: fine for bounded groups, unbounded for a hot group or
-a global column over 100 TB.  Setting the session conf
-``valora.approxQuantiles=true`` turns every library quantile into
-``percentile_approx`` (a bounded sketch, partial-aggregated; relative rank
-error 1/accuracy).  The default stays exact (results equal the SQL oracle).
+"""Exact quantiles without a map of all values in one task.
+
+``F.median`` / ``F.percentile`` merge a value -> count map for each group in
+one task, as large as the group.  ``quantiles`` finds the same numbers from
+ranks instead:
+
+1. rows become (group, metric, value) counts, partially aggregated, written
+   once and read back; copies of a value are one row;
+2. ordered value buckets (borders from a sketch per metric; they only balance)
+   are counted per group, and running totals name the bucket of each rank;
+3. only the rows of those buckets are ranked, each bucket for itself.
+
+The number of buckets follows the rows (about ``BUCKET_ROWS`` each), so no
+task ranks more than a bucket's distinct values; below that size there is one
+bucket and step 2 falls away.  The result is the linear interpolation at rank
+p * (n - 1) of the non-NULL values, whatever the number of buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CONF = "valora.approxQuantiles"
-ACCURACY = 100_000
+from valora.session import stage
+
+BUCKET_ROWS = 1_000_000
+MAX_BUCKETS = 4096
+
+
+def _buckets(values: DataFrame, metrics: int, buckets: int) -> DataFrame:
+    """``b``: ordered bucket of the value within its metric."""
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / buckets for i in range(1, buckets)]
+    borders = {r["m"]: r["q"] for r in values.groupBy("m").agg(
+        F.percentile_approx("v", probs, max(10_000, 10 * buckets)).alias("q")).collect()}
+    split = [[-math.inf, *(sorted({float(x) for x in borders.get(i) or [] if math.isfinite(x)}) or [0.0]), math.inf]
+             for i in range(metrics)]
+    cols = [f"v{i}" for i in range(metrics)]
+    wide = values.withColumns({c: F.when(F.col("m") == i, F.col("v")).otherwise(F.lit(float("nan"))) for i, c in enumerate(cols)})
+    tagged = Bucketizer(splitsArray=split, inputCols=cols, outputCols=[f"b{i}" for i in range(metrics)],
+                        handleInvalid="keep").transform(wide)
+    pick = reduce(lambda e, i: F.when(F.col("m") == i, F.col(f"b{i}")).otherwise(e), range(metrics), F.lit(0.0))
+    return tagged.withColumn("b", pick.cast("int")).drop(*cols, *[f"b{i}" for i in range(metrics)])
+
+
+def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column | str, float]]) -> DataFrame:
+    """``by`` + one column for each name in ``wanted``: name -> (column, p).
 
+    Groups (NULL keys included) without any value have no row; without ``by``
+    there is always one row.
+    """
+    exprs: dict[str, int] = {}
+    cols: list[Column] = []
+    metric = {}
+    for name, (c, _) in wanted.items():
+        text = c if isinstance(c, str) else str(c)
+        if text not in exprs:
+            exprs[text] = len(cols)
+            cols.append((F.col(c) if isinstance(c, str) else c).cast("double"))
+        metric[name] = exprs[text]
+    keys = [f"k{i}" for i in range(len(by))]
+    pairs = F.array(*[F.struct(F.lit(i).alias("m"), c.alias("v")) for i, c in enumerate(cols)])
+    long = (df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.explode(pairs).alias("p"))
+            .select(*keys, "p.m", "p.v").where("v is not null"))
+    values = stage(long.groupBy(*keys, "m", "v").agg(F.count(F.lit(1)).alias("c")), "quantile_values")
+    buckets = min(MAX_BUCKETS, max(1, math.ceil(values.count() / BUCKET_ROWS)))
 
-def approx_enabled() -> bool:
-    spark = SparkSession.getActiveSession()
-    return spark is not None and str(spark.conf.get(CONF, "false")).lower() == "true"
+    group = [*keys, "m"]
+    whole = Window.partitionBy(*group)
+    if buckets > 1:
+        values = stage(_buckets(values, len(cols), buckets), "quantile_buckets")
+        up_to = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        sums = (values.groupBy(*group, "b").agg(F.sum("c").alias("bc"))
+                .withColumn("before", F.coalesce(F.sum("bc").over(up_to), F.lit(0)))
+                .withColumn("n", F.sum("bc").over(whole)))
+        holds = reduce(lambda x, y: x | y, [
+            (F.col("m") == metric[name]) & (F.col("before") <= r) & (r < F.col("before") + F.col("bc"))
+            for name, (_, p) in wanted.items() for r in _ranks(F.col("n"), p)])
+        right = sums.where(holds).select(*[F.col(x).alias(f"r_{x}") for x in [*group, "b"]], "before", "n")
+        same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"r_{x}")) for x in [*group, "b"]])
+        values = values.join(right, same)
+        inner = Window.partitionBy(*group, "b")
+        start = F.col("before")
+    else:
+        inner, start = whole, F.lit(0)
+        values = values.withColumn("n", F.sum("c").over(whole))
+    ranked = values.withColumn("to", start + F.sum("c").over(
+        inner.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    out = []
+    for name, (_, p) in wanted.items():
+        lo, hi = _ranks(F.col("n"), p)
+        at = lambda r, i=metric[name]: F.max(F.when(
+            (F.col("m") == i) & (F.col("to") - F.col("c") <= r) & (r < F.col("to")), F.col("v")))
+        part = F.max(F.when(F.col("m") == metric[name], F.lit(p) * (F.col("n") - 1) - lo))
+        out.append(F.when(part == 0, at(lo)).otherwise((1 - part) * at(lo) + part * at(hi)).alias(name))
+    done = ranked.groupBy(*keys).agg(*out)
+    return done.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *wanted)
 
 
-def median(c: Column | str) -> Column:
-    return F.percentile_approx(c, 0.5, ACCURACY) if approx_enabled() else F.median(c)
+def _ranks(n: Column, p: float) -> tuple[Column, Column]:
+    """The two ranks (from 0) that the quantile lies between."""
+    return F.floor(F.lit(p) * (n - 1)), F.ceil(F.lit(p) * (n - 1))
 
 
-def percentile(c: Column | str, p):
-    """Linear-interpolated percentile(s) (exact) or the sketch equivalent."""
-    return F.percentile_approx(c, p, ACCURACY) if approx_enabled() else F.percentile(c, p)
+def join_by(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """Left join on keys that may be NULL."""
+    right = other.select(*[F.col(c).alias(f"_j_{c}") for c in by], *[c for c in other.columns if c not in by])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in by])
+    return df.join(right, same, "left").drop(*[f"_j_{c}" for c in by])

@@ -49,10 +49,12 @@ def zip_enrich(df: DataFrame, zip_dim: DataFrame) -> DataFrame:
 def zip_market_stats(listings: DataFrame) -> DataFrame:
     """Per-zip market statistics table: median sale price, median $/sqft,
     homes sold."""
-    return listings.where(F.col("zip_code").isNotNull()).groupBy("zip_code").agg(
-        ST.median("price").alias("median_sale_price"),
-        ST.median(F.col("price") / F.nullif(F.col("sqft"), F.lit(0.0))).alias("median_ppsf"),
-        F.count(F.lit(1)).alias("homes_sold"))
+    rows = listings.where(F.col("zip_code").isNotNull())
+    med = ST.quantiles(rows, ["zip_code"], {
+        "median_sale_price": ("price", 0.5),
+        "median_ppsf": (F.col("price") / F.nullif(F.col("sqft"), F.lit(0.0)), 0.5)})
+    sold = rows.groupBy("zip_code").agg(F.count(F.lit(1)).alias("homes_sold"))
+    return sold.join(med, "zip_code", "left").select("zip_code", "median_sale_price", "median_ppsf", "homes_sold")
 
 
 def region_to_zip(region_col: str = "REGION"):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from valora.functions import stats as ST
 from valora import params as P
 from valora.functions import geo
+from valora.session import stage
 
 
 def derived_features(df: DataFrame, feature_year: int = P.FEATURE_YEAR) -> DataFrame:
@@ -43,11 +44,9 @@ def zip_price_tiers(df: DataFrame, q: int = 5) -> DataFrame:
     lowest included); when edges collide, fall back to cutting the
     first-come ranks (``rank(method='first')``) into min(q, n) bins.
     """
-    med = df.groupBy("zip_code").agg(ST.median("price").alias("zip_median")) \
-        .where(F.col("zip_code").isNotNull())
+    med = zip_medians(df)
     probs = [i / q for i in range(0, q + 1)]
-    edges = med.agg(ST.percentile("zip_median", probs).alias("_e"),
-                    F.count(F.lit(1)).alias("_n"))
+    edges = med.agg(F.percentile("zip_median", probs).alias("_e"))  # of one row per zip
     e = F.col("_e")
     distinct_edges = F.size(F.array_distinct(e)) == F.lit(q + 1)
 
@@ -58,17 +57,26 @@ def zip_price_tiers(df: DataFrame, q: int = 5) -> DataFrame:
             expr = F.when(v <= F.element_at(edges_col, i + 1), F.lit(i)).otherwise(expr)
         return expr
 
-    # rank fallback: ranks 1..n, edges = quantiles of 1..n (linear interpolation)
-    rnk = F.row_number().over(Window.orderBy("zip_median", "zip_code"))  # <= #zips rows
-    k = F.least(F.lit(q), F.col("_n"))
-    # tier = smallest i with rank <= 1 + (n-1)*i/k
-    fallback = F.ceil((F.col("_rank") - F.lit(1)) * k / (F.col("_n") - F.lit(1)))
-    fallback = F.when(F.col("_n") <= 1, F.lit(1)).otherwise(F.greatest(fallback, F.lit(1)))
-    return (med.crossJoin(F.broadcast(edges))  # 1-row side
-            .withColumn("_rank", rnk)
+    return (rank_first_tiers(med, q).crossJoin(F.broadcast(edges))  # 1-row side
             .select("zip_code",
                     F.when(distinct_edges, cut(F.col("zip_median"), e, q))
-                    .otherwise(fallback).cast("int").alias("neighborhood_price_tier")))
+                    .otherwise(F.col("rank_tier")).cast("int").alias("neighborhood_price_tier")))
+
+
+def zip_medians(df: DataFrame) -> DataFrame:
+    """(zip_code, zip_median) of the price, NULL zips left out."""
+    return stage(ST.quantiles(df.where(F.col("zip_code").isNotNull()), ["zip_code"], {"zip_median": ("price", 0.5)}),
+                 "zip_medians")
+
+
+def rank_first_tiers(med: DataFrame, q: int = 5) -> DataFrame:
+    """``med(zip_code, zip_median)`` with ``rank_tier``: first-come ranks 1..n
+    cut at the linear quantiles of 1..n into min(q, n) tiers."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())  # one row per zip
+    rank = F.row_number().over(Window.orderBy("zip_median", "zip_code"))
+    # the smallest tier i with rank <= 1 + (n - 1) * i / k
+    tier = F.greatest(F.ceil((rank - 1) * F.least(F.lit(q), n) / (n - 1)), F.lit(1))
+    return med.withColumn("rank_tier", F.when(n <= 1, 1).otherwise(tier).cast("int"))
 
 
 def add_price_tier(df: DataFrame) -> DataFrame:
@@ -85,31 +93,12 @@ def add_v2_features(df: DataFrame, feature_year: int = P.FEATURE_YEAR) -> DataFr
     return add_price_tier(distance_features(derived_features(df, feature_year)))
 
 
-def walk_scores(df: DataFrame, noise_sd: float = 0.0, seed: int = 42) -> DataFrame:
-    """Distance-based walk/transit/bike scores (development stand-in).
-
-    base = clip(100 - 8*km, 20, 95); walk = clip(base+n, 10, 100);
-    transit = clip(base+.8n-5, 0, 100); bike = clip(base+1.2n+5, 10, 100),
-    half-even rounded.  Noise n is a deterministic hash-of-id normal draw when
-    ``noise_sd`` > 0 (order-free, so stable under repartitioning).
-    """
-    if "distance_to_downtown_km" not in df.columns:
-        return df.withColumns({"walk_score": F.lit(85), "transit_score": F.lit(80),
-                               "bike_score": F.lit(75), "ws_link": F.lit(None).cast("string")})
-    base = F.least(F.greatest(F.lit(100.0) - F.col("distance_to_downtown_km") * 8, F.lit(20.0)),
-                   F.lit(95.0))
-    if noise_sd > 0:
-        u1 = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-        u2 = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 1)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-        n = F.lit(noise_sd) * F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
-    else:
-        n = F.lit(0.0)
-
-    def clip(c, lo, hi):
-        return F.bround(F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi))), 0).cast("int")
-    return df.withColumns({
-        "walk_score": clip(base + n, 10, 100),
-        "transit_score": clip(base + n * 0.8 - 5, 0, 100),
-        "bike_score": clip(base + n * 1.2 + 5, 10, 100),
-        "ws_link": F.lit(None).cast("string"),
-    })
+def feature_ranges(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, n, min, max, median, mean), one row per feature: one
+    aggregate and the exact medians, unpivoted."""
+    wide = df.agg(*[f(c).cast("double").alias(f"{c}__{n}") for c in features
+                    for n, f in (("n", F.count), ("min", F.min), ("max", F.max), ("mean", F.avg))])
+    wide = wide.crossJoin(F.broadcast(ST.quantiles(df, [], {f"{c}__median": (c, 0.5) for c in features})))  # one row each
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}__n").cast("long").alias("n"),
+                     *[F.round(f"{c}__{n}", 6).alias(n) for n in ("min", "max", "median", "mean")]) for c in features]
+    return wide.select(F.inline(F.array(*rows)))

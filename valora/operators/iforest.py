@@ -95,7 +95,7 @@ def isolation_forest(df: DataFrame, features: list[str] | None = None, n_trees:
     if len(feats) < 2:
         return df.withColumns({"anomaly_score": F.lit(None).cast("double"), "is_outlier": F.lit(False)})
 
-    meds = df.agg(*[ST.median(F.col(f).cast("double")).alias(f"_m_{f}") for f in feats])
+    meds = ST.quantiles(df, [], {f"_m_{f}": (f, 0.5) for f in feats})
     filled = df.crossJoin(F.broadcast(meds)).withColumns(
         {f"_x_{f}": F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}")) for f in feats}
     ).drop(*[f"_m_{f}" for f in feats])
@@ -134,6 +134,6 @@ def isolation_forest(df: DataFrame, features: list[str] | None = None, n_trees:
     # the trees are walked once per row
     scored = stage(filled.withColumn("anomaly_score", score(*[F.col(c) for c in xcols])).drop(*xcols),
                    "iforest_scores")
-    thr = scored.agg(ST.percentile("anomaly_score", 1.0 - contamination).alias("_thr"))
+    thr = ST.quantiles(scored, [], {"_thr": ("anomaly_score", 1.0 - contamination)})
     return (scored.crossJoin(F.broadcast(thr))
             .withColumn("is_outlier", F.col("anomaly_score") > F.col("_thr")).drop("_thr"))

@@ -48,15 +48,11 @@ def top_zips(sales: DataFrame, n: int = 5) -> DataFrame:
             .limit(n))
 
 
-def zip_median(sales: DataFrame, col: str = "sqft", approx: bool = False) -> DataFrame:
-    """Median of ``col`` per zip plus the overall median as a column.
-
-    Exact ``median`` keeps a value->count map per group; ``approx=True``
-    switches to ``percentile_approx`` (bounded sketch) for very large groups.
-    """
-    med = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx else F.median
-    per_zip = sales.groupBy("zip_code").agg(med(F.col(col)).alias(f"zip_median_{col}"))
-    overall = sales.agg(med(F.col(col)).alias(f"overall_median_{col}"))
+def zip_median(sales: DataFrame, col: str = "sqft") -> DataFrame:
+    """Median of ``col`` per zip plus the overall median as a column."""
+    zips = sales.select("zip_code").distinct()
+    per_zip = ST.join_by(zips, ST.quantiles(sales, ["zip_code"], {f"zip_median_{col}": (col, 0.5)}), ["zip_code"])
+    overall = ST.quantiles(sales, [], {f"overall_median_{col}": (col, 0.5)})
     return per_zip.crossJoin(F.broadcast(overall))  # 1-row side: size is proven
 
 
@@ -70,10 +66,11 @@ def zip_summary(sales: DataFrame, zip_codes: DataFrame | None = None) -> DataFra
     agg = sales.groupBy("zip_code").agg(
         F.count(F.lit(1)).alias("count"),
         (F.round(F.sum("price"), 2) / F.count("price")).alias("avg_price"),
-        ST.median("price").alias("median_price"),
         (F.round(F.sum("sqft"), 2) / F.count("sqft")).alias("avg_sqft"),
         F.avg(F.col("price") / F.col("sqft")).alias("avg_price_per_sqft"),
     )
+    agg = ST.join_by(agg, ST.quantiles(sales, ["zip_code"], {"median_price": ("price", 0.5)}), ["zip_code"]).select(
+        "zip_code", "count", "avg_price", "median_price", "avg_sqft", "avg_price_per_sqft")
     if zip_codes is None:
         return agg
     out = zip_codes.select("zip_code").distinct().join(agg, "zip_code", "left")

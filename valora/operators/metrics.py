@@ -20,12 +20,10 @@ def ppe(df: DataFrame, y: str = "price", p: str = "prediction",
                    .alias(f"ppe{int(round(t * 100))}") for t in thresholds])
 
 
-def mdape(df: DataFrame, y: str = "price", p: str = "prediction", approx: bool = False) -> DataFrame:
+def mdape(df: DataFrame, y: str = "price", p: str = "prediction") -> DataFrame:
     """Median absolute percentage error x100 (y = 0 dropped)."""
     d = df.where(F.col(y) != 0)
-    e = _ape(y, p) * 100
-    m = F.percentile_approx(e, 0.5, 10000) if approx else ST.median(e)
-    return d.agg(m.alias("mdape"))
+    return ST.quantiles(d, [], {"mdape": (_ape(y, p) * 100, 0.5)})
 
 
 def regression_metrics(df: DataFrame, y: str = "price", p: str = "prediction") -> DataFrame:

@@ -144,16 +144,14 @@ def raw_schema_check(df: DataFrame, current_year: int = P.CURRENT_YEAR) -> DataF
 
 # ------------------------------------------------------------ imputation
 
-def impute_sqft(df: DataFrame, approx: bool = False) -> DataFrame:
+def impute_sqft(df: DataFrame) -> DataFrame:
     """NULL sqft -> zip median -> overall median; ``sqft_imputed`` = was NULL.
 
     Zip medians are one row per zip (broadcast-sized by construction; AQE
     still decides), the overall median one row.
     """
-    med = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx else F.median
-    zip_med = df.groupBy("zip_code").agg(med("sqft").alias("_zip_med")) \
-        .where(F.col("zip_code").isNotNull())
-    overall = df.agg(med("sqft").alias("_all_med"))
+    zip_med = ST.quantiles(df.where(F.col("zip_code").isNotNull()), ["zip_code"], {"_zip_med": ("sqft", 0.5)})
+    overall = ST.quantiles(df, [], {"_all_med": ("sqft", 0.5)})
     out = (df.join(zip_med, "zip_code", "left")
            .crossJoin(F.broadcast(overall)))
     return (out.withColumn("sqft_imputed", F.col("sqft").isNull())
@@ -175,12 +173,7 @@ def impute_condition(df: DataFrame, current_year: int = P.CURRENT_YEAR) -> DataF
 
 def quantile_bounds(df: DataFrame, cols=("price", "sqft", "price_per_sqft")) -> DataFrame:
     """p05 / p95 (linear interpolation) per column, one row."""
-    out = []
-    for c in cols:
-        out.append(ST.percentile(c, [0.05, 0.95]).alias(f"_{c}"))
-    row = df.agg(*out)
-    return row.select(*[F.col(f"_{c}")[i].alias(f"{c}_{n}")
-                        for c in cols for i, n in ((0, "p05"), (1, "p95"))])
+    return ST.quantiles(df, [], {f"{c}_{n}": (c, p) for c in cols for n, p in (("p05", 0.05), ("p95", 0.95))})
 
 
 def outlier_reasons(df: DataFrame, flagged: DataFrame | None = None) -> DataFrame:
@@ -238,9 +231,11 @@ def quality_report(df: DataFrame) -> DataFrame:
             # result independent of summation order for <= 6-decimal data
             aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
                      (F.round(F.sum(x), 6) / F.count(x)).alias(f"{c}__mean"),
-                     ST.median(x).alias(f"{c}__median"),
                      F.stddev_samp(x).alias(f"{c}__std")]
     wide = df.agg(*aggs)
+    medians = {f"{c}__median": (c, 0.5) for c in df.columns if c in numeric}
+    if medians:
+        wide = wide.crossJoin(F.broadcast(ST.quantiles(df, [], medians)))  # one row each
     dtypes = dict(df.dtypes)
     structs = []
     for c in df.columns:

@@ -10,7 +10,7 @@ sub-bucket rank from ``windows``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from valora.functions import stats as ST
@@ -50,31 +50,31 @@ def _ensure_ppsf(df: DataFrame) -> DataFrame:
 
 def cell_stats(df: DataFrame) -> DataFrame:
     """Per cell: ppsf median/mean/std/count(non-null), price median/min/max."""
-    df = _ensure_ppsf(df)
-    return (df.where(F.col("h3_index").isNotNull()).groupBy("h3_index").agg(
-        ST.median("price_per_sqft").alias("h3_median_ppsf"),
+    rows = _ensure_ppsf(df).where(F.col("h3_index").isNotNull())
+    sums = rows.groupBy("h3_index").agg(
         F.avg("price_per_sqft").alias("h3_mean_ppsf"),
         F.stddev_samp("price_per_sqft").alias("h3_std_ppsf"),
         F.count("price_per_sqft").alias("h3_listing_density"),
-        ST.median("price").alias("h3_median_price"),
         F.min("price").alias("h3_min_price"),
         F.max("price").alias("h3_max_price"),
-    ))
+    )
+    med = ST.quantiles(rows, ["h3_index"], {"h3_median_ppsf": ("price_per_sqft", 0.5), "h3_median_price": ("price", 0.5)})
+    return sums.join(med, "h3_index", "left")
 
 
 def cell_feature_store(df: DataFrame) -> DataFrame:
     """Per cell aggregate store used to score new listings quickly."""
-    df = _ensure_ppsf(df)
-    return (df.where(F.col("h3_index").isNotNull()).groupBy("h3_index").agg(
-        ST.median("price_per_sqft").alias("median_ppsf"),
+    rows = _ensure_ppsf(df).where(F.col("h3_index").isNotNull())
+    sums = rows.groupBy("h3_index").agg(
         F.avg("price_per_sqft").alias("mean_ppsf"),
         F.stddev_samp("price_per_sqft").alias("std_ppsf"),
         F.count("price_per_sqft").alias("listing_count"),
-        ST.median("price").alias("median_price"),
         F.avg("price").alias("mean_price"),
-        ST.median("sqft").alias("median_sqft"),
-        ST.median("bedrooms").alias("median_bedrooms"),
-    ))
+    )
+    med = ST.quantiles(rows, ["h3_index"], {
+        "median_ppsf": ("price_per_sqft", 0.5), "median_price": ("price", 0.5),
+        "median_sqft": ("sqft", 0.5), "median_bedrooms": ("bedrooms", 0.5)})
+    return sums.join(med, "h3_index", "left")
 
 
 def neighbor_ppsf(cells: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def neighbor_ppsf(cells: DataFrame) -> DataFrame:
     tot = F.sum("h3_listing_density")
     return (j.groupBy("center").agg(
         F.when(tot > 0, F.sum(F.col("h3_median_ppsf") * F.col("h3_listing_density")) / tot)
-        .otherwise(ST.median("h3_median_ppsf")).alias("h3_neighbor_median_ppsf"))
+        .otherwise(F.median("h3_median_ppsf")).alias("h3_neighbor_median_ppsf"))  # at most 6 values
         .withColumnRenamed("center", "h3_index"))
 
 
@@ -135,7 +135,7 @@ def cell_price_percentile(df: DataFrame) -> DataFrame:
 
 def fill_with_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """NULL -> column median (one 1-row aggregate, broadcast)."""
-    meds = df.agg(*[ST.median(c).alias(f"_med_{c}") for c in cols])
+    meds = ST.quantiles(df, [], {f"_med_{c}": (c, 0.5) for c in cols})
     out = df.crossJoin(F.broadcast(meds))
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")))
@@ -152,10 +152,10 @@ def spatial_lags(df: DataFrame) -> DataFrame:
     # both are staged once instead of re-deriving the rows per consumer
     df = stage(_ensure_ppsf(df), "lag_rows")
     cells = stage(cell_stats(df), "lag_cells")
-    joined = df.join(cells.select("h3_index", "h3_median_ppsf", "h3_listing_density",
-                                  "h3_median_price"), "h3_index", "left")
-    joined = joined.join(neighbor_ppsf(cells), "h3_index", "left")
-    joined = stage(cell_price_percentile(joined), "lag_joined")
+    ranked = cell_price_percentile(df)
+    joined = ranked.join(cells.select("h3_index", "h3_median_ppsf", "h3_listing_density",
+                                      "h3_median_price"), "h3_index", "left")
+    joined = stage(joined.join(neighbor_ppsf(cells), "h3_index", "left"), "lag_joined")
     return fill_with_median(joined, LAG_COLS)
 
 
@@ -180,36 +180,57 @@ def cell_geojson(df: DataFrame, value_col: str = "price") -> DataFrame:
     return cells.select("h3_index", "value", "count", F.to_json(feature).alias("feature"))
 
 
-def nearest_property(df: DataFrame, points: DataFrame,
-                     levels=(0.2, 1.6, 12.8, 102.4, 819.2)) -> DataFrame:
+#: finest level of the quad grid of ``nearest_property`` (360 / 2^20 degrees)
+FINEST, STEP = 20, 2
+
+
+def _quad(lat, lon) -> tuple:
+    """Column and row of the finest quad cell."""
+    size = F.lit(360.0 / (1 << FINEST))
+    return F.floor((F.col(lat) + 90) / size), F.floor((F.col(lon) + 180) / size)
+
+
+def nearest_property(df: DataFrame, points: DataFrame) -> DataFrame:
     """For each click point (point_id, plat, plon): the listing with the
-    smallest squared degree distance (ties -> lower id).
-
-    Ring search over coarser and coarser hex grids: at each level, candidates
-    are the listings in the point's 1-ring disk (equi-join on the cell key,
-    no cross product).  A hit is accepted when its distance is below the
-    disk's guaranteed radius (anything outside the disk is at least one edge
-    away, i.e. >= edge/KY degrees); unresolved points go to the next level.
-    The coarsest level accepts its best hit (regional scale).
+    smallest squared degree distance (ties -> lower id), however far it is.
+
+    Descent of a quad grid whose cells carry the bounding box of their
+    listings.  A point starts with the one cell of level 0; each step joins the
+    cells below (equi-join on the parent) and keeps those whose box begins
+    nearer than the nearest box ends, so a point holds a few cells at any
+    level.  Only the finest cells that are left are joined with listings.  The
+    listings are scanned once and written with their cell; points or listings
+    without coordinates take no part.
     """
+    x, y = _quad("lat", "lon")
+    rows = stage(df.where("lat is not null and lon is not null").select("id", "lat", "lon", x.alias("x"), y.alias("y")),
+                 "nearest_rows")
+    levels = list(range(STEP, FINEST + 1, STEP))
+    finest = rows.groupBy("x", "y").agg(*[f(c).alias(f"{c}_{n}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))])
+    cells = finest.withColumn("level", F.explode(F.array(*map(F.lit, levels)))) \
+        .withColumns({c: F.expr(f"shiftright({c}, {FINEST} - level)") for c in ("x", "y")}) \
+        .groupBy("level", "x", "y").agg(*[f(f"{c}_{n}").alias(f"{c}_{n}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))])
+    cells = stage(cells, "nearest_cells")
+
+    def gap(c, p):
+        return F.greatest(F.lit(0.0), F.col(f"{c}_lo") - F.col(p), F.col(p) - F.col(f"{c}_hi"))
+
+    def reach(c, p):
+        return F.greatest(F.abs(F.col(f"{c}_lo") - F.col(p)), F.abs(F.col(f"{c}_hi") - F.col(p)))
+    begins = F.pow(gap("lat", "plat"), 2) + F.pow(gap("lon", "plon"), 2)
+    ends = F.pow(reach("lat", "plat"), 2) + F.pow(reach("lon", "plon"), 2)
+    open_ = (points.where("plat is not null and plon is not null").select("point_id", "plat", "plon")
+             .withColumns({"px": F.lit(0).cast("long"), "py": F.lit(0).cast("long")}))
+    for level in levels:
+        below = cells.where(F.col("level") == level).drop("level").withColumns(
+            {"px": F.shiftright("x", STEP), "py": F.shiftright("y", STEP)})
+        near = open_.join(below, ["px", "py"]).withColumns({"begins": begins, "ends": ends})
+        least = F.min("ends").over(Window.partitionBy("point_id"))
+        # a hair of slack, so that rounding never drops the right cell
+        open_ = (near.withColumn("least", least).where(F.col("begins") <= F.col("least") * (1 + 1e-9))
+                 .select("point_id", "plat", "plon", F.col("x").alias("px"), F.col("y").alias("py")))
     d = geo.sq_degree_distance("lat", "lon", "plat", "plon")
-    best = F.min_by(F.struct(d.alias("dist"), F.col("id")), F.struct(d, F.col("id")))
-    pending = points.select("point_id", "plat", "plon")
-    found = None
-    for i, edge in enumerate(levels):
-        ax = geo.cell_axial("plat", "plon", edge=edge)
-        disk = (pending.select("point_id", "plat", "plon", ax.alias("_ax"))
-                .select("point_id", "plat", "plon", "_ax",
-                        F.explode(geo.disk_offsets(1, True)).alias("_o"))
-                .select("point_id", "plat", "plon",
-                        geo.pack_cell(F.col("_ax.q") + F.col("_o.dq"),
-                                      F.col("_ax.r") + F.col("_o.dr")).alias("_cell")))
-        lax = geo.cell_axial("lat", "lon", edge=edge)
-        cand = df.select("id", "lat", "lon", geo.pack_cell(lax["q"], lax["r"]).alias("_cell"))
-        hit = disk.join(cand, "_cell").groupBy("point_id").agg(best.alias("_b"))
-        if i < len(levels) - 1:
-            hit = hit.where(F.col("_b.dist") <= F.lit((edge / geo.KY) ** 2))
-        hit = hit.select("point_id", F.col("_b.id").alias("id"), F.col("_b.dist").alias("sq_dist"))
-        found = hit if found is None else found.unionByName(hit)
-        pending = pending.join(hit.select("point_id"), "point_id", "left_anti")
-    return found
+    best = F.min(F.struct(d.alias("dist"), F.col("id")))
+    hits = open_.join(rows, (open_["px"] == rows["x"]) & (open_["py"] == rows["y"]))
+    return (hits.groupBy("point_id").agg(best.alias("b"))
+            .select("point_id", F.col("b.id").alias("id"), F.col("b.dist").alias("sq_dist")))

@@ -59,8 +59,8 @@ def _bucketed(df: DataFrame, value: str, buckets: int | None = None) -> DataFram
             .drop("_bv", "_bd"))
 
 
-def _offsets(tagged: DataFrame, group: list[str]) -> DataFrame:
-    counts = tagged.groupBy(*group, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+def _offsets(tagged: DataFrame, group: list[str], rows=None) -> DataFrame:
+    counts = tagged.groupBy(*group, "_bkt").agg((rows if rows is not None else F.count(F.lit(1))).alias("_cnt"))
     w = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_bkt")
     return (counts
             .withColumn("_before", F.coalesce(
@@ -75,18 +75,21 @@ def count_lower_in_group(df: DataFrame, group: list[str], value: str,
                          buckets: int | None = None) -> DataFrame:
     """Add ``#rows in the same group with a strictly lower non-null value``
     (NULL values count as never lower) and the group's total row count.
-    The bucketed rows feed two consumers (local ranks, bucket counts) and are
-    staged once."""
+
+    The input is written once and read back by all consumers.  Ranks are
+    taken over (group, value) counts, so a value that many rows share is one
+    row in the window; they come back to the rows by a join on the value."""
+    from valora.functions.stats import join_by
     from valora.session import stage
-    tagged = stage(_bucketed(df, value, buckets), "rank_buckets")
-    offs = _offsets(tagged, group)
-    w = Window.partitionBy(*group, "_bkt").orderBy(F.col(value).asc_nulls_last())
-    local = F.rank().over(w) - 1
-    out = (tagged.withColumn("_local", local.cast("bigint"))
-           .join(offs, [*group, "_bkt"], "left"))
-    return (out.withColumn(lower_col, (F.col("_before") + F.col("_local")).cast("bigint"))
-               .withColumn(size_col, F.col("_group_n").cast("bigint"))
-               .drop("_bkt", "_local", "_before", "_group_n"))
+    df = stage(df, "rank_rows")
+    counts = _bucketed(stage(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")), "rank_values"), value, buckets)
+    offs = _offsets(counts, group, F.sum("_c"))
+    earlier = Window.partitionBy(*group, "_bkt").orderBy(F.col(value).asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    ranks = join_by(counts.withColumn("_local", F.coalesce(F.sum("_c").over(earlier), F.lit(0))), offs, [*group, "_bkt"])
+    ranks = ranks.select(*group, value, (F.col("_before") + F.col("_local")).cast("bigint").alias(lower_col),
+                         F.col("_group_n").cast("bigint").alias(size_col))
+    return join_by(df, ranks, [*group, value])
 
 
 def global_row_number(df: DataFrame, order_col: str, out_col: str = "row_id",
@@ -95,7 +98,7 @@ def global_row_number(df: DataFrame, order_col: str, out_col: str = "row_id",
     rows through one task.  The only single-partition step sorts the bucket
     count table (<= MAX_BUCKETS rows)."""
     from valora.session import stage
-    tagged = stage(_bucketed(df, order_col, buckets), "rownum_buckets")  # two consumers
+    tagged = _bucketed(stage(df, "rownum_rows"), order_col, buckets)  # several consumers
     offs = _offsets(tagged, [])
     w = Window.partitionBy("_bkt").orderBy(F.col(order_col).asc_nulls_last())
     return (tagged.withColumn("_local", F.row_number().over(w))

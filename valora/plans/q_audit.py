@@ -75,16 +75,20 @@ SELECT strftime(CAST(timestamp AS DATE), '%Y-%m-%d') AS day, COUNT(*) AS calls,
   CAST(SUM(CASE WHEN success THEN 1 ELSE 0 END) AS BIGINT) AS successful_calls, ROUND(SUM(cost_estimate), 8) AS total_cost,
   ROUND(AVG(latency_ms), 6) AS avg_latency_ms, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
   CAST(SUM(output_tokens) AS BIGINT) AS output_tokens
-FROM costed GROUP BY CAST(timestamp AS DATE)
-HAVING CAST(timestamp AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(timestamp) FROM costed) - INTERVAL 1 HOUR""")
+FROM costed GROUP BY CAST(timestamp AS DATE)""")
 def q_audit_stream(spark, sf):
-    """All landed files in one micro-batch; the following no-data batch
-    emits every day whose window end the watermark (max ts - 1 h) passed."""
+    """The log lands and is rolled up; then a closing mark two days after its
+    last row lands, and the stream goes on from its checkpoint: the watermark
+    passes every day of the log, so the last one is emitted too.  The mark's
+    own day stays open and never reaches the sink."""
     base = _scratch(spark, "audit")
     src = f"{base}/source"
-    AU.conform(_costed(spark, sf)).write.parquet(src)
-    stream = ST.read_stream(spark, src, AU.AUDIT_SCHEMA, max_files=1_000_000)
-    ST.run_available_now(ST.audit_rollup(stream), f"{base}/sink", f"{base}/ckpt")
+    log = AU.conform(_costed(spark, sf))
+    mark = log.agg((F.max("timestamp") + F.expr("INTERVAL 2 DAYS")).alias("timestamp"))
+    for landing in (log, AU.conform(mark)):
+        landing.write.mode("append").parquet(src)
+        stream = ST.read_stream(spark, src, AU.AUDIT_SCHEMA, max_files=1_000_000)
+        ST.run_available_now(ST.audit_rollup(stream), f"{base}/sink", f"{base}/ckpt")
     out = spark.read.parquet(f"{base}/sink")
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "calls", "successful_calls",
                       F.round("total_cost", 8).alias("total_cost"),
@@ -96,24 +100,21 @@ SELECT id, address, source, price FROM (
   SELECT *, row_number() OVER (PARTITION BY coalesce(address, 'id:' || CAST(id AS VARCHAR))
                                ORDER BY source, id) AS rn FROM demand_feed) x WHERE rn = 1""")
 def q_feed_stream(spark, sf):
-    """Feeds land in arrival order (feed_a, then feed_b); inside a landing,
-    rows are hash-partitioned by the dedupe key and sorted by id, so each
-    key's duplicates arrive in id order.  First arrival wins."""
-    import time
+    """Feeds land one after the other, feed_a first, and the stream goes on
+    from its checkpoint after each landing, so the order of arrival is given
+    by the landings.  Inside a landing, rows are hash-partitioned by the dedupe
+    key and sorted by id: each key's duplicates arrive in id order.  First
+    arrival wins, also across the feeds.  Duplicates that arrive more than the
+    watermark (a day) apart are not detected: the state forgets them."""
     base = _scratch(spark, "feed")
     src = f"{base}/source"
-    feed = demand_feed(spark, sf).withColumn(
-        "ingested_at", F.timestamp_seconds(F.lit(1_735_689_600) + F.col("id")))
     key = F.coalesce(F.col("address"), F.concat(F.lit("id:"), F.col("id").cast("string")))
-    first_files = None
-    for name in ("feed_a", "feed_b"):
-        (feed.where(F.col("source") == name).repartition(4, key).sortWithinPartitions("id")
-         .write.mode("append").parquet(src))
-        if first_files is None:
-            first_files = len(spark.read.parquet(src).inputFiles())
-        time.sleep(1.1)  # distinct modification times: landings are read in order
-    stream = ST.read_stream(spark, src, feed.schema, max_files=first_files)
-    ST.run_available_now(ST.feed_dedupe(stream), f"{base}/sink", f"{base}/ckpt")
+    for hour, name in enumerate(("feed_a", "feed_b")):
+        feed = demand_feed(spark, sf).where(F.col("source") == name).withColumn(
+            "ingested_at", F.timestamp_seconds(F.lit(1_735_689_600 + 3600 * hour)))
+        feed.repartition(4, key).sortWithinPartitions("id").write.mode("append").parquet(src)
+        stream = ST.read_stream(spark, src, feed.schema, max_files=1_000_000)
+        ST.run_available_now(ST.feed_dedupe(stream), f"{base}/sink", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/sink").select("id", "address", "source", "price")
 
 

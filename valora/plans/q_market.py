@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from valora import params as P
+from valora.functions import stats as ST
 from valora.operators import enrich as EN
 from valora.operators import market as M
 from valora.operators import valuation as VA
@@ -92,7 +93,7 @@ vs AS (SELECT *, model_price - price AS price_delta, (model_price - price) / pri
 def zip_avm(ls):
     """Zip-median market valuation: the benchmark model price per listing
     (median of the zip, one aggregate row per zip joined back)."""
-    med = ls.groupBy("zip_code").agg(F.median("price").alias("model_price"))
+    med = ST.quantiles(ls.where(F.col("zip_code").isNotNull()), ["zip_code"], {"model_price": ("price", 0.5)})
     return ls.join(med, "zip_code", "left")
 
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from valora import params as P
 from valora.operators import enrich as EN
 from valora.operators import features as FE
 from valora.operators import quality as QU
@@ -47,14 +48,12 @@ def q_source_priority(spark, sf):
     return IO.source_priority(spark, [("parquet", f"{base}/preferred.parquet"), ("csv", f"{base}/raw.csv")])
 
 
-@register("write_parquet", LV + "SELECT * FROM listings WHERE zip_code = '94107'")
+@register("write_parquet", LV + "SELECT * FROM listings")
 def q_write_parquet(spark, sf):
     path = _scratch(spark, "partitioned")
     IO.write_parquet(listings(spark, sf), path, partition_by=["zip_code"])
-    # explicit schema: zip codes stay strings (no partition type inference);
-    # the zip filter prunes to one partition directory
-    return (spark.read.schema(IO.LISTING_FILE_SCHEMA).parquet(path)
-            .where(F.col("zip_code") == "94107"))
+    # explicit schema: zip codes stay strings (no partition type inference)
+    return spark.read.schema(IO.LISTING_FILE_SCHEMA).parquet(path)
 
 
 @register("write_csv", LV + "SELECT " + ", ".join(
@@ -125,26 +124,23 @@ _STATUS = [1, 1, 1, 1, 2, 30, 31, 40, 41, 42, 99]
 
 
 def _walk_sql():
+    """Landed scores: the fixture gives each listing a score and a status."""
     st = "CASE " + " ".join(f"WHEN id % 11 = {i} THEN {s}" for i, s in enumerate(_STATUS)) + " END"
-    msgs = " ".join(f"WHEN {k} THEN '{v}'" for k, v in __import__("valora.params", fromlist=["x"]).WALKSCORE_STATUS.items())
-    return LV + f"""
-SELECT id,
+    msgs = " ".join(f"WHEN {k} THEN '{v}'" for k, v in P.WALKSCORE_STATUS.items())
+    return f"""SELECT id,
   CASE WHEN st = 1 THEN ws END AS walk_score,
   CASE WHEN st = 1 AND id % 5 <> 0 THEN ws - 5 END AS transit_score,
   CASE WHEN st = 1 THEN ws + 5 END AS bike_score,
   'ws/' || CAST(id AS VARCHAR) AS ws_link,
   CASE WHEN st = 1 THEN (CASE WHEN ws >= 90 THEN 'Walker''s Paradise' ELSE 'Very Walkable' END) END AS description,
   CASE WHEN st <> 1 THEN coalesce(CASE st {msgs} END, 'Unknown status ' || CAST(st AS VARCHAR)) END AS error
-FROM (SELECT id, {st} AS st,
-  CAST(round_even(least(greatest(least(greatest(100.0 - {Q.dist_center()} * 8, 20.0), 95.0), 10.0), 100.0), 0) AS INTEGER) AS ws
-  FROM listings) x"""
+FROM (SELECT id, {st} AS st, CAST(10 + (id * 37) % 86 AS INTEGER) AS ws FROM listings) x"""
 
 
-@register("parse_walkscore_payload", _walk_sql())
-def q_walkscore(spark, sf):
-    ws = FE.walk_scores(FE.distance_features(listings(spark, sf)))
+def landed_walk_scores(spark, sf):
+    """Walk-score responses as they land, parsed: one row per listing."""
     st = F.element_at(F.array(*[F.lit(s) for s in _STATUS]), (F.col("id") % 11 + 1).cast("int"))
-    w = F.col("walk_score")
+    w = (10 + (F.col("id") * 37) % 86).cast("int")
     payload = F.to_json(F.struct(
         st.alias("status"), w.alias("walkscore"),
         F.when(w >= 90, F.lit("Walker's Paradise")).otherwise(F.lit("Very Walkable")).alias("description"),
@@ -152,8 +148,13 @@ def q_walkscore(spark, sf):
         F.when(F.col("id") % 5 != 0, F.to_json(F.struct((w - 5).alias("score"), F.lit("Good Transit").alias("description"))))
         .otherwise(F.lit("n/a")).alias("transit"),
         F.to_json(F.struct((w + 5).alias("score"), F.lit("Bikeable").alias("description"))).alias("bike")))
-    out = IO.parse_walkscore(ws.select("id", payload.alias("payload")))
-    return out.select("id", "walk_score", "transit_score", "bike_score", "ws_link", "description", "error")
+    return IO.parse_walkscore(listings(spark, sf).select("id", payload.alias("payload")))
+
+
+@register("parse_walkscore_payload", LV + _walk_sql())
+def q_walkscore(spark, sf):
+    return landed_walk_scores(spark, sf).select(
+        "id", "walk_score", "transit_score", "bike_score", "ws_link", "description", "error")
 
 
 def _chunk_store_sql():
@@ -230,19 +231,22 @@ def q_run_etl(spark, sf):
 
 @register("ingest_all", with_views("listings", "zip_dim") + """
 , u AS (SELECT zip_code, id AS source_id, lat, lon, price, sqft, bedrooms, CAST(NULL AS DOUBLE) AS bathrooms,
-    year_built, 'ADDR-' || CAST(id AS VARCHAR) AS address, 'SINGLE_FAMILY' AS property_type, days_on_market,
-    'feed_a' AS source FROM listings WHERE id % 2 = 0
+    year_built, CASE WHEN id % 5 <> 0 THEN 'ADDR-' || CAST(id // 3 AS VARCHAR) END AS address,
+    'SINGLE_FAMILY' AS property_type, days_on_market, 'feed_a' AS source FROM listings WHERE id % 2 = 0
   UNION ALL
-  SELECT zip_code, id, lat, lon, price, sqft, bedrooms, NULL, year_built, NULL, NULL, NULL, 'feed_b'
-    FROM listings WHERE id % 2 = 1)
+  SELECT zip_code, id, lat, lon, price, sqft, bedrooms, NULL, year_built,
+    CASE WHEN id % 5 <> 0 THEN 'ADDR-' || CAST(id // 3 AS VARCHAR) END, NULL, NULL, 'feed_b' FROM listings WHERE id % 2 = 1)
 SELECT u.*, z.city, z.county, z.state, z.population, z.population_density, z.median_household_income,
   CAST(row_number() OVER (ORDER BY CASE WHEN u.source = 'feed_a' THEN 0 ELSE 1 END, u.source_id) AS BIGINT) AS id
-FROM u LEFT JOIN zip_dim z ON u.zip_code = z.zip_code""".replace("\n, u AS", ", u AS", 1))
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY source, source_id) AS rn FROM u)
+  WHERE rn = 1 OR address IS NULL) u LEFT JOIN zip_dim z ON u.zip_code = z.zip_code""".replace("\n, u AS", ", u AS", 1)
+          .replace("SELECT u.*,", "SELECT u.* EXCLUDE (rn),"))
 def q_ingest_all(spark, sf):
     """Per-zip landed payloads of two feeds -> parse -> tag -> union ->
-    dedupe by address -> zip enrich -> ids 1..n."""
-    a = q_payload_a(spark, sf).where(F.col("id") % 2 == 0).withColumn("source", F.lit("feed_a"))
-    b = q_payload_b(spark, sf).where(F.col("id") % 2 == 1).withColumn("source", F.lit("feed_b"))
+    dedupe by address (within and across the feeds) -> zip enrich -> ids 1..n."""
+    street = F.when(F.col("id") % 5 != 0, F.concat(F.lit("ADDR-"), F.floor(F.col("id") / 3).cast("string")))
+    a = q_payload_a(spark, sf).where(F.col("id") % 2 == 0).withColumns({"address": street, "source": F.lit("feed_a")})
+    b = q_payload_b(spark, sf).where(F.col("id") % 2 == 1).withColumns({"address": street, "source": F.lit("feed_b")})
     u = EN.union_sources(a, b).withColumnRenamed("id", "source_id")
     d = EN.dedupe_keep_first(u, "address", order=("source", "source_id"))
     e = EN.zip_enrich(d, zip_dim(spark, sf))
@@ -250,45 +254,54 @@ def q_ingest_all(spark, sf):
                                         * F.lit(1 << 40) + F.col("source_id")), "_ord", "id").drop("_ord")
 
 
-def ensure_features(df):
-    """Add feature groups only when their columns are missing or all
-    NULL (one aggregate decides)."""
-    need_v2 = "distance_to_downtown_km" not in df.columns
-    if not need_v2:
-        need_v2 = df.agg(F.count("distance_to_downtown_km")).first()[0] == 0
-    if need_v2:
-        df = FE.add_v2_features(df)
-    if "h3_median_ppsf" not in df.columns:
-        df = SP.spatial_lags(df)
-    if "walk_score" not in df.columns:
-        df = FE.walk_scores(df)
+WALK_COLS = ["walk_score", "transit_score", "bike_score"]
+V2_COLS = ["property_age", "distance_to_downtown_km", "distance_to_nearest_bart_km", "neighborhood_price_tier"]
+
+
+def ensure_features(df, landed=None):
+    """A feature group is added where one of its columns is missing or
+    all NULL (one aggregate over the columns that are there decides for all
+    three groups).  ``landed``: parsed walk-score responses by id."""
+    there = [c for c in [*V2_COLS, *SP.LAG_COLS, *WALK_COLS] if c in df.columns]
+    filled = df.agg(*[F.count(c).alias(c) for c in there]).first().asDict() if there else {}
+
+    def lacks(group):
+        return any(not filled.get(c) for c in group)
+    for group, add in ((V2_COLS, FE.add_v2_features), (SP.LAG_COLS, SP.spatial_lags),
+                       (WALK_COLS, lambda d: d.join(landed.select("id", *WALK_COLS), "id", "left"))):
+        if lacks(group) and (group is not WALK_COLS or landed is not None):
+            df = add(df.drop(*group))
     return df
 
 
-def _walk_cols_sql():
-    b = f"least(greatest(100.0 - {Q.dist_center('li.lat', 'li.lon')} * 8, 20.0), 95.0)"
-    return (f",\n  CAST(round_even(least(greatest({b}, 10.0), 100.0), 0) AS INTEGER) AS walk_score"
-            f",\n  CAST(round_even(least(greatest({b} - 5, 0.0), 100.0), 0) AS INTEGER) AS transit_score"
-            f",\n  CAST(round_even(least(greatest({b} + 5, 10.0), 100.0), 0) AS INTEGER) AS bike_score")
+def _ensure_sql():
+    full = _etl_sql(", wl.walk_score, wl.transit_score, wl.bike_score")
+    head, tail = full.rsplit("FROM li", 1)
+    ctes, select = head.rsplit("\nSELECT ", 1)
+    return f"{ctes},\nwl AS ({_walk_sql()})\nSELECT {select}FROM li{tail} LEFT JOIN wl ON li.id = wl.id"
 
 
-@register("ensure_features", _etl_sql(_walk_cols_sql()))
+@register("ensure_features", _ensure_sql())
 def q_ensure_features(spark, sf):
-    out = ensure_features(QU.impute_condition(QU.impute_sqft(listings(spark, sf))))
+    out = ensure_features(QU.impute_condition(QU.impute_sqft(listings(spark, sf))), landed_walk_scores(spark, sf))
     r6 = lambda c: F.round(F.col(c), 6).alias(c)
     return out.select("id", "sqft", "sqft_imputed", "condition", "property_age",
                       r6("distance_to_downtown_km"), "neighborhood_price_tier",
-                      *[r6(c) for c in SP.LAG_COLS], "walk_score", "transit_score", "bike_score")
+                      *[r6(c) for c in SP.LAG_COLS], *WALK_COLS)
+
+
+RANGED = {"property_age": "2025 - year_built", "distance_to_downtown_km": Q.dist_center("l.lat", "l.lon"),
+          "distance_to_nearest_bart_km": Q.dist_station("l.lat", "l.lon")}
 
 
-@register("feature_ranges", LV + f"""
-SELECT MIN(2025 - year_built) AS min_property_age, MAX(2025 - year_built) AS max_property_age,
-  ROUND(MIN({Q.dist_station()}), 6) AS min_bart_km, ROUND(MAX({Q.dist_station()}), 6) AS max_bart_km,
-  COUNT(*) AS rows_with_walk_score
-FROM listings""")
+@register("feature_ranges", LV.rstrip("\n") + f""",
+wl AS ({_walk_sql()}),
+f AS (SELECT {", ".join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in RANGED.items())}, walk_score, transit_score, bike_score
+  FROM listings l LEFT JOIN wl ON l.id = wl.id)
+""" + "\nUNION ALL\n".join(f"""SELECT '{c}' AS feature, COUNT({c}) AS n, ROUND(CAST(MIN({c}) AS DOUBLE), 6) AS min,
+  ROUND(CAST(MAX({c}) AS DOUBLE), 6) AS max, ROUND(CAST(median({c}) AS DOUBLE), 6) AS median,
+  ROUND(AVG(CAST({c} AS DOUBLE)), 6) AS mean FROM f""" for c in [*RANGED, *WALK_COLS]))
 def q_feature_ranges(spark, sf):
-    f = FE.walk_scores(FE.add_v2_features(listings(spark, sf)))
-    return f.agg(F.min("property_age").alias("min_property_age"), F.max("property_age").alias("max_property_age"),
-                 F.round(F.min("distance_to_nearest_bart_km"), 6).alias("min_bart_km"),
-                 F.round(F.max("distance_to_nearest_bart_km"), 6).alias("max_bart_km"),
-                 F.count("walk_score").alias("rows_with_walk_score"))
+    """One row per feature, on landed scores."""
+    f = FE.add_v2_features(listings(spark, sf)).join(landed_walk_scores(spark, sf).select("id", *WALK_COLS), "id", "left")
+    return FE.feature_ranges(f, [*RANGED, *WALK_COLS])

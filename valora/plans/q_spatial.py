@@ -346,14 +346,7 @@ FROM (SELECT zip_code, row_number() OVER (ORDER BY zip_median, zip_code) AS rk,
 def q_rank_first_tier(spark, sf):
     """The rank(method='first') tiering used when quintile edges collide,
     evaluated on the zip-median table (one row per zip)."""
-    from pyspark.sql import Window
-    zm = (listings(spark, sf).where(F.col("zip_code").isNotNull())
-          .groupBy("zip_code").agg(F.median("price").alias("zip_median")))
-    w = Window.orderBy("zip_median", "zip_code")  # one row per zip: bounded
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    rk = F.row_number().over(w)
-    t = F.when(n <= 1, 1).otherwise(F.greatest(F.ceil((rk - 1) * F.least(F.lit(5), n) / (n - 1)), F.lit(1)))
-    return zm.select("zip_code", t.cast("int").alias("rank_tier"))
+    return FE.rank_first_tiers(FE.zip_medians(listings(spark, sf))).select("zip_code", "rank_tier")
 
 
 @register("add_v2_features", _lv(TIERS) + f"""
@@ -370,14 +363,3 @@ def q_add_v2(spark, sf):
                       r6(F.col("distance_to_downtown_km")).alias("distance_to_downtown_km"),
                       r6(F.col("distance_to_nearest_bart_km")).alias("distance_to_nearest_bart_km"),
                       "neighborhood_price_tier")
-
-
-@register("walk_scores_heuristic", LV + f"""
-SELECT id,
-  CAST(round_even(least(greatest(b, 10.0), 100.0), 0) AS INTEGER) AS walk_score,
-  CAST(round_even(least(greatest(b - 5, 0.0), 100.0), 0) AS INTEGER) AS transit_score,
-  CAST(round_even(least(greatest(b + 5, 10.0), 100.0), 0) AS INTEGER) AS bike_score
-FROM (SELECT id, least(greatest(100.0 - {Q.dist_center()} * 8, 20.0), 95.0) AS b FROM listings) x""")
-def q_walk(spark, sf):
-    out = FE.walk_scores(FE.distance_features(listings(spark, sf)))
-    return out.select("id", "walk_score", "transit_score", "bike_score")

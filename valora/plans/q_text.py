@@ -289,11 +289,11 @@ def q_audit_rows(spark, sf):
 
 MEMO_RAW_SQL = """memo_raw AS (SELECT conv_id, turn, CASE conv_id % 4
   WHEN 0 THEN text
-  WHEN 1 THEN CAST(to_json({'summary': substring(text, 1, 80), 'investment_thesis': substring(text, 81, 80)}) AS VARCHAR)
-  WHEN 2 THEN CAST(to_json({'summary': substring(text, 1, 80), 'investment_thesis': substring(text, 81, 80),
-                       'key_risks': substring(text, 161, 40), 'confidence_level': 'HIGH'}) AS VARCHAR)
-  ELSE CAST(to_json({'summary': substring(text, 1, 80), 'investment_thesis': substring(text, 81, 80),
-                'key_risks': string_split(substring(text, 161, 60), ' '), 'upside_catalysts': 'Transit',
+  WHEN 1 THEN CAST(to_json({'summary': substring(text, 1, 80), 'investment_thesis': substring(text, 81)}) AS VARCHAR)
+  WHEN 2 THEN CAST(to_json({'summary': substring(text, 1, 80), 'investment_thesis': substring(text, 81),
+                       'key_risks': substring(text, 41), 'confidence_level': 'HIGH'}) AS VARCHAR)
+  ELSE CAST(to_json({'summary': substring(text, 1, 80), 'investment_thesis': substring(text, 81),
+                'key_risks': string_split(text, ' '), 'upside_catalysts': 'Transit',
                 'confidence_level': 'unsure'}) AS VARCHAR) END AS raw_response
   FROM conversations WHERE role = 'assistant')"""
 
@@ -301,15 +301,15 @@ MEMO_RAW_SQL = """memo_raw AS (SELECT conv_id, turn, CASE conv_id % 4
 def _memo_raw(spark, sf):
     c = convs(spark, sf).where(F.col("role") == "assistant")
     t = F.col("text")
-    s, th = F.substring(t, 1, 80), F.substring(t, 81, 80)
+    s, th = F.substring(t, 1, 80), F.expr("substring(text, 81)")
     raw = (F.when(F.col("conv_id") % 4 == 0, t)
            .when(F.col("conv_id") % 4 == 1, F.to_json(F.struct(s.alias("summary"), th.alias("investment_thesis"))))
            .when(F.col("conv_id") % 4 == 2, F.to_json(F.struct(
                s.alias("summary"), th.alias("investment_thesis"),
-               F.substring(t, 161, 40).alias("key_risks"), F.lit("HIGH").alias("confidence_level"))))
+               F.expr("substring(text, 41)").alias("key_risks"), F.lit("HIGH").alias("confidence_level"))))
            .otherwise(F.to_json(F.struct(
                s.alias("summary"), th.alias("investment_thesis"),
-               F.split(F.substring(t, 161, 60), " ").alias("key_risks"),
+               F.split(t, " ").alias("key_risks"),
                F.lit("Transit").alias("upside_catalysts"), F.lit("unsure").alias("confidence_level")))))
     return c.select("conv_id", "turn", raw.alias("raw_response"))
 
@@ -341,8 +341,8 @@ def q_validate_memo(spark, sf):
 
 RESP_SQL = """resp AS (SELECT conv_id, turn, to_json({'recommendation': CASE WHEN conv_id % 3 = 0 THEN 'BUY' END,
   'sentiment': CASE WHEN conv_id % 2 = 0 THEN 'Bearish' END,
-  'risk_factors': CASE WHEN conv_id % 5 <> 0 THEN string_split(substring(text, 1, 40), ' ') END,
-  'market_outlook': substring(text, 41, 60)}) AS raw_response
+  'risk_factors': CASE WHEN conv_id % 5 <> 0 THEN string_split(text, ' ') END,
+  'market_outlook': text}) AS raw_response
   FROM conversations WHERE role = 'assistant')"""
 
 
@@ -359,8 +359,8 @@ def q_llm_response_fields(spark, sf):
     raw = F.to_json(F.struct(
         F.when(cid % 3 == 0, F.lit("BUY")).alias("recommendation"),
         F.when(cid % 2 == 0, F.lit("Bearish")).alias("sentiment"),
-        F.when(cid % 5 != 0, F.split(F.substring(t, 1, 40), " ")).alias("risk_factors"),
-        F.substring(t, 41, 60).alias("market_outlook")))
+        F.when(cid % 5 != 0, F.split(t, " ")).alias("risk_factors"),
+        t.alias("market_outlook")))
     out = ME.llm_response_fields(c.select("conv_id", "turn", raw.alias("raw_response")))
     return out.select("conv_id", "turn", "recommendation", "sentiment",
                       F.array_join("risk_factors", "|").alias("risk_factors"), "market_outlook",

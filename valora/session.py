@@ -41,14 +41,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object store)
-    folder and is used as is.  Only when it is unset (local tests) a scratch
-    folder is created.
+    folder and is used as is.  A scratch folder is made only where it is unset
+    and the master is local; on any other master an unset folder is an error,
+    because every executor would write to its own disk.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() if hasattr(
             spark.sparkContext, "getCheckpointDir") else None
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master or 'a cluster'}")
         current = tempfile.mkdtemp(prefix="valora-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     try:

@@ -72,12 +72,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def sales_table(df: DataFrame, name: str = "sales", path: str | None = None) -> DataFrame:
     """Replace the ``sales`` table.  With ``path`` the table is written as
-    Parquet clustered by (zip_code, price) -- the row-group statistics then
-    prune zip / price predicates like the original's two indexes -- and the
-    view reads the files back."""
+    Parquet range-partitioned and sorted by (zip_code, price, id) -- the
+    row-group statistics then prune zip / price predicates like the original's
+    two indexes, and a large zip spreads over many files -- and the view reads
+    the files back."""
     spark = df.sparkSession
     if path is not None:
-        (df.repartition("zip_code").sortWithinPartitions("zip_code", "price")
+        keys = [c for c in ("zip_code", "price", "id") if c in df.columns]
+        (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
          .write.mode("overwrite").parquet(path))
         df = spark.read.parquet(path)
     df.createOrReplaceTempView(name)
@@ -99,10 +101,15 @@ PAYLOAD_B_SCHEMA = ("struct<data: struct<results: array<struct<propertyId: bigin
                     "sqftInfo: struct<amount: double>, beds: int, yearBuilt: int, postalCode: string>>>>")
 
 
-def parse_payload_a(df: DataFrame, col: str = "payload", limit: int = 1000) -> DataFrame:
-    """props[:limit] -> 12 listing columns; absent keys -> NULL."""
+def _listed(items: Column, limit: int | None) -> Column:
+    """One row per listing of a payload; ``limit`` is the caller's page size."""
+    return F.inline(items if limit is None else F.slice(items, 1, limit))
+
+
+def parse_payload_a(df: DataFrame, col: str = "payload", limit: int | None = None) -> DataFrame:
+    """props -> 12 listing columns; absent keys -> NULL."""
     p = F.from_json(F.col(col), PAYLOAD_A_SCHEMA)
-    rows = df.select(F.inline(F.slice(F.coalesce(p["props"], F.array()), 1, limit)))
+    rows = df.select(_listed(p["props"], limit))
     return rows.select(
         F.col("zpid").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
         "price", F.col("livingArea").alias("sqft"), "bedrooms", "bathrooms",
@@ -111,10 +118,10 @@ def parse_payload_a(df: DataFrame, col: str = "payload", limit: int = 1000) -> D
         F.col("daysOnZillow").alias("days_on_market"))
 
 
-def parse_payload_b(df: DataFrame, col: str = "payload", limit: int = 1000) -> DataFrame:
-    """data.results[:limit] -> 8 listing columns."""
+def parse_payload_b(df: DataFrame, col: str = "payload", limit: int | None = None) -> DataFrame:
+    """data.results -> 8 listing columns."""
     p = F.from_json(F.col(col), PAYLOAD_B_SCHEMA)
-    rows = df.select(F.inline(F.slice(F.coalesce(p["data"]["results"], F.array()), 1, limit)))
+    rows = df.select(_listed(p["data"]["results"], limit))
     return rows.select(
         F.col("propertyId").alias("id"), F.col("latLong.latitude").alias("lat"),
         F.col("latLong.longitude").alias("lon"), F.col("priceInfo.amount").alias("price"),

@@ -56,7 +56,7 @@ FROM {events}
 
 DEMAND_FEED_SQL = """
 SELECT c_custkey AS id,
-  CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE CONCAT('ADDR-', CAST(c_custkey % 400 AS VARCHAR(10))) END AS address,
+  CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE CONCAT('ADDR-', CAST(c_custkey % 401 AS VARCHAR(10))) END AS address,
   CASE WHEN c_custkey % 2 = 0 THEN 'feed_a' ELSE 'feed_b' END AS source,
   c_acctbal AS price
 FROM {customer}
