@@ -212,9 +212,12 @@ def llm_prompt_rows(df: DataFrame, price_col: str = "model_price", base_col: str
 
 
 def audit_rows(requests: DataFrame, spark: SparkSession, prompt_col: str = "prompt",
-               response_col: str = "response", model_col: str = "model") -> DataFrame:
-    """Prompt batch -> audit records: hash, tokens, cost, success, error.
-    Over-budget prompts are rejected (success false, no output tokens)."""
+               response_col: str = "response", model_col: str = "model",
+               started_col: str | None = None, ended_col: str | None = None) -> DataFrame:
+    """Prompt batch -> audit records: hash, tokens, cost, success, error, latency.
+    Over-budget prompts are rejected (success false, no output tokens).  With
+    the call's start and end (epoch milliseconds) the latency is their
+    difference, 0 for a call that was rejected; else it is NULL."""
     chk = budget_check(requests, spark, prompt_col, model_col)
     out_tokens = F.when(F.col("is_valid"), TX.token_count(response_col)).otherwise(F.lit(0)).cast("long")
     rec = chk.withColumns({
@@ -225,4 +228,6 @@ def audit_rows(requests: DataFrame, spark: SparkSession, prompt_col: str = "prom
         "error_message": F.when(~F.col("is_valid"), F.col("reason"))
         .when(F.col(response_col).isNull(), F.lit("empty response")).otherwise(F.lit("")),
     })
-    return estimate_cost(rec, spark, model_col)
+    took = F.when(~F.col("is_valid"), F.lit(0)).otherwise(F.col(ended_col) - F.col(started_col)) \
+        if started_col and ended_col else F.lit(None)
+    return estimate_cost(rec.withColumn("latency_ms", took.cast("long")), spark, model_col)

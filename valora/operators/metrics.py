@@ -36,5 +36,16 @@ def regression_metrics(df: DataFrame, y: str = "price", p: str = "prediction") -
                  (1 - F.sum(err * err) / F.sum(F.pow(F.col(y) - F.col("_m"), 2))).alias("r2")))
 
 
-def all_metrics(df: DataFrame, y: str = "price", p: str = "prediction") -> DataFrame:
-    return regression_metrics(df, y, p).crossJoin(ppe(df, y, p)).crossJoin(mdape(df, y, p))
+def all_metrics(df: DataFrame, by: str, y: str = "price", p: str = "prediction") -> DataFrame:
+    """RMSE, MAE, R^2, PPE10, PPE20 and MdAPE for each value of ``by``, from
+    one aggregate and one rank pass over the (few) columns it needs."""
+    from valora.session import stage
+    d = stage(df.select(by, y, p), "metric_rows")
+    err = F.col(y) - F.col(p)
+    near = [F.avg(F.when(F.col(y) != 0, F.when(_ape(y, p) <= t, 100.0).otherwise(0.0))).alias(f"ppe{round(t * 100)}")
+            for t in (0.10, 0.20)]
+    sums = d.groupBy(by).agg(
+        F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
+        (1 - F.sum(err * err) / (F.var_pop(y) * F.count(y))).alias("r2"), *near)
+    med = ST.quantiles(d.where(F.col(y) != 0), [by], {"mdape": (_ape(y, p) * 100, 0.5)})
+    return sums.join(med, by, "left")

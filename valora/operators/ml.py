@@ -20,7 +20,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +28,7 @@ from valora.operators import features as FE
 from valora.operators import metrics as MT
 from valora.operators import quality as QU
 from valora.operators import spatial as SP
+from valora.session import stage
 
 
 def feature_table(listings: DataFrame, feature_year: int = P.FEATURE_YEAR) -> DataFrame:
@@ -71,16 +71,13 @@ class TrainResult:
 
 def train(df: DataFrame, features: list[str] = P.FEATURES_V3, params: dict | None = None,
           test_pct: int = 20) -> TrainResult:
-    """Fit on the train split; metrics for both splits from one aggregate each."""
+    """Fit on the train split; one metrics aggregate for both splits."""
     params = dict(P.BOOSTER_DEFAULTS if params is None else params)
-    d = split(df, test_pct).select("id", P.TARGET, "is_test", *features).cache()
+    d = stage(split(df, test_pct).select("id", P.TARGET, "is_test", *features), "train_rows")
     model = pipeline(features, params).fit(d.where(~F.col("is_test")))
-    pred = model.transform(d)
-    m = {}
-    for name, part in (("train", pred.where(~F.col("is_test"))), ("test", pred.where(F.col("is_test")))):
-        r = MT.all_metrics(part, P.TARGET, "prediction").first().asDict()
-        m.update({f"{name}_{k}": float(v) if v is not None else None for k, v in r.items()})
-    d.unpersist()
+    rows = {r["is_test"]: r.asDict() for r in MT.all_metrics(model.transform(d), "is_test", P.TARGET, "prediction").collect()}
+    names = ("rmse", "mae", "r2", "ppe10", "ppe20", "mdape")
+    m = {f"{part}_{k}": rows.get(flag, {}).get(k) for part, flag in (("train", False), ("test", True)) for k in names}
     return TrainResult(model, list(features), params, m)
 
 
@@ -145,30 +142,29 @@ def sample_params(n: int, seed: int = 42) -> list[dict]:
 
 
 def tune(df: DataFrame, features: list[str] = P.FEATURES_V3, trials: int = P.TUNING_TRIALS,
-         folds: int = 5, parallelism: int = 4, seed: int = 42) -> tuple[dict, DataFrame]:
-    """Random search with k-fold CV RMSE (CrossValidator, parallel fits).
-    Returns the best parameter dict and a table of (trial params, cv rmse)."""
-    gbt = _gbt({})
-    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
-    pipe = Pipeline(stages=[asm, gbt])
-    trials_p = sample_params(trials, seed)
-    maps = []
-    for t in trials_p:
-        frac = min(1.0, max(0.0, t["colsample_bytree"]))
-        maps.append({gbt.stepSize: t["learning_rate"], gbt.maxDepth: t["max_depth"],
-                     gbt.subsamplingRate: t["subsample"], gbt.maxIter: t["n_estimators"],
-                     gbt.minInstancesPerNode: t["min_child_weight"],
-                     gbt.featureSubsetStrategy: f"{frac:.3f}"})
+         folds: int = 5, seconds: float = P.TUNING_SECONDS, seed: int = 42,
+         id_col: str = "id") -> tuple[dict | None, DataFrame]:
+    """Seeded random search with k-fold CV RMSE, ended by the number of trials
+    or by the time limit, whichever comes first.  Folds come from the id's hash.
+    Returns the best parameters and a table of (trial, params, cv_rmse) of the
+    trials whose folds all ended."""
     ev = RegressionEvaluator(labelCol=P.TARGET, predictionCol="prediction", metricName="rmse")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or ParamGridBuilder().build(),
-                        evaluator=ev, numFolds=folds, parallelism=parallelism, seed=seed)
-    train_df = split(df).where(~F.col("is_test")).select(P.TARGET, *features)
-    cvm = cv.fit(train_df)
-    spark = df.sparkSession
-    rows = [(json.dumps(t), float(m)) for t, m in zip(trials_p, cvm.avgMetrics)]
-    table = spark.createDataFrame(rows, "params string, cv_rmse double")
-    best = trials_p[int(min(range(len(rows)), key=lambda i: rows[i][1]))]
-    return best, table
+    rows = stage(split(df).where(~F.col("is_test")).select(
+        F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)).alias("fold"), P.TARGET, *features), "tune_rows")
+    began, done = time.monotonic(), []
+    for i, t in enumerate(sample_params(trials, seed)):
+        share = f"{min(1.0, max(0.0, t['colsample_bytree'])):.3f}"
+        model, scores = pipeline(features, {**t, "colsample_bytree": share, "seed": seed}), []
+        for k in range(folds):
+            if time.monotonic() - began > seconds:
+                break
+            fitted = model.fit(rows.where(F.col("fold") != k))
+            scores.append(ev.evaluate(fitted.transform(rows.where(F.col("fold") == k))))
+        if len(scores) < folds:
+            break
+        done.append((i, json.dumps(t), float(sum(scores) / folds)))
+    table = df.sparkSession.createDataFrame(done, "trial int, params string, cv_rmse double")
+    return (json.loads(min(done, key=lambda r: r[2])[1]) if done else None), table
 
 
 # ------------------------------------------------------------------ scenarios / invariance

@@ -201,11 +201,17 @@ FROM (SELECT l.id, pr.product, l.price * (1 - CAST(0.2 AS DOUBLE)) AS loan,
   l.price * CAST(0.0115 AS DOUBLE) / 12 AS tax, l.price * CAST(0.003 AS DOUBLE) / 12 AS ins
   FROM listings l, {_products_sql()}) x""")
 def q_monthly_payment(spark, sf):
-    parts = []
-    base = listings(spark, sf).select("id", "price")
-    for p, rate, t in _products():
-        parts.append(VA.monthly_payment(base, rate=rate, term_years=t).withColumn("product", F.lit(p)))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # one scan: the three products are a literal array; each row takes its own
+    # product's columns
+    products = _products()
+    arr = F.array(*[F.struct(F.lit(p).alias("product")) for p, _, _ in products])
+    rows = listings(spark, sf).select("id", "price", F.explode(arr).alias("x")).select("id", "price", "x.product")
+    cols = ["loan_amount", "monthly_pi", "monthly_tax", "monthly_insurance", "total_monthly"]
+    out = rows
+    for i, (_, rate, t) in enumerate(products):
+        out = VA.monthly_payment(out, rate=rate, term_years=t).withColumnsRenamed({c: f"_{c}_{i}" for c in cols})
+    pick = lambda c: F.coalesce(*[F.when(F.col("product") == p, F.col(f"_{c}_{i}")) for i, (p, _, _) in enumerate(products)])
+    out = out.select("id", "product", *[pick(c).alias(c) for c in cols])
     # loan/tax/insurance are exact IEEE products on both engines; only the
     # pow-based columns are rounded
     return out.select("id", "product", "loan_amount", F.round("monthly_pi", 4).alias("monthly_pi"),

@@ -14,7 +14,7 @@ from valora.operators import quality as QU
 from valora.operators import spatial as SP
 from valora.plans import sqlfrag as Q
 from valora.plans.catalog import register, with_views
-from valora.session import ensure_checkpoint_dir
+from valora.session import ensure_checkpoint_dir, stage
 from valora.sources import io as IO
 from valora.sources.tables import listings, zip_dim
 
@@ -164,14 +164,17 @@ def _chunk_store_sql():
 
 @register("chunk_store_seed_clear", _chunk_store_sql())
 def q_chunk_store(spark, sf):
-    """Seed twice (the second seed adds nothing: left-anti on id); the
-    metadata map is reported as its JSON text."""
+    """Seed, clear, then seed twice (the second seed adds nothing: left-anti on
+    id); the metadata map is reported as its JSON text."""
     from valora.operators.text import ingest_text
     from valora.sources.tables import table
     path = _scratch(spark, "chunk_store")
     d = table(spark, sf, "documents").withColumn(
         "source_name", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
-    seed = ingest_text(d, source_col="source_name", extra_meta=["lang"])
+    seed = stage(ingest_text(d, source_col="source_name", extra_meta=["lang"]), "chunk_seed")
+    IO.seed_chunk_store(path, seed)
+    if IO.clear_chunk_store(path, seed.schema).count():
+        raise RuntimeError("the cleared chunk store still has rows")
     IO.seed_chunk_store(path, seed)
     out = IO.seed_chunk_store(path, seed)
     return out.withColumn("metadata", F.to_json("metadata"))

@@ -259,7 +259,8 @@ def q_estimate_cost(spark, sf):
 
 
 AUDIT_REQ = f"""req AS (SELECT conv_id, turn, text AS prompt,
-  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS response, {_model_sql()} AS model
+  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS response, {_model_sql()} AS model,
+  conv_id * 100000 + turn * 1000 AS started, conv_id * 100000 + turn * 1000 + length(text) % 997 AS ended
   FROM conversations)"""
 
 
@@ -269,6 +270,7 @@ SELECT conv_id, turn, substring(sha256(prompt), 1, 16) AS prompt_hash, n AS inpu
   coalesce(n <= lim AND response IS NOT NULL, false) AS success,
   CASE WHEN n > lim THEN printf('Prompt exceeds token limit: %d > %d', n, lim)
        WHEN response IS NULL THEN 'empty response' ELSE '' END AS error_message,
+  CAST(CASE WHEN n <= lim THEN ended - started ELSE 0 END AS BIGINT) AS latency_ms,
   ROUND(n / 1000 * cin + CAST(CASE WHEN n <= lim THEN floor(length(response) / 4) ELSE 0 END AS BIGINT) / 1000 * cout, 10) AS cost_estimate
 FROM (SELECT r.*, CAST(floor(length(prompt) / 4) AS BIGINT) AS n, coalesce(md.input_limit, 4000) AS lim,
         coalesce(md.input_cost_1k, CAST(0.001 AS DOUBLE)) AS cin, coalesce(md.output_cost_1k, CAST(0.002 AS DOUBLE)) AS cout
@@ -277,11 +279,13 @@ def q_audit_rows(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")  # one conversation: bounded turns
     req = convs(spark, sf).select("conv_id", "turn", F.col("text").alias("prompt"),
                                   F.lead("text").over(w).alias("response"),
-                                  _model_col().alias("model"))
-    out = ME.audit_rows(req, spark)
+                                  _model_col().alias("model"),
+                                  (F.col("conv_id") * 100000 + F.col("turn") * 1000).alias("started"))
+    req = req.withColumn("ended", F.col("started") + F.length("prompt") % 997)
+    out = ME.audit_rows(req, spark, started_col="started", ended_col="ended")
     return out.select("conv_id", "turn", "prompt_hash", "input_tokens",
                       F.col("output_tokens").cast("bigint").alias("output_tokens"),
-                      F.coalesce("success", F.lit(False)).alias("success"), "error_message",
+                      F.coalesce("success", F.lit(False)).alias("success"), "error_message", "latency_ms",
                       F.round("cost_estimate", 10).alias("cost_estimate"))
 
 
