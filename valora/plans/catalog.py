@@ -37,5 +37,5 @@ def with_views(*names: str) -> str:
 def load_all() -> None:
     """Import every query module so that its registrations run."""
     from valora.plans import (  # noqa: F401
-        q_market, q_quality, q_spatial, q_comps, q_text, q_ml, q_audit, q_pipelines,
+        q_market, q_quality, q_spatial, q_comps, q_text, q_ml, q_contrib, q_audit, q_pipelines,
     )

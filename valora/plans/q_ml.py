@@ -1,4 +1,4 @@
-"""Machine-learning queries.
+"""Machine-learning queries.
 
 Registered queries train the original booster configuration (100 trees,
 depth 6, rate 0.1, seed 42: ``params.BOOSTER_DEFAULTS``).  A trained model is
@@ -14,7 +14,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from valora import params as P
-from valora.operators import enrich as EN
 from valora.operators import iforest as IF
 from valora.operators import memo as ME
 from valora.operators import ml as ML
@@ -74,17 +73,6 @@ def q_iforest(spark, sf):
     return out.select("id", "anomaly_score", "is_outlier")
 
 
-@register("clean_training_data")
-def q_clean_training(spark, sf):
-    out = IF.isolation_forest(QU.impute_sqft(listings(spark, sf)))
-    return QU.clean_training_data(out).select("id", "price", "sqft")
-
-
-@register("outlier_summary")
-def q_outlier_summary(spark, sf):
-    return QU.outlier_summary(IF.isolation_forest(QU.impute_sqft(listings(spark, sf))))
-
-
 @register("outlier_review")
 def q_outlier_review(spark, sf):
     """Flagged rows with their reasons (the review file content)."""
@@ -181,48 +169,8 @@ def q_global_shap(spark, sf):
     return TS.global_shap(_explained(spark, sf))
 
 
-@register("shap_sorted")
-def q_shap_sorted(spark, sf):
-    return _explained(spark, sf).select("id", TS.sorted_contributions().alias("contributions"))
-
-
-@register("top_drivers")
-def q_top_drivers(spark, sf):
-    pos, neg = TS.top_drivers()
-    return _explained(spark, sf).select("id", pos.alias("positive"), neg.alias("negative"))
-
-
-@register("waterfall")
-def q_waterfall(spark, sf):
-    return TS.waterfall(_explained(spark, sf))
-
-
 # ------------------------------------------------------------------ T19, T20, E5
 
-def _memo_input(spark, sf):
-    res, feats = _model(spark, sf)
-    expl = _explained(spark, sf).select("id", "base_value", "prediction", "shap_values")
-    base = feats.select("id", "zip_code", "sqft", "bedrooms", "year_built", "condition")
-    ctx = EN.market_context_static(base, spark).withColumns(
-        {"source": F.lit("static"), "rag_context": F.lit(None).cast("string")})
-    return (ctx.join(expl, "id")
-            .withColumn("shap_sorted", TS.sorted_contributions())
-            .withColumnRenamed("prediction", "model_price"))
-
-
-@register("memo_fields")
-def q_memo_fields(spark, sf):
-    out = ME.memo_fields(_memo_input(spark, sf))
-    return out.select("id", "model_price", "base_value", "price_diff", "price_diff_pct",
-                      "recommendation", "positive_drivers", "negative_drivers", "news_highlights",
-                      "risk_factors", "monthly_pi", "total_monthly", "source_note")
-
-
-@register("llm_prompt_rows")
-def q_llm_prompts(spark, sf):
-    return ME.llm_prompt_rows(_memo_input(spark, sf)).select("id", "llm_prompt")
-
-
 @register("importance_sorted")
 def q_importance_sorted(spark, sf):
     """K3: features by importance, descending, with their rank (<= #features rows)."""
