@@ -617,3 +617,86 @@ def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
         conf, sparkContext = Conf({"spark.master": "spark://host:7077"}), Context()
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def _listings(n=300, seed=4):
+    rng = np.random.default_rng(seed)
+    return [(i, float(37.75 + rng.normal(0, 0.004)), float(-122.44 + rng.normal(0, 0.004)), float(rng.integers(5, 20)) * 1e5,
+             float(rng.integers(8, 30)) * 100 if i % 9 else None, int(rng.integers(1, 5)), int(rng.integers(1950, 2020)),
+             "9410" + str(i % 3), int(rng.integers(1, 6))) for i in range(n)]
+
+
+LISTING_ROW = ("id long, lat double, lon double, price double, sqft double, bedrooms int, year_built int, "
+               "zip_code string, condition int")
+
+
+def test_etl_api(spark, tmp_path):
+    from valora.operators import etl as ET
+    raw = spark.createDataFrame(_listings(), LISTING_ROW)
+    with pytest.raises(ValueError):
+        ET.run_etl(raw.limit(0), str(tmp_path / "none"))
+    out = ET.run_etl(raw, str(tmp_path / "all"))
+    assert out.processed.count() == out.sales.count() == 300
+    assert spark.table("sales").where("zip_code = '94101'").count() == 100
+    assert "rule" in out.violations.columns or out.violations.count() >= 0
+    fewer = ET.run_etl(raw, str(tmp_path / "less"), exclude_outliers=True)
+    assert 280 <= fewer.processed.count() < 300
+    assert set(fewer.processed.columns) == set(out.processed.columns)
+
+
+def test_leave_one_out_lags(spark):
+    from valora.operators import spatial as SP
+    base = QU.impute_sqft(spark.createDataFrame(_listings(120, 6), LISTING_ROW))
+    rows = SP._ensure_ppsf(base).select("id", "h3_index", "price_per_sqft").toPandas()
+    got = {r.id: r.h3_median_ppsf for r in SP.leave_one_out_median(SP._ensure_ppsf(base)).collect()}
+    for r in rows.itertuples():
+        others = rows[(rows.h3_index == r.h3_index) & (rows.id != r.id)].price_per_sqft
+        if len(others):
+            assert got[r.id] == pytest.approx(others.median(), rel=1e-12)
+        else:
+            assert got[r.id] is None
+    assert SP.spatial_lags(base, leave_one_out=True).where("h3_median_ppsf is null").count() == 0
+
+
+def test_deep_trees_have_the_same_contributions(spark, tmp_path, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from valora.operators import treeshap as TS
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(400, 12))
+    y = X @ rng.normal(size=12) + np.sin(X[:, 0] * 3)
+    cols = [f"f{i}" for i in range(12)]
+    df = spark.createDataFrame([(i, *map(float, X[i]), float(y[i])) for i in range(400)],
+                               "id long, " + ", ".join(f"{c} double" for c in cols) + ", price double")
+    from pyspark.ml import Pipeline
+    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"),
+                             GBTRegressor(featuresCol="features", labelCol="price", maxIter=3, maxDepth=10, seed=1)]).fit(df)
+    trees, w = TS.load_trees(spark, model, str(tmp_path / "m"))
+    _, base, tables = TS.explain_arrays(trees, w, X[:50])
+    monkeypatch.setattr(TS, "TABLE_LIMIT", 0)
+    pred, base2, paths = TS.explain_arrays(trees, w, X[:50])
+    assert all(t["leaves"] is None for t in trees) and base == base2
+    assert np.allclose(tables, paths, atol=1e-9)
+    assert np.allclose(base + paths.sum(axis=1), pred)
+
+
+def test_models_belong_to_their_session_and_files(spark, tmp_path):
+    from valora.plans import q_ml
+    one, two = q_ml._version(spark, "/root/testdata/sf0.001"), q_ml._version(spark, "/root/testdata/sf0.01")
+    assert one != two and one[0] == spark.sparkContext.applicationId
+
+
+def test_vector_topk_in_many_blocks_keeps_ties_by_id(spark, monkeypatch):
+    from valora.operators import retrieval as RE
+    monkeypatch.setattr(RE, "ROW_BLOCK", 37)
+    monkeypatch.setattr(RE, "QUERY_BLOCK", 500)
+    rng = np.random.default_rng(1)
+    vecs = rng.integers(0, 3, size=(200, 4)).astype(float)
+    qs = rng.integers(0, 3, size=(10_000, 4)).astype(float)
+    cand = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qs)], "query_id long, qvec array<double>")
+    got = RE.vector_topk(cand, q, k=4).toPandas().sort_values(["query_id", "rank"])
+    assert len(got) == 40_000
+    for i in range(0, 10_000, 211):
+        d = ((vecs - qs[i]) ** 2).sum(axis=1)
+        assert list(got[got.query_id == i].cand_id) == list(np.lexsort((np.arange(200), d))[:4])

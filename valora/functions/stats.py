@@ -110,3 +110,18 @@ def join_by(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
     right = other.select(*[F.col(c).alias(f"_j_{c}") for c in by], *[c for c in other.columns if c not in by])
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in by])
     return df.join(right, same, "left").drop(*[f"_j_{c}" for c in by])
+
+
+def ranked_values(df: DataFrame, by: str, column: str, ranks) -> DataFrame:
+    """(by, n, r0, r1, ...): per group the number of values and those at the
+    ranks (from 0) that ``ranks(n)`` names; NULL beyond the ends.  Ranks run
+    over value counts, one row for each different value of a group."""
+    counts = (df.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("v"))
+              .agg(F.count(F.lit(1)).alias("c")))
+    whole = Window.partitionBy(by)
+    to = F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"n": F.sum("c").over(whole), "to": to})
+    wanted = ranks(F.col("n"))
+    return ranked.groupBy(by, "n").agg(*[
+        F.max(F.when((F.col("to") - F.col("c") <= r) & (r < F.col("to")), F.col("v"))).alias(f"r{i}")
+        for i, r in enumerate(wanted)])

@@ -142,10 +142,29 @@ def fill_with_median(df: DataFrame, cols: list[str]) -> DataFrame:
     return out.drop(*[f"_med_{c}" for c in cols])
 
 
-def spatial_lags(df: DataFrame) -> DataFrame:
+def leave_one_out_median(df: DataFrame) -> DataFrame:
+    """Rows with ``h3_median_ppsf`` of their cell without the row itself (NULL
+    where it is alone), from at most four ranked values of a cell.
+
+    Of n sorted values, taking out the one at rank i leaves n - 1; the values
+    at rank k of what is left are those at rank k, or k + 1 from i on.  So the
+    values around the middle decide, and whether the row is below them."""
+    rows = df.where(F.col("h3_index").isNotNull() & F.col("price_per_sqft").isNotNull())
+    around = ST.ranked_values(rows, "h3_index", "price_per_sqft", lambda n: [
+        F.floor((n - 2) / 2), F.floor((n - 2) / 2) + 1, F.ceil((n - 2) / 2), F.ceil((n - 2) / 2) + 1])
+    v = F.col("price_per_sqft")
+    at = lambda a, b: F.when(v <= F.col(a), F.col(b)).otherwise(F.col(a))
+    out = df.join(around, "h3_index", "left")
+    med = F.when(F.col("n") < 2, None).when(v.isNull(), None).otherwise((at("r0", "r1") + at("r2", "r3")) / 2)
+    return out.withColumn("h3_median_ppsf", med).drop("n", "r0", "r1", "r2", "r3")
+
+
+def spatial_lags(df: DataFrame, leave_one_out: bool = False) -> DataFrame:
     """Cell median ppsf, neighbour ppsf, density, within-cell price percentile.
 
-    As in the original, a row's own price is inside its cell statistics.
+    As in the original, a row's own price is inside its cell statistics;
+    ``leave_one_out`` takes it out of the cell median (the neighbour cells
+    never hold it).
     """
     # the row table feeds four consumers (cell stats, rank buckets, bucket
     # counts, the join back) and the joined table two (medians, output):
@@ -155,6 +174,8 @@ def spatial_lags(df: DataFrame) -> DataFrame:
     ranked = cell_price_percentile(df)
     joined = ranked.join(cells.select("h3_index", "h3_median_ppsf", "h3_listing_density",
                                       "h3_median_price"), "h3_index", "left")
+    if leave_one_out:
+        joined = leave_one_out_median(joined.drop("h3_median_ppsf"))
     joined = stage(joined.join(neighbor_ppsf(cells), "h3_index", "left"), "lag_joined")
     return fill_with_median(joined, LAG_COLS)
 

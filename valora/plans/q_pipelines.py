@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from valora import params as P
 from valora.operators import enrich as EN
+from valora.operators import etl as ET
 from valora.operators import features as FE
 from valora.operators import quality as QU
 from valora.operators import spatial as SP
@@ -183,20 +184,12 @@ def q_chunk_store(spark, sf):
 # ------------------------------------------------------------------ pipelines
 
 def run_etl(spark, sf, validate: bool = True):
-    """Source -> clean names -> critical checks -> impute -> schema
-    violations (side table) -> V2.2 + V3 features -> Parquet + sales table."""
+    """E1 from landed files: the first source that is there goes through
+    ``operators.etl.run_etl``."""
     base = _scratch(spark, "etl")
     IO.write_csv(listings(spark, sf), f"{base}/raw.csv")
-    df = IO.source_priority(spark, [("parquet", f"{base}/preferred.parquet"), ("csv", f"{base}/raw.csv")])
-    df = QU.clean_column_names(df)
-    if validate:
-        QU.validate_critical_constraints(df)
-    df = QU.impute_condition(QU.impute_sqft(df))
-    violations = QU.schema_violations(df)
-    feats = SP.spatial_lags(FE.add_v2_features(df))
-    IO.write_parquet(feats, f"{base}/processed")
-    IO.write_parquet(violations, f"{base}/violations")
-    return IO.sales_table(spark.read.parquet(f"{base}/processed"), "sales")
+    raw = IO.source_priority(spark, [("parquet", f"{base}/preferred.parquet"), ("csv", f"{base}/raw.csv")])
+    return ET.run_etl(raw, base, validate).sales
 
 
 def _etl_sql(extra: str = ""):
