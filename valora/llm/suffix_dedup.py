@@ -18,9 +18,12 @@ their anchors.  An anchor serves a run of starts, about SPAN / 2 on average.
    range-partitioned by their leading bytes; Spark samples the splitters.  Each
    partition is sorted by multikey quicksort on 8-byte tokens; neighbours with
    the same leading part form runs, in which strings of equal d are compared.
-   A run at the edge of a partition can go on in the next: its strings are
-   compared across the boundary, by 128-bit hashes, in one more aggregation.
-   A passage with very many surroundings thus spreads over many partitions.
+   A run at the edge of a partition can go on in the next: to compare across
+   the boundary its suffixes, one of each kind, go through the same pass again,
+   for the two halves of the distances, which have more leading bytes in
+   common; the last few distances are compared string by string, by 128-bit
+   hashes.  A passage with very many surroundings thus spreads over many
+   partitions, and a suffix makes a few rows, not one for each string.
 4. The covered spans of a text are joined back to the texts by a 128-bit hash.
 
 All sizes are linear in the text; no task gets all occurrences of a passage.
@@ -33,6 +36,8 @@ can fall inside a character, so what is kept is binary.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,8 @@ from valora.session import stage
 LENGTH, SPAN = 400, 256
 LEAD = LENGTH - SPAN + 1
 SORT_ROWS = 8_000
+#: width of distances below which strings are compared one by one
+LAST_WIDTH = 8
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -143,64 +150,102 @@ def _window_hashes(body: list[bytes], dmin: np.ndarray, dmax: np.ndarray) -> tup
     return row, dmax[row] - step, out[0], out[1]
 
 
-SORTED = "key long, cid long, lo int, hi int, w1 long, w2 long, mult long"
-
-
-def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of suffixes (key, cid, dmin, dmax, mult, body): runs of
-    distances (lo to hi) whose strings are repeated, or, for the runs at the
-    two edges, each string with its hashes."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
+SORTED = ("kind int, key long, cid long, lo int, hi int, w1 long, w2 long, mult long, body binary, "
+          "lead long, ord long")
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(),
+          pa.int64(), pa.int64()]
+DONE, STRING, AGAIN = range(3)
+
+
+def _rows(kind: int, key, cid, lo, hi, w1=None, w2=None, mult=None, body=None, lead=None, ord_=None) -> pa.RecordBatch:
+    n = len(key)
+    cols = [np.full(n, kind), key, cid, lo, hi, *([None] * n if c is None else c for c in (w1, w2, mult, body, lead, ord_))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS)],
+                                      names=[f.split()[0] for f in SORTED.split(", ")])
+
+
+def _common(body: bytes, dmax: int, node: int, width: int) -> bytes:
+    """The bytes that all strings of a node of distances hold."""
+    return body[dmax - node: dmax - node + LENGTH - width + 1]
+
+
+def _lead(common: bytes) -> int:
+    return int.from_bytes(common[:8].ljust(8, b"\0"), "big") - (1 << 63)
+
+
+def _edge(rows: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
+    """A run at the edge of its range, rows (key, cid, dmin, dmax, mult,
+    body): equal rows with two occurrences are done; one of each goes on, in
+    the two halves of its distances, or string by string at the end."""
+    alike: dict[tuple, list[tuple]] = {}
+    for r in rows:
+        alike.setdefault((r[2], r[3], r[5]), []).append(r)
+    done, on = [], []
+    for (lo, hi, body), same in alike.items():
+        mult = sum(r[4] for r in same)
+        if mult > 1:
+            done += [(r[0], r[1], lo, hi) for r in same]
+        on.append((same[0][0], same[0][1], lo, hi, mult, body))
+    if done:
+        yield _rows(DONE, *zip(*done))
+    if width <= LAST_WIDTH:
+        row, d, w1, w2 = _window_hashes([r[5] for r in on], np.array([r[2] for r in on]), np.array([r[3] for r in on]))
+        key, cid, mult = (np.array([r[i] for r in on])[row] for i in (0, 1, 4))
+        yield _rows(STRING, key, cid, d, d, w1.view(np.int64), w2.view(np.int64), mult)
         return
-    cols = pa.Table.from_batches(tables)
-    key, cid, dmin, dmax, mult = (cols.column(i).to_numpy().astype(np.int64) for i in range(5))
-    body = cols.column(5).to_pylist()
-    right = np.frombuffer(b"".join(b[d: d + LENGTH].ljust(LENGTH, b"\0") for b, d in zip(body, dmax.tolist())),
-                          ">u8").reshape(len(body), -1).astype(np.uint64)
-    order = multikey_order(right)
-    lead = right.view(np.uint8).reshape(len(body), -1, 8)[:, :, ::-1].reshape(len(body), -1)[:, :LEAD]
-    new = np.any(lead[order[1:]] != lead[order[:-1]], axis=1)
-    run = np.concatenate([[0], np.cumsum(new)])
-    edge = (run == 0) | (run == run[-1])
-    starts = np.flatnonzero(np.diff(run, prepend=-1))
-    stops = np.append(starts[1:], len(order))
-    pack = lambda *c: pa.RecordBatch.from_arrays([
-        pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-        names=["key", "cid", "lo", "hi", "w1", "w2", "mult"])
-    position = np.empty(len(body), np.int64)
-    position[order] = np.arange(len(order))
-    p = 0
-    while p < len(starts):  # whole runs together, about a thousand suffixes at a time
-        q = p + 1
-        while q < len(starts) and stops[q] - starts[p] <= 1000:
-            q += 1
-        rows = order[starts[p]: stops[q - 1]]
-        alone = edge[starts[p]] and q == p + 1  # strings of an edge run are compared later: any split will do
-        p = q
-        for block in np.array_split(rows, -(-len(rows) // 1000) if alone else 1):
+    half, out = width // 2, []
+    for key, cid, dmin, dmax, mult, body in on:
+        for node in range(dmin // half * half, dmax + 1, half):
+            lo, hi = max(dmin, node), min(dmax, node + half - 1)
+            part = body[dmax - hi: len(body) - (lo - dmin)]
+            common = _common(part, hi, node, half)
+            name = int.from_bytes(blake2b(common, digest_size=8).digest(), "big", signed=True)
+            out.append((key, cid, lo, hi, None, None, mult, part, _lead(common), name))
+    yield _rows(AGAIN, *zip(*out))
+
+
+def sort_bucket(width: int, alone: bool):
+    """Task function for one range of suffixes (key, cid, lo, hi, mult, body)
+    whose distances lie in nodes of ``width``; ``alone``: there is no other
+    range.  Runs inside the range are resolved, see ``_edge`` for the others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        cols = pa.Table.from_batches(tables)
+        key, cid, dmin, dmax, mult = (cols.column(i).to_numpy().astype(np.int64) for i in range(5))
+        body = cols.column(5).to_pylist()
+        node = dmin // width * width
+        size = -(-(LENGTH - width + 1) // 8) * 8
+        common = [_common(b, d, n, width).ljust(size, b"\0") for b, d, n in zip(body, dmax.tolist(), node.tolist())]
+        tokens = np.frombuffer(b"".join(common), ">u8").reshape(len(body), -1).astype(np.uint64)
+        tokens = np.column_stack([tokens, node.astype(np.uint64)])
+        order = multikey_order(tokens)
+        starts = np.flatnonzero(np.concatenate([[True], np.any(tokens[order[1:]] != tokens[order[:-1]], axis=1)]))
+        stops = np.append(starts[1:], len(order))
+        first, last = (0, len(starts)) if alone else (1, len(starts) - 1)
+        for k in ([] if alone else sorted({0, len(starts) - 1})):
+            yield from _edge([(int(key[i]), int(cid[i]), int(dmin[i]), int(dmax[i]), int(mult[i]), body[i])
+                              for i in order[starts[k]: stops[k]]], width)
+        p = first
+        while p < last:  # whole runs together, about a thousand suffixes at a time
+            q = p + 1
+            while q < last and stops[q] - starts[p] <= 1000:
+                q += 1
+            block = order[starts[p]: stops[q - 1]]
+            p = q
             row, d, w1, w2 = _window_hashes([body[i] for i in block], dmin[block], dmax[block])
-            who = block[row]
-            outer = edge[position[who]]
-            if outer.any():
-                x = who[outer]
-                yield pack(key[x], cid[x], d[outer], d[outer], w1[outer].view(np.int64), w2[outer].view(np.int64), mult[x])
-            inner = ~outer
-            if inner.any():
-                row, d, w1, w2, who = row[inner], d[inner], w1[inner], w2[inner], who[inner]
-                by = np.lexsort((w2, w1))
-                change = (np.diff(w1[by], prepend=w1[by[0]] ^ np.uint64(1)) != 0) | (np.diff(w2[by], prepend=w2[by[0]]) != 0)
-                change[0] = True
-                group = np.cumsum(change) - 1
-                total = np.bincount(group, mult[who[by]])
-                again = np.zeros(len(by), bool)
-                again[by] = total[group] > 1
-                row, d, who = row[again], d[again], who[again]
-                if len(row):  # distances fall by one within a row
-                    cut = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(d, prepend=d[0]) != -1))
-                    last = np.append(cut[1:], len(row)) - 1
-                    none = np.full(len(cut), None)
-                    yield pack(key[who[cut]], cid[who[cut]], d[last], d[cut], none, none, none)
+            by = np.lexsort((w2, w1))
+            change = np.concatenate([[True], (np.diff(w1[by]) != 0) | (np.diff(w2[by]) != 0)])
+            group = np.cumsum(change) - 1
+            again = np.zeros(len(by), bool)
+            again[by] = np.bincount(group, mult[block[row[by]]])[group] > 1
+            row, d = row[again], d[again]
+            if len(row):  # distances fall by one within a row
+                cut = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(d, prepend=d[0]) != -1))
+                who = block[row[cut]]
+                yield _rows(DONE, key[who], cid[who], d[np.append(cut[1:], len(row)) - 1], d[cut])
+    return run
 
 
 def repeated(texts: DataFrame) -> DataFrame:
@@ -235,32 +280,42 @@ def repeated(texts: DataFrame) -> DataFrame:
                                               F.sum("n").alias("mult"))
               .groupBy("r.h1", "r.h2").agg(F.collect_list(F.struct("key", "cid", "mult", "r.at", "r.dmin", "r.dmax")).alias("c")))
     pieces = (texts.join(chosen, ["h1", "h2"])
-              .select("h1", "h2", "text", "c").mapInArrow(_cut_out, "key long, cid long, dmin int, dmax int, mult long, body binary, lead long"))
-    pieces = stage(pieces.dropDuplicates(["key", "cid"]), "suffixes")
-    ranges = max(1, -(-pieces.count() // SORT_ROWS))
-    resolved = stage(pieces.repartitionByRange(ranges, "lead", "key", "cid")
-                     .select("key", "cid", "dmin", "dmax", "mult", "body").mapInArrow(sort_bucket, SORTED), "suffix_runs")
-    edge = resolved.where("w1 is not null")
-    twice = edge.groupBy("w1", "w2").agg(F.sum("mult").alias("m")).where("m > 1").drop("m")
-    runs = (resolved.where("w1 is null").select("key", "cid", "lo", "hi")
-            .union(edge.join(twice, ["w1", "w2"]).select("key", "cid", "lo", "hi")))
+              .select("h1", "h2", "text", "c").mapInArrow(_cut_out, CUT))
+    todo = stage(pieces.dropDuplicates(["key", "cid"]), "suffixes")
+    width, passes = SPAN, []
+    while n := todo.count():
+        one = n <= SORT_ROWS
+        ranged = todo.repartition(1) if one else todo.repartitionByRange(-(-n // SORT_ROWS), "lead", "ord", "cid")
+        passes.append(stage(ranged.select("key", "cid", "lo", "hi", "mult", "body")
+                            .mapInArrow(sort_bucket(width, one), SORTED), "suffix_runs"))
+        todo = passes[-1].where(F.col("kind") == AGAIN).select("key", "cid", "lo", "hi", "mult", "body", "lead", "ord")
+        width //= 2
+    empty = texts.sparkSession.createDataFrame([], SORTED)
+    resolved = reduce(DataFrame.unionByName, passes, empty)
+    string = resolved.where(F.col("kind") == STRING)
+    twice = string.groupBy("w1", "w2").agg(F.sum("mult").alias("m")).where("m > 1").drop("m")
+    runs = (resolved.where(F.col("kind") == DONE).select("key", "cid", "lo", "hi")
+            .union(string.join(twice, ["w1", "w2"]).select("key", "cid", "lo", "hi"))).distinct()
     part = (other.join(runs, ["key", "cid"])
             .select("h1", "h2", (F.col("at") - F.col("hi")).alias("lo"), (F.col("at") - F.col("lo") + LENGTH).alias("hi")))
     return (whole.union(part).distinct().groupBy("h1", "h2")
             .agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
 
 
+CUT = "key long, cid long, lo int, hi int, mult long, body binary, lead long, ord long"
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "cid", "dmin", "dmax", "mult", "body", "lead"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+    names = [f.split()[0] for f in CUT.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     for b in batches:
         rows: list[tuple] = []
         for text, chosen in zip(b.column(2), b.column(3)):
             data = text.as_py().encode("utf-8", "replace")
             for c in chosen.as_py():
                 a, lo = c["at"], c["at"] - c["dmax"]
-                lead = int.from_bytes(data[a: a + 8], "big") - (1 << 63)
-                rows.append((c["key"], c["cid"], c["dmin"], c["dmax"], c["mult"], data[lo: a - c["dmin"] + LENGTH], lead))
+                rows.append((c["key"], c["cid"], c["dmin"], c["dmax"], c["mult"], data[lo: a - c["dmin"] + LENGTH],
+                             _lead(data[a: a + LEAD]), c["key"]))
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
                 rows = []
