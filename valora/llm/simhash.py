@@ -234,4 +234,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     placed = groups(slim, "doc_id", "fp").select("fp", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     kept = slim.join(placed, "fp").groupBy("root").agg(first.alias("k")).select(F.col("k.rid").alias(rid))
-    return marked.join(stage(kept, "simhash_kept"), rid, "left_semi").drop(fp, rid)
+    # one join strategy at every size; the small side is a row number each
+    return marked.join(stage(kept, "simhash_kept").hint("shuffle_hash"), rid, "left_semi").drop(fp, rid)
