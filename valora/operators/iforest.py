@@ -1,10 +1,11 @@
 """Distributed Isolation Forest (Liu, Ting & Zhou 2008) for listing outliers.
 
 1. Features median-imputed (1-row median aggregate, broadcast).
-2. Sub-sampling without a full explode: each row joins tree t when
-   hash(id, t) falls below a rate giving ~3*psi rows per tree in expectation;
-   per tree the psi rows with the smallest hash are kept (top-k per group,
-   partial before the shuffle).  psi = min(256, n).
+2. Sub-sampling without a full explode: each row joins a tree at a rate that
+   gives ~3*psi rows per tree in expectation; one hash of the id decides for
+   as many trees as their rates fit into 1.  Per tree the psi rows with the
+   smallest rest of the hash are kept (top-k per group, partial before the
+   shuffle).  psi = min(256, n).
 3. ``groupBy(tree).applyInPandas`` grows one isolation tree per group from
    its psi rows (bounded input, numpy RNG seeded by tree id).
 4. The trees (<= 100 x 511 nodes) are collected and shipped to a pandas UDF
@@ -106,11 +107,16 @@ def isolation_forest(df: DataFrame, features: list[str] | None = None, n_trees:
     n = filled.count()
     psi = min(max_samples, n)
     rate = min(1.0, 3.0 * psi / max(n, 1))
-    u = lambda t: (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), t), F.lit(1 << 40)) /
-                   F.lit(float(1 << 40)))
-    picks = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < rate)
-    sampled = (filled.select(id_col, *xcols, F.explode(picks).alias("tree"))
-               .withColumn("_u", u(F.col("tree"))))
+    # one hash serves as many trees as their rates fit into 1: its whole part
+    # in units of the rate names the tree, the rest orders the tree's rows
+    span = max(1, int(1 / rate))
+    draws = -(-n_trees // span)
+    u = lambda g: (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), g), F.lit(1 << 40)) /
+                   F.lit(float(1 << 40))) / F.lit(rate)
+    picks = F.filter(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda g: F.struct(
+        (g * span + F.floor(u(g))).cast("int").alias("tree"), (u(g) - F.floor(u(g))).alias("_u"), (u(g) < span).alias("in"))),
+        lambda x: x["in"] & (x["tree"] < n_trees))
+    sampled = filled.select(id_col, *xcols, F.explode(picks).alias("x")).select(id_col, *xcols, "x.tree", "x._u")
     w = Window.partitionBy("tree").orderBy("_u", id_col)
     sample = sampled.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
