@@ -13,7 +13,7 @@ def check(rows, shards, worst):
 def test_near_equal_bytes_with_a_hot_text(spark, monkeypatch):
     texts = [prose(i, 5 + i % 60) for i in range(300)] + ["same text " * 20] * 200 + [None, "", None, "é"]
     docs = documents(spark, texts, clash="slot")
-    for bucket_rows in (500_000, 20):
+    for bucket_rows in (500_000, 20, 4):
         monkeypatch.setattr(S, "BUCKET_ROWS", bucket_rows)
         out = S.shard(docs).withColumnRenamed("slot", "old").withColumnRenamed("_slot", "slot")
         rows = out.collect()

@@ -44,6 +44,15 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def smallest_hashes(df: DataFrame, key, rows: int, total: int) -> DataFrame:
+    """About the ``rows`` rows of ``total`` whose hash of ``key`` is smallest,
+    at most ``rows``.  A cut at twice the wanted share comes first, so that
+    what is sorted doesn't grow with the number of partitions."""
+    h = F.xxhash64(*key)
+    share = min(1.0, 2 * rows / max(total, 1))
+    return df.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy(F.pmod(h, F.lit(1 << 30)), *key).limit(rows)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs of any kind): rows
     ``(node, root)``, root the smallest node of the component.

@@ -44,11 +44,19 @@ def letters(text: str) -> bytes:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """Raw-content dictionaries by language, from rows with a label."""
     rows = (labelled.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"),
-                            F.xxhash64(F.col(key).cast("string")).alias("h"))
-            .where(F.col("t").rlike(r"\p{L}") & F.col("l").isNotNull() & (F.col("l") != UNKNOWN)))
+                            F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)).alias("h"))
+            .where(F.col("l").isNotNull() & (F.col("l") != UNKNOWN)))
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy("l").limit(MAX_LANGS).collect()}
+    if not counts:
+        return {}
+    # a cut at four times the wanted share of each language: what the window
+    # ranks doesn't grow with the input
+    cuts = F.create_map(*[x for l, n in counts.items() for x in (
+        F.lit(l), F.lit(int(min(1.0, 4 * SAMPLE_DOCS / n) * (1 << 30)) + 1))])
+    rows = rows.where((F.col("h") < F.coalesce(cuts[F.col("l")], F.lit(0))) & F.col("t").rlike(r"\p{L}"))
     w = Window.partitionBy("l").orderBy("h", "t")
     sample = (rows.withColumn("t", F.substring("t", 1, SAMPLE_CHARS)).withColumn("r", F.row_number().over(w))
-              .where(F.col("r") <= SAMPLE_DOCS).orderBy("l", "r").limit(MAX_LANGS * SAMPLE_DOCS))
+              .where(F.col("r") <= SAMPLE_DOCS).orderBy("l", "r"))  # at most MAX_LANGS * SAMPLE_DOCS rows
     model: dict[str, bytes] = {}
     for r in sample.select("l", "t").toLocalIterator():
         if len(model.get(r["l"], b"")) < DICT_BYTES:

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from valora.llm.common import read, register
+from valora.llm.common import read, register, smallest_hashes
 from valora.session import stage
 
 K = 20
@@ -156,7 +156,7 @@ def nearest(rows: DataFrame, is_query, k: int = K, ident: str = "vec_id", vector
     schema = "qid long, vec_id long, score double"
     if n and nq:
         longest = db.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)).alias("l")).agg(F.max("l")).first()[0]
-        sample = db.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()
+        sample = smallest_hashes(db, ["vec_id"], FIT_ROWS, n).select("v").collect()
         rot, radius = fit(np.array([r["v"] for r in sample]), longest, k)
         shared = spark.sparkContext.broadcast((rot, radius, longest))
         row_blocks, query_blocks = -(-n // ROW_BLOCK), -(-nq // QUERY_BLOCK)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-from valora.llm.common import fresh, read, register
+from valora.llm.common import fresh, read, register, smallest_hashes
 from valora.llm.textops import mix64, row_groups, text_buffer, word_hashes
 
 GRADES, SELECT = 3, 2
@@ -117,7 +117,7 @@ def tails(score: np.ndarray, t: np.ndarray) -> np.ndarray:
 def fit_sample(docs: DataFrame, labels: DataFrame, grade, ident: str = "doc_id", text: str = "text"):
     """Fit on the labelled documents with the smallest hash of their id."""
     marks = labels.select(F.col(ident).alias("k"), grade.cast("int").alias("g")).where("g is not null and k is not null")
-    chosen = marks.orderBy(F.xxhash64("k"), "k", "g").limit(FIT_ROWS)
+    chosen = smallest_hashes(marks, ["k", "g"], FIT_ROWS, marks.count())
     rows = docs.select(F.col(ident).alias("k"), F.col(text).alias("t")).join(chosen, "k").select("k", "t", "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from valora.llm.common import fresh, lower_ascii, read, register
+from valora.llm.common import fresh, lower_ascii, read, register, smallest_hashes
 
 # Rules of the contract (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -84,7 +84,8 @@ def judge(pages: DataFrame, url: str = "url") -> DataFrame:
     u = u.withColumn("r", rule_of(F.col("host"), F.col("path")))
     full = lexical(u).withColumn("label", F.when(F.col("r").isNotNull(), (F.col("r.verdict") == "block").cast("double")))
     slim = full.select("url", "label", *NUMBERS[:-2], "tld", "head").where("label is not null")
-    base = slim.agg(F.avg("label").alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
+    base = slim.agg(F.avg("label").alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+                    F.count("label").alias("n")).first()
     if base["p"] is None or base["lo"] == base["hi"]:
         kind = "block" if base["p"] == 1 else "allow"
         verdict, score = F.coalesce("r.verdict", F.lit(kind)), F.lit(None).cast("double")
@@ -95,7 +96,7 @@ def judge(pages: DataFrame, url: str = "url") -> DataFrame:
                 df = df.join(F.broadcast(rate), c, "left").fillna({f"{c}_rate": base["p"]})
             return df
         pack = VectorAssembler(inputCols=NUMBERS, outputCol="features")
-        sample = rated(slim.orderBy(F.xxhash64("url"), "url").limit(FIT_ROWS))
+        sample = rated(smallest_hashes(slim, ["url"], FIT_ROWS, base["n"]))
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label").fit(
             pack.transform(sample).select("features", "label").coalesce(4).cache())
         full = trees.transform(pack.transform(rated(full)))
