@@ -264,11 +264,12 @@ def repeated(texts: DataFrame) -> DataFrame:
                                                x["key"].view(np.int64), x["cid"].view(np.int64))],
                         names=["h1", "h2", "place", "key", "cid"])
 
-    found = texts.mapInArrow(cut, "h1 long, h2 long, place long, key long, cid long")
-    keys = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("c0"), F.max("cid").alias("c1"))
-            .where("n > 1").select("key", (F.col("c0") == F.col("c1")).alias("alike")))
-    hits = stage(found.join(keys, "key").groupBy("h1", "h2", "place", "key", "cid", "alike")
-                 .agg(F.count(F.lit(1)).alias("n")), "suffix_hits")
+    # copies of a text end here: one row for each place of a different text
+    found = stage(texts.mapInArrow(cut, "h1 long, h2 long, place long, key long, cid long")
+                  .groupBy("h1", "h2", "place", "key", "cid").agg(F.count(F.lit(1)).alias("n")), "anchors")
+    keys = (found.groupBy("key").agg(F.sum("n").alias("all"), F.min("cid").alias("c0"), F.max("cid").alias("c1"))
+            .where("all > 1").select("key", (F.col("c0") == F.col("c1")).alias("alike")))
+    hits = stage(found.join(keys, "key"), "suffix_hits")
     at, dmin, dmax = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     hits = hits.withColumns({"at": at, "dmin": dmin.cast("int"), "dmax": dmax.cast("int")})
     whole = hits.where("alike").select("h1", "h2", (F.col("at") - F.col("dmax")).alias("lo"),
