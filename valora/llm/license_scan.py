@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from valora.llm.common import fresh, lower_ascii, read, register
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE = 2
 
 # Phrases and labels of the contract.
@@ -84,16 +85,22 @@ class Template:
 TEMPLATES = [Template(*x, base=True) for x in BASE] + [Template(*x, base=False) for x in NOTICES]
 
 
-def words(text) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+def words(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the array of the text's words: what stands between the
+    separators, without the empty strings at the two ends."""
+    cut = df.withColumn(out, F.split(lower_ascii(F.coalesce(F.col(text), F.lit(""))), GAP))
+    first = F.when(F.col(out)[0] == "", 1).otherwise(0)
+    last = F.when((F.size(out) > 1) & (F.element_at(out, -1) == ""), 1).otherwise(0)
+    return cut.withColumn(out, F.slice(F.col(out), first + 1, F.size(out) - first - last))
 
 
 def inverse_frequencies(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """IDF of the licence words; at most as many rows as there are of them."""
     vocabulary = sorted({w for t in TEMPLATES for w, _ in t.key_words()})
-    seen = docs.select(F.array_distinct(F.filter(words(F.col(text)), lambda w: w.isin(vocabulary))).alias("w"))
+    seen = words(docs.select(F.col(text).alias("t")), "t", "ws").select(
+        F.explode(F.array_distinct(F.filter("ws", lambda w: w.isin(vocabulary)))).alias("w"))
     n = docs.count()
-    df = {r["w"]: r["count"] for r in seen.select(F.explode("w").alias("w")).groupBy("w").count().collect()}
+    df = {r["w"]: r["count"] for r in seen.groupBy("w").count().collect()}
     return {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-9 for w in vocabulary}
 
 
@@ -123,7 +130,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             F.lit(1.0).alias("share") if t.base else (share(s) / len(t.words)).alias("share")))
 
     none = F.array().cast("array<struct<label:string,base:boolean,start:bigint,share:double>>")
-    return (docs.withColumn(ws, words(F.col(text))).withColumn(hits, found)
+    return (words(docs, text, ws).withColumn(hits, found)
             .withColumn(matches, F.when(F.size(hits) > 0, F.concat(*map(places, TEMPLATES))).otherwise(none))
             .withColumn(n_words, F.size(ws).cast("long"))
             .select(*docs.columns, n_words, matches))
