@@ -269,7 +269,8 @@ def repeated(texts: DataFrame) -> DataFrame:
                   .groupBy("h1", "h2", "place", "key", "cid").agg(F.count(F.lit(1)).alias("n")), "anchors")
     keys = (found.groupBy("key").agg(F.sum("n").alias("all"), F.min("cid").alias("c0"), F.max("cid").alias("c1"))
             .where("all > 1").select("key", (F.col("c0") == F.col("c1")).alias("alike")))
-    hits = stage(found.join(keys, "key"), "suffix_hits")
+    # the keys as a table of their own, so that a key with very many places can be split in the join
+    hits = stage(found.join(stage(keys, "suffix_keys"), "key"), "suffix_hits")
     at, dmin, dmax = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     hits = hits.withColumns({"at": at, "dmin": dmin.cast("int"), "dmax": dmax.cast("int")})
     whole = hits.where("alike").select("h1", "h2", (F.col("at") - F.col("dmax")).alias("lo"),
