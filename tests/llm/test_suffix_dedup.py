@@ -50,6 +50,29 @@ def test_equals_brute_force(spark, monkeypatch, sort_rows):
         assert all(a[1] < b[0] for a, b in zip(runs, runs[1:]))
 
 
+def one_gram(n):
+    """Pairs and more of texts that share 500 bytes; all shared passages have
+    the same anchor gram, and different bytes after it."""
+    r = random.Random(8)
+    word = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
+    grams = [word(8) for _ in range(300_000)]
+    with np.errstate(over="ignore"):
+        h = np.array([int.from_bytes(g.encode(), "little") for g in grams], np.uint64) * S.MULT >> np.uint64(32)
+    gram, out = grams[int(h.argmin())], []
+    for _ in range(n):
+        shared = word(150) + gram + word(342)
+        out += [word(40 + 3 * k) + shared + word(30 + k) for k in range(2 + r.randrange(3))]
+    return out
+
+
+def test_runs_behind_one_gram_cut_by_many_boundaries(spark, monkeypatch):
+    monkeypatch.setattr(S, "SORT_ROWS", 25)
+    some = one_gram(120)
+    got = {r["doc_id"]: r for r in S.dedup(documents(spark, some)).collect()}
+    for i, (t, gone) in enumerate(zip(some, brute(some))):
+        assert bytes(got[i]["kept"]) == bytes(c for c, g in zip(t.encode(), gone) if not g)
+
+
 def test_empty_table_and_no_repeats(spark):
     assert S.dedup(documents(spark, ["a"]).limit(0)).count() == 0
     assert [r["removed"] for r in S.dedup(documents(spark, [prose(1, 300), prose(2, 300)])).collect()] == [[], []]

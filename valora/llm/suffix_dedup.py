@@ -18,8 +18,10 @@ their anchors.  An anchor serves a run of starts, about SPAN / 2 on average.
    range-partitioned by their leading bytes; Spark samples the splitters.  Each
    partition is sorted by multikey quicksort on 8-byte tokens; neighbours with
    the same leading part form runs, in which strings of equal d are compared.
-   A run at the edge of a partition can go on in the next: to compare across
-   the boundary its suffixes, one of each kind, go through the same pass again,
+   Ranges are cut by the first 8 bytes and a hash of the leading part, so only
+   the runs with the smallest or largest of these in a partition can go on in
+   another, wherever their bytes stand in the sorted partition: to compare
+   across the boundary their suffixes, one of each kind, go through the pass again,
    for the two halves of the distances, which have more leading bytes in
    common; the last few distances are compared string by string, by 128-bit
    hashes.  A passage with very many surroundings thus spreads over many
@@ -174,7 +176,7 @@ def _lead(common: bytes) -> int:
 
 
 def _edge(rows: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
-    """A run at the edge of its range, rows (key, cid, dmin, dmax, mult,
+    """A run that can go on in another range, rows (key, cid, dmin, dmax, mult,
     body): equal rows with two occurrences are done; one of each goes on, in
     the two halves of its distances, or string by string at the end."""
     alike: dict[tuple, list[tuple]] = {}
@@ -205,9 +207,10 @@ def _edge(rows: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
 
 
 def sort_bucket(width: int, alone: bool):
-    """Task function for one range of suffixes (key, cid, lo, hi, mult, body)
-    whose distances lie in nodes of ``width``; ``alone``: there is no other
-    range.  Runs inside the range are resolved, see ``_edge`` for the others."""
+    """Task function for one range of suffixes (key, cid, lo, hi, mult, body,
+    lead, ord) whose distances lie in nodes of ``width``; ``alone``: there is no
+    other range.  Runs with the smallest or largest (lead, ord) of the range may
+    go on in another, see ``_edge``; all others are resolved here."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
         if not tables:
@@ -223,16 +226,22 @@ def sort_bucket(width: int, alone: bool):
         order = multikey_order(tokens)
         starts = np.flatnonzero(np.concatenate([[True], np.any(tokens[order[1:]] != tokens[order[:-1]], axis=1)]))
         stops = np.append(starts[1:], len(order))
-        first, last = (0, len(starts)) if alone else (1, len(starts) - 1)
-        for k in ([] if alone else sorted({0, len(starts) - 1})):
+        edge = np.zeros(len(starts), bool)  # all rows of a run have one (lead, ord)
+        if not alone:
+            lead, name = (cols.column(i).to_numpy() for i in (6, 7))
+            by = np.lexsort((name, lead))
+            for i in by[[0, -1]]:
+                edge |= (lead[order[starts]] == lead[i]) & (name[order[starts]] == name[i])
+        for k in np.flatnonzero(edge):
             yield from _edge([(int(key[i]), int(cid[i]), int(dmin[i]), int(dmax[i]), int(mult[i]), body[i])
                               for i in order[starts[k]: stops[k]]], width)
-        p = first
-        while p < last:  # whole runs together, about a thousand suffixes at a time
-            q = p + 1
-            while q < last and stops[q] - starts[p] <= 1000:
+        inner, p = np.flatnonzero(~edge), 0
+        while p < len(inner):  # whole runs together, about a thousand suffixes at a time
+            q, some = p, 0
+            while q == p or q < len(inner) and some + stops[inner[q]] - starts[inner[q]] <= 1000:
+                some += stops[inner[q]] - starts[inner[q]]
                 q += 1
-            block = order[starts[p]: stops[q - 1]]
+            block = np.concatenate([order[starts[k]: stops[k]] for k in inner[p:q]])
             p = q
             row, d, w1, w2 = _window_hashes([body[i] for i in block], dmin[block], dmax[block])
             by = np.lexsort((w2, w1))
@@ -288,7 +297,7 @@ def repeated(texts: DataFrame) -> DataFrame:
     while n := todo.count():
         one = n <= SORT_ROWS
         ranged = todo.repartition(1) if one else todo.repartitionByRange(-(-n // SORT_ROWS), "lead", "ord", "cid")
-        passes.append(stage(ranged.select("key", "cid", "lo", "hi", "mult", "body")
+        passes.append(stage(ranged.select("key", "cid", "lo", "hi", "mult", "body", "lead", "ord")
                             .mapInArrow(sort_bucket(width, one), SORTED), "suffix_runs"))
         todo = passes[-1].where(F.col("kind") == AGAIN).select("key", "cid", "lo", "hi", "mult", "body", "lead", "ord")
         width //= 2
