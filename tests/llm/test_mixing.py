@@ -76,3 +76,20 @@ def test_default_weights_stored_order_and_empty_table(spark, monkeypatch):
     with pytest.raises(ValueError):
         monkeypatch.setattr(M, "MAX_SOURCES", 2)
         M.mix(docs)
+
+
+def test_deviation_from_the_true_weights():
+    root = {f"r{i:02}": 200_000 + 3_500 * i for i in range(20)} | {"hot": 2_000_000}
+    root = {k: (n // 80, math.sqrt(n)) for k, n in root.items()}
+    tiny = {f"t{i:03}": (1, 0.01 / 900) for i in range(900)} | {"hot": (60_000, 0.99)}
+    for case in (root, tiny):
+        total = sum(w for _, w in case.values())
+        plan = M.phases({k: n for k, (n, _) in case.items()}, {k: w for k, (_, w) in case.items()})
+        until = min(n * total / w for n, w in case.values())  # all sources have blocks
+        for k, (n, w) in case.items():
+            slots = [start + (b - first) // len(s) * p + s[(b - first) % len(s)]
+                     for first, end, start, p, s in plan[k] for b in range(first, end)]
+            assert len(slots) == n
+            for i, t in enumerate(slots):
+                if t + 1 < until:  # just before and just after the block
+                    assert abs(i - w / total * t) < 1 and abs(i + 1 - w / total * (t + 1)) < 1

@@ -1,20 +1,27 @@
 """Mixing sources to target weights by Pfair scheduling.  [native]
 
-The documents of a source form blocks of ``BLOCK_ROWS``.  With target weight w
-(a share of all blocks), block i of a source may run from slot floor(i / w)
-(its release) and must run before slot ceil((i + 1) / w) (its deadline).  Every
-slot takes the released block with the earliest deadline.  One block a slot
-and weights that sum to 1 make this always feasible, so after any number of
-slots a source is less than one block away from its share.
-
-Weights are whole parts of ``RESOLUTION``; the schedule then repeats after
-RESOLUTION slots, and one period is the whole plan.  When a source has run
-out, a new phase begins with the remaining weights, so every document is kept.
-The plan (for each source its phases and slots in a period) has at most
-MAX_SOURCES x RESOLUTION numbers, made from one count per source; it is
-broadcast.  Documents move by DataFrame functions only: their number in their
-source is a row number in a chunk (by hash of id and text) plus the count of
-the chunks before, so that no source is a window by itself.
+The documents of a source form blocks of ``BLOCK_ROWS``.  The target is the
+fluid mix, in which every source is served at its exact weight over the sum of
+the weights of the sources that still have blocks.  Block i of a source may run
+from the slot in which its fluid service begins (its release) and must run
+before the slot in which it has ended (its deadline), so floor(i / w) and
+ceil((i + 1) / w) while all sources last.  Every slot takes the released block
+with the earliest deadline.  The fluid mix itself keeps all these limits, one
+block a slot, so the earliest deadline does too, and after any number of slots
+a source is less than one block away from its exact share.
+
+Fluid time: at virtual time v a source of weight w and n blocks has got
+min(w v, n), so block i begins at v = i / w, in slot sum(min(w v, n)) over all
+sources.  Weights are integers (the given decimals, scaled), and slots are
+taken by integer division, so nothing is rounded.
+
+The plan is made on the driver, ``PIECE`` blocks of a source to a row (a number
+for each block, in steps of ``STEP`` blocks), and staged as a table; it is
+broadcast up to ``BROADCAST_BLOCKS`` blocks and joined beyond.  There may be
+``MAX_SOURCES`` sources.  Documents move
+by DataFrame functions only: their number in their source is a row number in a
+chunk (by hash of id and text) plus the count of the chunks before, so that no
+source is a window by itself.
 
 Without weights a source gets the square root of its number of documents.
 
@@ -28,19 +35,29 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from valora.llm.common import fresh, read, register
-
-RESOLUTION, MAX_SOURCES, BLOCK_ROWS = 1000, 1000, 8
+from valora.session import stage
+
+#: refuse more sources than this; None: any number
+MAX_SOURCES: int | None = 1000
+RESOLUTION, BLOCK_ROWS = 1000, 8
+#: blocks in a row of the plan, blocks planned before rows are handed on, and
+#: blocks up to which the plan is broadcast (8 bytes each)
+PIECE, STEP, BROADCAST_BLOCKS = 4096, 2_000_000, 4_000_000
 CHUNK_ROWS, MIN_CHUNKS = 100_000, 64
 
 
 def parts(weights: dict[str, float]) -> dict[str, int]:
-    """Whole parts of RESOLUTION by largest remainder, one at least."""
+    """Whole parts of RESOLUTION by largest remainder, one at least (for shares
+    that are wanted as such; the schedule takes the exact weights)."""
     total = sum(weights.values())
     exact = {k: v / total * RESOLUTION for k, v in weights.items()}
     out = {k: max(1, math.floor(x)) for k, x in exact.items()}
@@ -52,64 +69,133 @@ def parts(weights: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def period(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of every source in one period, earliest deadline first."""
-    n = sum(share.values())
-    releases: dict[int, list] = {}
-    for k, c in share.items():
-        for i in range(c):
-            releases.setdefault(i * n // c, []).append((-(-(i + 1) * n // c), k))
-    slots: dict[str, list[int]] = {k: [] for k in share}
-    ready: list = []
-    for t in range(n):
-        for x in releases.get(t, ()):
-            heapq.heappush(ready, x)
-        deadline, k = heapq.heappop(ready)
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as integers in the same proportions, exactly those of the
+    decimal numbers as written."""
+    exact = {k: Fraction(repr(float(w))) for k, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {k: int(x * scale) for k, x in exact.items()}
+
+
+def _fluid(blocks: dict[str, int], weights: dict[str, int]):
+    """Function of (weight, number of blocks i) to the fluid mix's time at
+    virtual time i / weight as (whole slots, whether there is a rest)."""
+    ends = sorted({(Fraction(blocks[k], weights[k])) for k in blocks})
+    at = {v: j for j, v in enumerate(ends)}
+    done, gone = [0] * (len(ends) + 1), [0] * (len(ends) + 1)
+    for k, n in blocks.items():
+        j = at[Fraction(n, weights[k])] + 1
+        done[j] += n
+        gone[j] += weights[k]
+    rate = [sum(weights[k] for k in blocks)] + [0] * len(ends)
+    for j in range(1, len(done)):
+        done[j] += done[j - 1]
+        rate[j] = rate[j - 1] - gone[j]
+    near = [float(v) for v in ends]
+    pair = [(v.numerator, v.denominator) for v in ends]
+
+    def time(w: int, i: int) -> tuple[int, bool]:
+        j = bisect_right(near, i / w)  # nearly right; made exact
+        while j < len(pair) and i * pair[j][1] >= pair[j][0] * w:
+            j += 1
+        while j and i * pair[j - 1][1] < pair[j - 1][0] * w:
+            j -= 1
+        slot, rest = divmod(rate[j] * i, w)
+        return done[j] + slot, rest > 0
+    return time
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[str]:
+    """The source of every slot, earliest deadline first among the released
+    blocks, for positive integer weights."""
+    time = _fluid(blocks, weights)
+    names = sorted(blocks)
+    waiting = [(0, j, 0) for j in range(len(names)) if blocks[names[j]]]  # (release, source, block)
+    ready: list[tuple[int, int, int, int]] = []  # (deadline, source, block, next release)
+    for t in range(sum(blocks.values())):
+        while waiting and waiting[0][0] <= t:
+            _, j, i = heapq.heappop(waiting)
+            slot, rest = time(weights[names[j]], i + 1)
+            heapq.heappush(ready, (slot + rest, j, i, slot))
+        deadline, j, i, after = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError("a deadline was missed")
+        if i + 1 < blocks[names[j]]:
+            heapq.heappush(waiting, (after, j, i + 1))
+        yield names[j]
+
+
+def period(share: dict[str, int]) -> dict[str, list[int]]:
+    """Slots of every source in one period of whole shares."""
+    slots: dict[str, list[int]] = {k: [] for k in share}
+    for t, k in enumerate(schedule(share, share)):
         slots[k].append(t)
     return slots
 
 
+def stream(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[str]:
+    """The source of every slot; those without a positive weight come last."""
+    first = {k: weights[k] for k in blocks if weights.get(k, 0) > 0}
+    for some in (first, {k: 1.0 for k in blocks if k not in first}):
+        if some:
+            yield from schedule({k: blocks[k] for k in some}, whole(some))
+
+
+def pieces(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, list[int]]]:
+    """The plan: rows (source, piece, slots of the piece's blocks)."""
+    open_: dict[str, tuple[int, list[int]]] = {}
+    for t, k in enumerate(stream(blocks, weights)):
+        n, slots = open_.get(k) or open_.setdefault(k, (0, []))
+        slots.append(t)
+        if len(slots) == PIECE:
+            yield k, n, slots
+            open_[k] = (n + 1, [])
+    yield from ((k, n, slots) for k, (n, slots) in open_.items() if slots)
+
+
 def phases(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, list[tuple]]:
-    """For each source (first block, end, first slot, period, slots)."""
-    left, done, start = dict(blocks), dict.fromkeys(blocks, 0), 0
-    plan: dict[str, list[tuple]] = {k: [] for k in blocks}
-    while left:
-        active = {k: weights[k] for k in left if weights.get(k, 0) > 0} or dict.fromkeys(left, 1.0)
-        share = parts(active)
-        slots, n = period(share), sum(share.values())
-        last = min((left[k] - 1) // share[k] * n + slots[k][(left[k] - 1) % share[k]] for k in active)
-        for k in active:
-            q, r = divmod(last + 1, n)
-            ran = q * share[k] + bisect_left(slots[k], r)
-            plan[k].append((done[k], done[k] + ran, start, n, slots[k]))
-            done[k] += ran
-            left[k] -= ran
-            if not left[k]:
-                del left[k]
-        start += last + 1
-    return plan
+    """For each source (first block, end, first slot, period, slots): the whole
+    schedule as one run."""
+    slots: dict[str, list[int]] = {k: [] for k in blocks}
+    for t, k in enumerate(stream(blocks, weights)):
+        slots[k].append(t)
+    return {k: [(0, len(x), 0, sum(blocks.values()), x)] for k, x in slots.items()}
+
+
+def _table(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], kind: str) -> DataFrame:
+    """The plan as a DataFrame; a large one is staged in parts."""
+    parts_, rows, n = [], [], 0
+    for row in pieces(blocks, weights):
+        rows.append(row)
+        n += len(row[2])
+        if n >= STEP:
+            parts_.append(stage(spark.createDataFrame(rows, kind), "mix_plan"))
+            rows, n = [], 0
+    if rows or not parts_:
+        parts_.append(spark.createDataFrame(rows, kind))
+    return reduce(DataFrame.unionByName, parts_)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source",
         ident: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` with ``mix_block`` (of its source), ``mix_slot`` (its block's
     slot, gapless) and ``mix_item`` (place in the block)."""
-    names = fresh(docs, "mix_block", "mix_slot", "mix_item", "sk", "chunk", "cnt", "before", "plan", "k")
-    block, slot, item, sk, chunk, cnt, before, plan, k = names
+    names = fresh(docs, "mix_block", "mix_slot", "mix_item", "sk", "chunk", "cnt", "before", "plan", "piece", "k")
+    block, slot, item, sk, chunk, cnt, before, plan, piece, k = names
     key = F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source).cast("string")))
-    sizes = docs.groupBy(key.alias(sk)).count().limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
+    sizes = docs.groupBy(key.alias(sk)).count()
+    sizes = (sizes if MAX_SOURCES is None else sizes.limit(MAX_SOURCES + 1)).collect()
+    if MAX_SOURCES is not None and len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = {r[sk]: r["count"] for r in sizes}
     if weights is None:
         target = {s: math.sqrt(n) for s, n in rows.items()}
     else:
         target = {"0" if s is None else f"1{s}": float(w) for s, w in weights.items()}
-    made = phases({s: -(-n // block_rows) for s, n in sorted(rows.items())}, target)
-    kind = f"{sk} string, {plan} array<struct<a: bigint, z: bigint, s: bigint, n: bigint, slots: array<int>>>"
-    table = docs.sparkSession.createDataFrame(sorted(made.items()), kind)
+    blocks = {s: -(-n // block_rows) for s, n in sorted(rows.items())}
+    table = _table(docs.sparkSession, blocks, target, f"{sk} string, {piece} bigint, {plan} array<bigint>")
+    if sum(blocks.values()) <= BROADCAST_BLOCKS:
+        table = F.broadcast(table)
 
     chunks = max(MIN_CHUNKS, -(-sum(rows.values()) // CHUNK_ROWS))
     hashed = F.xxhash64(F.col(ident), F.col(text))
@@ -123,14 +209,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source:
                 .withColumn(k, F.col(k) + F.col(before))
                 .withColumn(block, F.expr(f"{k} div {block_rows}"))
                 .withColumn(item, (F.col(k) % block_rows).cast("int")))
-    phase = F.filter(F.col(plan), lambda p: (F.col(block) >= p["a"]) & (F.col(block) < p["z"]))[0]
-    # at most MAX_SOURCES * RESOLUTION slots in all
-    placed = numbered.join(F.broadcast(table), sk).withColumn(plan, phase)
-    i = F.col(block) - F.col(plan)["a"]
-    c = F.size(F.col(plan)["slots"])
-    at = (F.col(plan)["s"] + F.floor(i / c) * F.col(plan)["n"]
-          + F.element_at(F.col(plan)["slots"], (i % c + 1).cast("int")))
-    return placed.withColumn(slot, at.cast("long")).select(*docs.columns, block, slot, item)
+    placed = numbered.withColumn(piece, F.expr(f"{block} div {PIECE}")).join(table, [sk, piece])
+    at = F.element_at(F.col(plan), (F.col(block) % PIECE + 1).cast("int"))
+    return placed.withColumn(slot, at).select(*docs.columns, block, slot, item)
 
 
 @register("op9_mixing")
