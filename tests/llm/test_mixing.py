@@ -93,3 +93,13 @@ def test_deviation_from_the_true_weights():
             for i, t in enumerate(slots):
                 if t + 1 < until:  # just before and just after the block
                     assert abs(i - w / total * t) < 1 and abs(i + 1 - w / total * (t + 1)) < 1
+
+
+def test_any_number_of_sources_and_plan_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "STEP", 500)
+    monkeypatch.setattr(M, "PIECE", 16)
+    monkeypatch.setattr(M, "BROADCAST_BLOCKS", 0)
+    docs = spark.range(3000).selectExpr("id doc_id", "'t' text", "if(id < 1800, concat('s', id), if(id < 2900, 'hot', null)) source")
+    rows = M.mix(docs, block_rows=1).collect()
+    assert sorted(r["mix_slot"] for r in rows) == list(range(3000))
+    assert sorted(r["doc_id"] for r in rows) == list(range(3000))

@@ -17,8 +17,8 @@ taken by integer division, so nothing is rounded.
 
 The plan is made on the driver, ``PIECE`` blocks of a source to a row (a number
 for each block, in steps of ``STEP`` blocks), and staged as a table; it is
-broadcast up to ``BROADCAST_BLOCKS`` blocks and joined beyond.  There may be
-``MAX_SOURCES`` sources.  Documents move
+broadcast up to ``BROADCAST_BLOCKS`` blocks and joined beyond.  There may be any
+number of sources; ``MAX_SOURCES`` can be set to refuse more.  Documents move
 by DataFrame functions only: their number in their source is a row number in a
 chunk (by hash of id and text) plus the count of the chunks before, so that no
 source is a window by itself.
@@ -47,7 +47,7 @@ from valora.llm.common import fresh, read, register
 from valora.session import stage
 
 #: refuse more sources than this; None: any number
-MAX_SOURCES: int | None = 1000
+MAX_SOURCES: int | None = None
 RESOLUTION, BLOCK_ROWS = 1000, 8
 #: blocks in a row of the plan, blocks planned before rows are handed on, and
 #: blocks up to which the plan is broadcast (8 bytes each)
