@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 
 from tests.llm.data import documents, prose
 from valora.llm import decontaminate as D
@@ -55,3 +56,20 @@ def test_edit_distance():
     assert D.edit_distance(a(1, 2, 3), a(9, 1, 2, 3, 9)) == 0
     assert D.edit_distance(a(1, 2, 3), a(9, 1, 3, 9)) == 1
     assert D.edit_distance(a(1, 2, 3), a()) == 3
+
+
+@pytest.mark.parametrize("n", [*range(5, 61), 100])
+def test_every_leak_of_every_length_is_found(n):
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    items = [(i, " ".join(word() for _ in range(n))) for i in range(60)]
+    texts = []
+    for i, (_, t) in enumerate(items):
+        w = t.split()
+        for p in r.sample(range(n), int(0.2 * n)):  # each word at most once, the first and last too
+            w[p] = [word(), f"{word()} {w[p]}", ""][i % 3 if i < 30 else r.randrange(3)]
+        around = [word() for _ in range(i % 4 * 10)]
+        texts.append(" ".join([*around, *w, *around]))
+    texts.append(" ".join([word(), *items[0][1].split()[1:]]))
+    found = D.scan(pa.array(texts), D.build(items))
+    assert set(found) == {(i, i) for i in range(60)} | {(60, 0)}

@@ -1,22 +1,19 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, edit check.
+"""Benchmark decontamination: deletion neighbourhoods of pieces, edit check.
 
 A document leaks an item if some stretch of its words is within
 ``EDIT_SHARE`` (0.2) of the item's words in edit distance.  Words are runs of
 letters and digits, A-Z lower-cased.
 
-The CGK random walk maps edit distance to Hamming distance: at step j a random
-bit of the current word decides whether the walk moves on (after two steps on
-a word it always does, so that no frequent word holds it), and the word seen at
-each step is the embedding.  An insertion or deletion throws two walks out
-of step only until they meet again.  One LSH repetition samples ``SAMPLE``
-steps of the walk; equal samples make a candidate.  ``REPEATS`` repetitions
-with walks of their own bring the recall at the permitted distance to the
-target (measured in the tests).  Candidates go through the exact edit distance.
+With at most e edits permitted, e // 2 + 1 separate pieces of an item have one
+among them with at most one edit.  Two stretches within one edit share a stretch
+with one word left out, so the index holds every piece with each of its words
+left out, and a document is looked up from every word on by the stretches of
+that length and by those one word longer with an inner word left out.  No leak
+of an item of 5 words or more is missed; items of fewer words permit no edit
+and are looked up whole.  What is found goes through the exact edit distance.
 
-Windows: walks start on a grid of every ``stride``-th word of a document and
-at every word of an item that leaves room for a whole walk.  An item-sized
-stretch holds several grid words, and each of them is one more chance.  Items
-with few words have classes with a finer grid and shorter walks.
+Pieces have n // (e // 2 + 1) words, ``PIECE`` at most; items with pieces of one
+length form a class, and a document is looked up once for each class.
 
 Items are taken in blocks of at most ``BLOCK_BYTES`` of text.  A block's index
 is broadcast (its size follows from that bound) and documents are scanned once
@@ -30,7 +27,7 @@ nothing; repeated items and rows are reported each.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +36,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
 from valora.llm.common import read, register
-from valora.llm.textops import mix64, row_groups, text_buffer, word_hashes
+from valora.llm.textops import MULT, mix64, row_groups, text_buffer, word_hashes
 
 EDIT_SHARE = 0.2
-REPEATS, SAMPLE = 8, 5
+PIECE = 8
 BLOCK_BYTES = 8 << 20
-SEED = 20240607
 
 
 @dataclass
 class Class:
-    """Items of similar length: grid stride, steps of a walk, and for each
-    repetition the sorted samples with their (item, word) places."""
+    """Items with pieces of ``size`` words: sorted signatures with their item
+    and the signature's first word in it, and which heads of signatures occur."""
 
-    stride: int
-    steps: int
-    walks: list = field(default_factory=list)
+    size: int
+    near: bool
+    sigs: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    heads: np.ndarray
+    shift: np.uint64
 
 
 @dataclass
@@ -65,52 +65,46 @@ class Index:
 
 
 def shape(n: int) -> tuple[int, int]:
-    """(stride, steps) for items of n words; the steps and one stride always
-    fit into the item."""
-    if n >= 24:
-        return 6, 16
-    return (4, 9) if n >= 12 else (1, n)
-
-
-def _walk(words: np.ndarray, start: np.ndarray, steps: int, rep: int) -> np.ndarray:
-    """Samples of one repetition for walks from all ``start`` words."""
-    rng = np.random.default_rng(SEED + 7919 * rep + steps)
-    move = rng.integers(1, 1 << 63, steps, dtype=np.uint64) | np.uint64(1)
-    take = set(rng.choice(steps, min(SAMPLE, steps), replace=False).tolist())
-    at, sig = start.copy(), np.full(len(start), np.uint64(steps), np.uint64)
-    stay = np.zeros(len(start), bool)
+    """(pieces, words of a piece) for items of n words."""
+    count = int(EDIT_SHARE * n) // 2 + 1
+    return count, min(n // count, PIECE)
+
+
+def _signatures(words: np.ndarray, start: np.ndarray, size: int, near: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For stretches of ``size`` words from all ``start`` words: (k, hashes of
+    the words but the k-th), or one hash of all (k = size) unless ``near``."""
     with np.errstate(over="ignore"):
-        for j in range(max(take) + 1):
-            w = words[at]
-            if j in take:
-                sig = (sig ^ w) * np.uint64(0xC2B2AE3D27D4EB4F)
-                sig ^= sig >> np.uint64(29)
-            on = ((w * move[j]) >> np.uint64(63)).astype(bool) | stay
-            stay = ~on
-            at += on
-    return mix64(sig)
+        power = np.cumprod(np.full(size, MULT))
+        drop = 1 if near else 0
+        sig = np.zeros(len(start), np.uint64)
+        for t in range(size - drop):
+            sig += words[start + t + drop] * power[t]
+        yield (0 if near else size), sig
+        for k in range(1, size if near else 0):
+            sig = sig + (words[start + k - 1] - words[start + k]) * power[k - 1]
+            yield k, sig
 
 
 def build(items: list[tuple[object, str | None]]) -> Index:
     h, ptr = word_hashes(*text_buffer(pa.array([t for _, t in items], pa.string())))
     words = [h[ptr[i]: ptr[i + 1]] for i in range(len(items))]
-    by: dict[tuple[int, int], list[int]] = {}
+    by: dict[tuple[int, bool], list[tuple[int, int]]] = {}
     for i, w in enumerate(words):
         if len(w):
-            by.setdefault(shape(len(w)), []).append(i)
+            count, size = shape(len(w))
+            near = int(EDIT_SHARE * len(w)) > 0
+            by.setdefault((size, near), []).extend((i, c * (len(w) // count)) for c in range(count))
     classes = []
-    for (stride, steps), members in sorted(by.items()):
-        c = Class(stride, steps)
-        item = np.concatenate([np.full(len(words[i]) - steps + 1, i) for i in members])
-        place = np.concatenate([np.arange(len(words[i]) - steps + 1) for i in members])
-        base = np.zeros(len(items) + 1, np.int64)
-        np.cumsum([len(w) for w in words], out=base[1:])
-        flat = np.concatenate([h, np.zeros(steps + 1, np.uint64)])
-        for rep in range(REPEATS):
-            sig = _walk(flat, base[item] + place, steps, rep)
-            order = np.argsort(sig, kind="stable")
-            c.walks.append((sig[order], item[order], place[order]))
-        classes.append(c)
+    for (size, near), members in sorted(by.items()):
+        item, place = (np.array(x, np.int64) for x in zip(*members))
+        found = [(mix64(sig), item, place + (k == 0))
+                 for k, sig in _signatures(h, np.asarray(ptr)[item] + place, size, near)]
+        sig, item, place = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(sig, kind="stable")
+        bits = min(24, max(16, len(sig).bit_length() + 4))
+        heads, shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+        heads[(sig >> shift).astype(np.int64)] = True
+        classes.append(Class(size, near, sig[order], item[order], place[order], heads, shift))
     return Index([k for k, _ in items], words, classes)
 
 
@@ -128,30 +122,29 @@ def edit_distance(item: np.ndarray, part: np.ndarray) -> int:
 
 def _candidates(words: np.ndarray, ptr: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
     """Distinct (row, item, first word) that some repetition proposes."""
-    owner_end = np.repeat(ptr[1:], np.diff(ptr))
+    left = np.repeat(ptr[1:], np.diff(ptr)) - np.arange(len(words))  # words from here to the text's end
     for c in index.classes:
-        grid = np.arange(len(words))
-        if c.stride > 1:
-            grid = grid[(grid - np.repeat(ptr[:-1], np.diff(ptr))) % c.stride == 0]
-        grid = grid[grid + c.steps <= owner_end[grid]]
-        if not len(grid):
-            continue
-        flat = np.concatenate([words, np.zeros(c.steps + 1, np.uint64)])
         hits = []
-        for rep, (sigs, item, place) in enumerate(c.walks):
-            flag = np.zeros(1 << 16, bool)
-            flag[(sigs >> np.uint64(48)).astype(np.int64)] = True
-            sig = _walk(flat, grid, c.steps, rep)
-            near = np.flatnonzero(flag[(sig >> np.uint64(48)).astype(np.int64)])
-            lo = np.searchsorted(sigs, sig[near], "left")
-            hi = np.searchsorted(sigs, sig[near], "right")
+        start = np.flatnonzero(left >= c.size - c.near)
+        flat = np.concatenate([words, np.zeros(1, np.uint64)])  # a stretch may lack the word it leaves out
+        for k, sig in _signatures(flat, start, c.size, c.near):
+            # all but the last word from ``start`` on, or but an inner one; all but the first is the next start's
+            if k == 0:
+                continue
+            sig = mix64(sig)
+            near = np.flatnonzero(c.heads[(sig >> c.shift).astype(np.int64)])
+            if k < c.size - 1:
+                near = near[left[start[near]] >= c.size]
+            lo = np.searchsorted(c.sigs, sig[near], "left")
+            hi = np.searchsorted(c.sigs, sig[near], "right")
             some = hi > lo
             near, lo, hi = near[some], lo[some], hi[some]
             count = hi - lo
             entry = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-            pos = np.repeat(grid[near], count)
-            hits.append(np.column_stack([np.searchsorted(ptr, pos, "right") - 1, item[entry], pos - place[entry]]))
-        yield from map(tuple, np.unique(np.concatenate(hits), axis=0).tolist())
+            pos = np.repeat(start[near], count)
+            hits.append(np.column_stack([np.searchsorted(ptr, pos, "right") - 1, c.item[entry], pos - c.place[entry]]))
+        if hits:
+            yield from map(tuple, np.unique(np.concatenate(hits), axis=0).tolist())
 
 
 def scan(col, index: Index) -> dict[tuple[int, int], tuple[int, int]]:
