@@ -40,3 +40,34 @@ def test_ties_one_language_and_no_labels(spark):
     tie = L.predict(docs, {"aa": b"some text here", "bb": b"some text here"}).collect()
     assert all(r["lang_pred"] == "aa" and r["rejected"] for r in tie)
     assert L.predict(docs.limit(0), L.fit(docs.limit(0))).count() == 0
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(1000 + i, f"noise{i}", f"a{i:03}") for i in range(330)]  # sort before the others
+    rows += [(i, text(lang, i), f"z{lang}") for i, lang in enumerate(list(VOCAB) * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_documents(docs)
+    assert len(model) > 200
+    some = docs.where("doc_id < 1000").withColumn("held", L.held_out())
+    got = L.predict(some, model).collect()  # more than one block
+    held = [r for r in got if r["held"]]
+    assert held and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+    monkeypatch.setattr(L, "BLOCK_LANGS", 1000)
+    assert sorted(L.predict(some, model).collect()) == sorted(got)
+
+
+def test_samples_come_from_all_of_a_text(spark):
+    front = "same words at the start of every page " * 80  # more than SAMPLE_CHARS
+    rows = [(i, front + text(lang, i, 1000), lang) for i, lang in enumerate(list(VOCAB) * 20)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    ask = spark.createDataFrame([(i, text(lang, 99 + i), lang) for i, lang in enumerate(list(VOCAB) * 10)],
+                                "doc_id long, text string, lang string")
+    got = L.predict(ask, model).collect()
+    assert all(r["lang"] == r["lang_pred"] and not r["rejected"] for r in got)
+
+
+def test_all_sampled_documents_are_in_the_dictionary(spark):
+    rows = [(i, f"{'ж' * 2500} word{chr(97 + i // 20)}{chr(97 + i % 20)} {'ж' * 20}", "aa") for i in range(200)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model["aa"]) <= L.DICT_BYTES
+    assert sum(f"word{chr(97 + i // 20)}{chr(97 + i % 20)}".encode() in model["aa"] for i in range(200)) == 200
