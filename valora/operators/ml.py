@@ -145,23 +145,21 @@ def tune(df: DataFrame, features: list[str] = P.FEATURES_V3, trials: int = P.TUN
          folds: int = 5, seconds: float = P.TUNING_SECONDS, seed: int = 42,
          id_col: str = "id") -> tuple[dict | None, DataFrame]:
     """Seeded random search with k-fold CV RMSE, ended by the number of trials
-    or by the time limit, whichever comes first.  Folds come from the id's hash.
-    Returns the best parameters and a table of (trial, params, cv_rmse) of the
-    trials whose folds all ended."""
+    or by the time limit, whichever comes first.  A trial that has begun is
+    finished, and one at least is begun.  Folds come from the id's hash.
+    Returns the best parameters and a table of (trial, params, cv_rmse)."""
     ev = RegressionEvaluator(labelCol=P.TARGET, predictionCol="prediction", metricName="rmse")
     rows = stage(split(df).where(~F.col("is_test")).select(
         F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)).alias("fold"), P.TARGET, *features), "tune_rows")
     began, done = time.monotonic(), []
     for i, t in enumerate(sample_params(trials, seed)):
+        if done and time.monotonic() - began > seconds:
+            break
         share = f"{min(1.0, max(0.0, t['colsample_bytree'])):.3f}"
         model, scores = pipeline(features, {**t, "colsample_bytree": share, "seed": seed}), []
         for k in range(folds):
-            if time.monotonic() - began > seconds:
-                break
             fitted = model.fit(rows.where(F.col("fold") != k))
             scores.append(ev.evaluate(fitted.transform(rows.where(F.col("fold") == k))))
-        if len(scores) < folds:
-            break
         done.append((i, json.dumps(t), float(sum(scores) / folds)))
     table = df.sparkSession.createDataFrame(done, "trial int, params string, cv_rmse double")
     return (json.loads(min(done, key=lambda r: r[2])[1]) if done else None), table
