@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from valora.llm import url_filter as U
 
 CASES = [
@@ -42,3 +44,12 @@ def test_without_labels_and_empty_table(spark):
     assert [r["verdict"] for r in U.judge(pages(spark, ["http://x.net/a"])).collect()] == ["allow"]
     assert [r["verdict"] for r in U.judge(pages(spark, ["http://x.net/a", "http://x.com/de/"])).collect()] == ["block"] * 2
     assert U.judge(pages(spark, ["http://x.net/a"]).limit(0)).count() == 0
+
+
+def test_a_hot_url_does_not_take_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(U, "FIT_ROWS", 60)
+    urls = [f"http://h{i}.com/{k}/{i}" for i in range(60) for k in ("fr", "de")]
+    hot = pages(spark, urls).orderBy(F.pmod(F.xxhash64("url"), F.lit(1 << 30))).first()["url"]
+    urls += [hot] * 400 + [f"http://new{i}.net/{k}/{i}" for i in range(20) for k in ("fr", "de")]
+    got = U.judge(pages(spark, urls)).where("rule is null").collect()
+    assert sum((r["verdict"] == "block") == ("/de/" in r["url"]) for r in got) >= 36

@@ -8,7 +8,8 @@ ratio, entropy, parameters, suffix statistics), and judge the others.
 Suffix statistics are the smoothed shares of blocked urls by the host's last
 label and by the path's first part, hashed into ``SUFFIX_BUCKETS`` buckets,
 counted over all labelled urls; so the tables that are broadcast are bounded.
-The trees are fitted on the ``FIT_ROWS`` labelled urls with the smallest hash.
+The trees are fitted on the ``FIT_ROWS`` different labelled urls with the
+smallest hash, weighted by their numbers of rows.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no
 rule and the features of its text; without labelled urls, or with labels of
@@ -85,7 +86,7 @@ def judge(pages: DataFrame, url: str = "url") -> DataFrame:
     full = lexical(u).withColumn("label", F.when(F.col("r").isNotNull(), (F.col("r.verdict") == "block").cast("double")))
     slim = full.select("url", "label", *NUMBERS[:-2], "tld", "head").where("label is not null")
     base = slim.agg(F.avg("label").alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-                    F.count("label").alias("n")).first()
+                    F.approx_count_distinct("url").alias("n")).first()  # for a cut with room
     if base["p"] is None or base["lo"] == base["hi"]:
         kind = "block" if base["p"] == 1 else "allow"
         verdict, score = F.coalesce("r.verdict", F.lit(kind)), F.lit(None).cast("double")
@@ -96,9 +97,13 @@ def judge(pages: DataFrame, url: str = "url") -> DataFrame:
                 df = df.join(F.broadcast(rate), c, "left").fillna({f"{c}_rate": base["p"]})
             return df
         pack = VectorAssembler(inputCols=NUMBERS, outputCol="features")
-        sample = rated(smallest_hashes(slim, ["url"], FIT_ROWS, base["n"]))
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label").fit(
-            pack.transform(sample).select("features", "label").coalesce(4).cache())
+        # a url's features and label follow from its text
+        urls = u.where("r is not null").groupBy("url", "host", "path", "r").agg(F.count(F.lit(1)).cast("double").alias("rows"))
+        sample = rated(lexical(smallest_hashes(urls, ["url"], FIT_ROWS, base["n"]))
+                       .withColumn("label", (F.col("r.verdict") == "block").cast("double")))
+        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label",
+                              weightCol="rows").fit(
+            pack.transform(sample).select("features", "label", "rows").coalesce(4).cache())
         full = trees.transform(pack.transform(rated(full)))
         score = vector_to_array("probability")[1]
         verdict = F.coalesce("r.verdict", F.when(score >= 0.5, "block").otherwise("allow"))
