@@ -31,3 +31,10 @@ def test_scan_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert L.scan(documents(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_standard_gpl_notices(spark):
+    notice = "the terms of the GNU {}General Public License as published by the Free Software Foundation{}version {} of the License"
+    texts = [notice.format(a, e, n) for a, n in (("", 2), ("", 3), ("Affero ", 3)) for e in ("; either ", ", ")]
+    got = {r["doc_id"]: {m["label"] for m in r["matches"] if not m["base"]} for r in L.scan(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(6)] == [{x} for x in ("gpl-2.0", "gpl-3.0", "agpl-3.0") for _ in range(2)]

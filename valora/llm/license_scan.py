@@ -66,6 +66,14 @@ NOTICES = [
 ]
 
 
+# the licences' own notices, with and without "either"
+NOTICES += [(label, f"terms of the {name} as published by the free software foundation {either}version {n} of the license",
+             [f"{name} as published by the free software foundation {either}version {n}"])
+            for label, name, n in [("agpl-3.0", "gnu affero general public license", 3),
+                                   ("gpl-2.0", "gnu general public license", 2), ("gpl-3.0", "gnu general public license", 3)]
+            for either in ("either ", "")]
+
+
 class Template:
     def __init__(self, label: str, notice: str, phrases: list[str], base: bool):
         self.label, self.base, self.words, self.keys = label, base, notice.split(), []
