@@ -77,10 +77,10 @@ def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
         n_lines: F.size(lines).cast("long"),
         n_dup: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         pairs: F.when(F.size(F.array_distinct(windows)) < F.size(windows),
-                      F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none),
+                      F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none),
     }).drop(words, windows)
     alike = lambda p, j: (F.get(F.col(pairs), j - 1)["h"] == p["h"]) | (F.get(F.col(pairs), j + 1)["h"] == p["h"])
-    out = out.withColumn(starts, F.array_sort(F.transform(F.filter(pairs, alike), lambda p: p["i"]))).drop(pairs)
+    out = out.withColumn(starts, F.sort_array(F.transform(F.filter(pairs, alike), lambda p: p["i"]))).drop(pairs)
     # windows at sorted starts cover three words, less what the window before covers
     covered = F.aggregate(starts, F.struct(F.lit(-3).alias("at"), F.lit(0).cast("long").alias("n")), lambda t, x: F.struct(
         x.alias("at"), (t["n"] + F.least(x - t["at"], F.lit(3))).alias("n")), lambda t: t["n"])
