@@ -260,7 +260,7 @@ class Words:
                 ok = same
             if k in filters:
                 some = np.flatnonzero(ok)
-                bit = h[some] & np.uint64(FILTER_BITS - 1)
+                bit = h[some] & np.uint64(8 * len(filters[k]) - 1)
                 hit = filters[k][(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1)
                 ok = np.zeros(len(h), bool)
                 ok[some[hit.astype(bool)]] = True

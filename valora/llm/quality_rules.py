@@ -56,7 +56,9 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def measure(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
     """``docs`` with the counts of COUNTS, ``n_lines`` (lines with a word) and
-    ``base_failed``, and the names that these columns got."""
+    ``base_failed``, and the names that these columns got.  Write the result
+    before it is filtered or used twice: a filter pushed into these projections
+    makes the arrays again."""
     names = fresh(docs, *COUNTS, "n_lines", "base_failed")
     words, windows, pairs, starts = fresh(docs.select("*", *[F.lit(0).alias(n) for n in names]),
                                           "words", "windows", "pairs", "starts")
