@@ -96,7 +96,7 @@ def test_counts_given_out_early_add_up(monkeypatch):
         for b in C._count_hashes({}, range(1, C.LONGEST + 1))([batch]):
             for r in b.to_pylist():
                 hashes[r["k"], r["h"]] += r["n"]
-        for b in C._count_phrases({})([batch]):
+        for b in C._count_phrases({}, range(1, C.LONGEST + 1))([batch]):
             for r in b.to_pylist():
                 words[r["phrase"]] += r["n"]
         return hashes, words

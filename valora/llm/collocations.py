@@ -18,9 +18,10 @@ and pieces into words at spaces and tabs.
    for words, one for pairs and one for the longer phrases add up 64-bit hashes.
    The hashes that reach ``min_count`` set bits of a filter of fixed size,
    ``FILTER_BITS`` (8 MB), which is broadcast to the next pass.  Hashes that
-   meet can only let more through; the last pass counts what passes by the
-   words themselves.  So the counts are exact at any size, and what is shuffled
-   is what may be frequent.
+   meet can only let more through; the last two passes count what passes by the
+   words themselves, first phrases of two words and more, then the single words
+   at the ends of those.  So the counts are exact at any size, and what is
+   shuffled is what may be frequent and is asked for.
 3. Score.  Frequent phrases are cut after each word and joined with the counts
    of their parts, with salted keys, as parts like "the" belong to very many
    phrases.  Numbers are decimals of 38 digits.
@@ -315,70 +316,78 @@ def _count_hashes(filters, lengths: range):
     return run
 
 
-def _filters(chunks: DataFrame, filters: dict, lengths: range, min_count: int) -> dict:
-    """``filters`` and those of ``lengths``: one bit set for each hash that
-    reaches ``min_count``; FILTER_BITS bits however many phrases there are."""
-    spark = chunks.sparkSession
-    counted = (chunks.mapInArrow(_count_hashes(filters, lengths), "k int, h long, n long")
-               .groupBy("k", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count))
+def _bits(hashes: DataFrame, lengths: range) -> dict:
+    """A filter for each k of ``hashes(k, h)``: FILTER_BITS bits, one set for
+    each hash, however many there are."""
     bit = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = (counted.select("k", F.shiftright(bit, 6).cast("int").alias("w"),
-                            F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("b"))
+    words = (hashes.select("k", F.shiftright(bit, 6).cast("int").alias("w"),
+                           F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("b"))
              .groupBy("k", "w").agg(F.bit_or("b").alias("b")).toArrow())
-    out = dict(filters)
+    out = {}
     for k in lengths:
         part = words.filter(pc.equal(words["k"], k))
         table = np.zeros(FILTER_BITS // 64, np.int64)
         table[part["w"].to_numpy()] = part["b"].to_numpy()
-        out[k] = spark.sparkContext.broadcast(table.tobytes())
+        out[k] = hashes.sparkSession.sparkContext.broadcast(table.tobytes())
     return out
 
 
-def _count_phrases(filters):
-    """Task function: (lang, phrase, k, n) of the phrases that pass."""
-    def merged(parts: list) -> pa.Table:
-        return pa.Table.from_batches(parts).group_by(["lang", "phrase", "k"]).aggregate([("n", "sum")]).rename_columns(
-            ["lang", "phrase", "k", "n"])
+def _may_be_frequent(chunks: DataFrame, filters: dict, lengths: range, min_count: int) -> dict:
+    """Filters of ``lengths``: hashes that reach ``min_count``."""
+    return _bits(chunks.mapInArrow(_count_hashes(filters, lengths), "k int, h long, n long")
+                 .groupBy("k", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), lengths)
+
+
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(1, hash) of single words in the form of a dictionary."""
+    for b in _blocks(batches):
+        h = Words(b).word
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), 1, np.int32)), pa.array(h.view(np.int64))], names=["k", "h"])
+
+
+def _count_phrases(filters, lengths: range):
+    """Task function: (lang, phrase, k, n) of the phrases of these lengths that
+    pass, added up within a block; Spark's partial sums do the rest."""
+    names = ["lang", "phrase", "k", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = {k: np.frombuffer(f.value, np.uint8) for k, f in filters.items()}
-        held, rows = [], 0
-        for b in _blocks(batches):
+        for b in _blocks(batches, SLICE_BYTES):
             words = Words(b)
-            for k, _, ok in words.frequent(bits, LONGEST):
+            for k, _, ok in words.frequent(bits, lengths[-1]):
                 at = np.flatnonzero(ok & words.own)
-                if not len(at):
+                if k not in lengths or not len(at):
                     continue
                 size = words.end[at + k - 1] - words.start[at]
                 off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 body = words.buf[_ranges(words.start[at], size)]
                 phrase = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off), pa.py_buffer(body)])
                 row = words.row[at]
-                held.append(pa.RecordBatch.from_arrays(
-                    [words.lang.take(pa.array(row)), phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(words.n[row])],
-                    names=["lang", "phrase", "k", "n"]))
-                rows += len(at)
-                if rows > HELD:
-                    table = merged(held)
-                    held, rows = table.to_batches(), len(table)
-                    if rows > HELD // 2:
-                        yield from held
-                        held, rows = [], 0
-        if held:
-            yield from merged(held).to_batches()
+                some = pa.table([words.lang.take(pa.array(row)), phrase, pa.array(np.full(len(at), k, np.int32)),
+                                 pa.array(words.n[row])], names=names)
+                yield from some.group_by(names[:3]).aggregate([("n", "sum")]).rename_columns(names).to_batches()
     return run
 
 
-def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """``(lang, phrase, k, n)`` of all phrases of 1 to LONGEST words that occur
-    ``min_count`` times; ``chunks`` is a staged dictionary."""
+def _exact(chunks: DataFrame, filters: dict, lengths: range, min_count: int) -> DataFrame:
+    return (chunks.mapInArrow(_count_phrases(filters, lengths), "lang string, phrase binary, k int, n long")
+            .groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+            .withColumn("phrase", F.col("phrase").cast("string")))
+
+
+def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+    """``(lang, phrase, k, n)`` of all phrases of 2 to LONGEST words that occur
+    ``min_count`` times, and of the single words at their ends; ``chunks`` is a
+    staged dictionary.  Both are staged."""
     parts = chunks.select("lang", "chunk", "own", "n")
     filters: dict = {}
     for lengths in (range(1, 2), range(2, 3), range(3, LONGEST + 1)):
-        filters = _filters(parts, filters, lengths, min_count)
-    return (parts.mapInArrow(_count_phrases(filters), "lang string, phrase binary, k int, n long")
-            .groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-            .withColumn("phrase", F.col("phrase").cast("string")))
+        filters |= _may_be_frequent(parts, filters, lengths, min_count)
+    found = stage(_exact(parts, filters, range(2, LONGEST + 1), min_count), "phrase_counts")
+    ends = (found.select("lang", F.explode(F.array(F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1))).alias("w"))
+            .distinct().select("lang", F.col("w").cast("binary").alias("chunk"), F.lit(1).alias("own"), F.lit(1).cast("long").alias("n")))
+    asked = _bits(ends.mapInArrow(_word_keys, "k int, h long"), range(1, 2))
+    return found, stage(_exact(parts, asked, range(1, 2), min_count), "word_counts")
 
 
 # ------------------------------------------------------------------ score
@@ -401,8 +410,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     dropped if a longer one that holds it has ``drop_percent`` of its count."""
     chunks = stage(dictionary(docs, text, lang), "phrase_chunks")
     totals = chunks.groupBy("lang").agg(F.sum(F.col("n") * F.col("own")).alias("n"))
-    counts = stage(phrase_counts(chunks, min_count), "phrase_counts")
-    found = counts.where("k > 1").select("lang", "phrase", "k", F.col("n").alias("a"))
+    several, single = phrase_counts(chunks, min_count)
+    counts = several.unionByName(single)
+    found = several.select("lang", "phrase", "k", F.col("n").alias("a"))
 
     # a longer phrase with as many places implies one that is a single word longer
     words = F.split("phrase", " ")
