@@ -347,9 +347,7 @@ def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_phrases(filters, lengths: range):
     """Task function: (lang, phrase, k, n) of the phrases of these lengths that
-    pass, added up within a block; Spark's partial sums do the rest."""
-    names = ["lang", "phrase", "k", "n"]
-
+    pass, one row a place; Spark's partial sums add them up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = {k: np.frombuffer(f.value, np.uint8) for k, f in filters.items()}
         for b in _blocks(batches, SLICE_BYTES):
@@ -363,9 +361,9 @@ def _count_phrases(filters, lengths: range):
                 body = words.buf[_ranges(words.start[at], size)]
                 phrase = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off), pa.py_buffer(body)])
                 row = words.row[at]
-                some = pa.table([words.lang.take(pa.array(row)), phrase, pa.array(np.full(len(at), k, np.int32)),
-                                 pa.array(words.n[row])], names=names)
-                yield from some.group_by(names[:3]).aggregate([("n", "sum")]).rename_columns(names).to_batches()
+                yield pa.RecordBatch.from_arrays(
+                    [words.lang.take(pa.array(row)), phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(words.n[row])],
+                    names=["lang", "phrase", "k", "n"])
     return run
 
 
