@@ -82,3 +82,41 @@ def test_multikey_quicksort():
     r = np.random.default_rng(0)
     t = r.integers(0, 3, (500, 6)).astype(np.uint64)
     assert (t[S.multikey_order(t)] == t[np.lexsort(t.T[::-1])]).all()
+
+
+def test_slices_of_a_long_text_hold_each_start_once():
+    rng = np.random.default_rng(1)
+    long = np.frombuffer(rng.bytes(30_000) + b"ab" * 9_000 + rng.bytes(500), np.uint8)
+    short = np.frombuffer(rng.bytes(900), np.uint8)
+    buf = np.concatenate([short, long, short, short])
+    off = np.cumsum([0, 900, len(long), 900, 900])
+    starts = {}
+    for first, x in S.sliced_anchors(buf, off, limit=1500):
+        for row, at, lo, hi in zip(x["row"] + first, x["at"], x["dmin"], x["dmax"]):
+            for d in range(lo, hi + 1):
+                starts[row, at - d] = starts.get((row, at - d), 0) + 1
+                text = buf[off[row]: off[row + 1]]
+                assert 0 <= d < S.SPAN and at + 8 <= len(text) + 8
+    want = {(r, s) for r in range(4) for s in range(off[r + 1] - off[r] - S.LENGTH + 1)}
+    assert set(starts) == want and set(starts.values()) == {1}
+
+
+def test_a_very_long_text_and_a_thousand_copies_of_another(spark):
+    shared = prose(5, 180)
+    long = prose(6, 420_000) + shared + " " + prose(8, 3_000)  # over two slices of a megabyte
+    texts = [long, prose(9, 50) + shared] + [prose(11, 200)] * 1000 + [prose(12 + i, 100) + prose(11, 200)[100:700] for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: [(x["lo"], x["hi"]) for x in r["removed"]] for r in S.dedup(docs).collect()}
+    seen, data = Counter(), [t.encode() for t in texts]
+    for x in data:
+        seen.update(hash(x[i: i + 400]) for i in range(len(x) - 399))
+    assert len(data[0]) > 2 << 20
+    for n in (0, 1, 2, 1001, 1002, 1021):
+        gone = bytearray(len(data[n]))
+        for i in range(len(data[n]) - 399):
+            if seen[hash(data[n][i: i + 400])] > 1:
+                gone[i: i + 400] = b"\1" * 400
+        mine = bytearray(len(data[n]))
+        for lo, hi in got[n]:
+            mine[lo:hi] = b"\1" * (hi - lo)
+        assert mine == gone

@@ -45,15 +45,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
+from pyspark.sql.types import ArrayType, AtomicType, BinaryType, LongType, StructType
 
 from valora.llm.common import fresh, read, register
-from valora.llm.textops import MULT, mix64, row_groups, text_buffer
+from valora.llm.textops import MULT, SLICE_BYTES, mix64, row_groups, text_buffer
 from valora.session import stage
 
 LENGTH, SPAN = 400, 256
 LEAD = LENGTH - SPAN + 1
 SORT_ROWS = 8_000
+#: tasks that share the copies of one text
+SALTS = 16
 #: width of distances below which strings are compared one by one
 LAST_WIDTH = 8
 _LOW = np.uint64(0xFFFFFFFF)
@@ -110,6 +112,22 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row[cut], "at": a - off[row[cut]], "dmin": a - hi, "dmax": a - lo, "key": mix64(key), "cid": mix64(cid)}
 
 
+def sliced_anchors(buf: np.ndarray, off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(first row, anchors) of a buffer of texts, some ``limit`` bytes at a time.
+    A text beyond that is walked in slices which share LENGTH - 1 bytes, so that
+    each start is in one of them; a run of starts that a slice cuts has two
+    surroundings, which is a matter of the later steps, not of the result."""
+    for i, j in row_groups(off, limit):
+        if off[j] - off[i] <= 2 * limit:
+            yield i, anchors(buf[off[i]: off[j]], off[i: j + 1] - off[i])
+            continue
+        for at in range(off[i], off[j] - LENGTH + 1, limit):
+            part = buf[at: min(at + limit + LENGTH - 1, off[j])]
+            x = anchors(part, np.array([0, len(part)]))
+            x["at"] += at - off[i]
+            yield i, x
+
+
 def multikey_order(tokens: np.ndarray) -> np.ndarray:
     """Order of the rows of a matrix of tokens by three-way multikey quicksort."""
     n, width = tokens.shape
@@ -263,9 +281,7 @@ def repeated(texts: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h1, h2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            buf, off = text_buffer(b.column(2))
-            for i, j in row_groups(off):
-                x = anchors(buf[off[i]: off[j]], off[i: j + 1] - off[i])
+            for i, x in sliced_anchors(*text_buffer(b.column(2))):
                 if len(x["row"]):
                     where = x["at"] << 16 | x["dmin"] << 8 | x["dmax"]
                     yield pa.RecordBatch.from_arrays(
@@ -290,7 +306,9 @@ def repeated(texts: DataFrame) -> DataFrame:
     chosen = (other.groupBy("key", "cid").agg(F.min(F.struct("h1", "h2", "at", "dmin", "dmax")).alias("r"),
                                               F.sum("n").alias("mult"))
               .groupBy("r.h1", "r.h2").agg(F.collect_list(F.struct("key", "cid", "mult", "r.at", "r.dmin", "r.dmax")).alias("c")))
-    pieces = (texts.join(chosen, ["h1", "h2"])
+    # copies of a text end before the join, within the tasks that read them
+    once = texts.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    pieces = (once.join(chosen, ["h1", "h2"])
               .select("h1", "h2", "text", "c").mapInArrow(_cut_out, CUT))
     todo = stage(pieces.dropDuplicates(["key", "cid"]), "suffixes")
     width, passes = SPAN, []
@@ -348,12 +366,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``kept`` (the bytes left) and ``removed`` (maximal removed
     runs as an array of (lo, hi))."""
-    kept, removed, h1, h2, spans = fresh(docs, "kept", "removed", "h1", "h2", "spans")
+    kept, removed, h1, h2, spans, salt = fresh(docs, "kept", "removed", "h1", "h2", "spans", "salt")
     full = F.coalesce(F.col(text), F.lit(""))
     one, two = F.xxhash64(full), F.xxhash64(F.lit(1), full)
     texts = docs.select(one.alias("h1"), two.alias("h2"), full.alias("text")).where(F.octet_length("text") >= LENGTH)
     found = repeated(texts).select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("spans").alias(spans))
-    joined = docs.withColumns({h1: one, h2: two}).join(found, [h1, h2], "left").select(*docs.columns, spans)
+    # copies of a text are dealt over SALTS tasks by their other columns
+    others = [f.name for f in docs.schema.fields if f.name != text and isinstance(f.dataType, AtomicType)]
+    dealt = F.pmod(F.xxhash64(*others) if others else F.spark_partition_id(), F.lit(SALTS)).cast("int")
+    found = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = docs.withColumns({h1: one, h2: two, salt: dealt}).join(found, [h1, h2, salt], "left").select(*docs.columns, spans)
     at, n = docs.columns.index(text), len(docs.columns)
     kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
