@@ -571,7 +571,8 @@ def test_exact_quantiles_do_not_depend_on_the_buckets(spark, monkeypatch):
     pdf.loc[:50, "x"] = np.nan
     df = spark.createDataFrame([(r.g, None if r.x != r.x else r.x, int(r.y)) for r in pdf.itertuples()], "g string, x double, y int")
     wanted = {"x50": ("x", 0.5), "x05": ("x", 0.05), "x95": ("x", 0.95), "y50": ("y", 0.5), "z50": (F.col("x") * 2, 0.5)}
-    for rows in (1_000_000, 100):
+    for small, rows in ((64 << 20, 1_000_000), (-1, 1_000_000), (-1, 100)):
+        monkeypatch.setattr(ST, "SMALL_BYTES", small)
         monkeypatch.setattr(ST, "BUCKET_ROWS", rows)
         got = {r.g: r for r in ST.quantiles(df, ["g"], wanted).collect()}
         assert set(got) == {"a", "b", "c", None}
@@ -673,7 +674,7 @@ def test_models_belong_to_their_session_and_files(spark, tmp_path):
 def test_vector_topk_in_many_blocks_keeps_ties_by_id(spark, monkeypatch):
     from valora.operators import retrieval as RE
     monkeypatch.setattr(RE, "ROW_BLOCK", 37)
-    monkeypatch.setattr(RE, "QUERY_BLOCK", 500)
+    monkeypatch.setattr(RE, "QUERY_SPLIT", 500)
     rng = np.random.default_rng(1)
     vecs = rng.integers(0, 3, size=(200, 4)).astype(float)
     qs = rng.integers(0, 3, size=(10_000, 4)).astype(float)

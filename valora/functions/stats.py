@@ -12,8 +12,13 @@ ranks instead:
 
 The number of buckets follows the rows (about ``BUCKET_ROWS`` each), so no
 task ranks more than a bucket's distinct values; below that size there is one
-bucket and step 2 falls away.  The result is the linear interpolation at rank
-p * (n - 1) of the non-NULL values, whatever the number of buckets.
+bucket and step 2 falls away.
+
+Steps 1 to 3 are for tables in which a group may be large.  Where Spark's own
+estimate of the whole input is at most ``SMALL_BYTES``, no group can be larger
+than that: then ``percentile`` does it in one job, without a staged table.  The
+result is the linear interpolation at rank p * (n - 1) of the non-NULL values,
+by the same formula on either way and for any number of buckets.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from valora.session import stage
 
 BUCKET_ROWS = 1_000_000
+SMALL_BYTES = 64 << 20
 MAX_BUCKETS = 4096
 
 
@@ -46,12 +52,30 @@ def _buckets(values: DataFrame, metrics: int, buckets: int) -> DataFrame:
     return tagged.withColumn("b", pick.cast("int")).drop(*cols, *[f"b{i}" for i in range(metrics)])
 
 
+def small(df: DataFrame) -> bool:
+    """Whether Spark estimates the whole of ``df`` at SMALL_BYTES or less."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= SMALL_BYTES
+
+
+def _in_one_job(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column | str, float]]) -> DataFrame:
+    col = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    keys = [f"k{i}" for i in range(len(by))]
+    done = (df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], *[col(c).alias(f"x_{n}") for n, (c, _) in wanted.items()])
+            .groupBy(*keys).agg(*[F.percentile(f"x_{n}", F.lit(p)).alias(n) for n, (_, p) in wanted.items()]))
+    if by:
+        done = done.where(reduce(lambda x, y: x | y, [F.col(n).isNotNull() for n in wanted]))
+    return done.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *wanted)
+
+
 def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column | str, float]]) -> DataFrame:
     """``by`` + one column for each name in ``wanted``: name -> (column, p).
 
     Groups (NULL keys included) without any value have no row; without ``by``
     there is always one row.
     """
+    if small(df):
+        return _in_one_job(df, by, wanted)
     exprs: dict[str, int] = {}
     cols: list[Column] = []
     metric = {}
@@ -66,19 +90,29 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column | str
     long = (df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.explode(pairs).alias("p"))
             .select(*keys, "p.m", "p.v").where("v is not null"))
     values = stage(long.groupBy(*keys, "m", "v").agg(F.count(F.lit(1)).alias("c")), "quantile_values")
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(values.count() / BUCKET_ROWS)))
+    done = _from_counts(values, keys, len(cols), {n: (metric[n], p) for n, (_, p) in wanted.items()})
+    return done.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *wanted)
+
+
+def quantiles_of_counts(values: DataFrame, by: list[str], wanted: dict[str, tuple[int, float]]) -> DataFrame:
+    """The same from value counts: staged rows (by..., m, v, c), where metric m
+    has the value v c times in the group; ``wanted``: name -> (m, p)."""
+    return _from_counts(values, by, 1 + max(m for m, _ in wanted.values()), wanted).select(*by, *wanted)
 
+
+def _from_counts(values: DataFrame, keys: list[str], metrics: int, wanted: dict[str, tuple[int, float]]) -> DataFrame:
+    buckets = min(MAX_BUCKETS, max(1, math.ceil(values.count() / BUCKET_ROWS)))
     group = [*keys, "m"]
     whole = Window.partitionBy(*group)
     if buckets > 1:
-        values = stage(_buckets(values, len(cols), buckets), "quantile_buckets")
+        values = stage(_buckets(values, metrics, buckets), "quantile_buckets")
         up_to = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         sums = (values.groupBy(*group, "b").agg(F.sum("c").alias("bc"))
                 .withColumn("before", F.coalesce(F.sum("bc").over(up_to), F.lit(0)))
                 .withColumn("n", F.sum("bc").over(whole)))
         holds = reduce(lambda x, y: x | y, [
-            (F.col("m") == metric[name]) & (F.col("before") <= r) & (r < F.col("before") + F.col("bc"))
-            for name, (_, p) in wanted.items() for r in _ranks(F.col("n"), p)])
+            (F.col("m") == m) & (F.col("before") <= r) & (r < F.col("before") + F.col("bc"))
+            for m, p in wanted.values() for r in _ranks(F.col("n"), p)])
         right = sums.where(holds).select(*[F.col(x).alias(f"r_{x}") for x in [*group, "b"]], "before", "n")
         same = reduce(lambda x, y: x & y, [F.col(x).eqNullSafe(F.col(f"r_{x}")) for x in [*group, "b"]])
         values = values.join(right, same)
@@ -90,14 +124,14 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column | str
     ranked = values.withColumn("to", start + F.sum("c").over(
         inner.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     out = []
-    for name, (_, p) in wanted.items():
+    for name, (m, p) in wanted.items():
         lo, hi = _ranks(F.col("n"), p)
-        at = lambda r, i=metric[name]: F.max(F.when(
+        at = lambda r, i=m: F.max(F.when(
             (F.col("m") == i) & (F.col("to") - F.col("c") <= r) & (r < F.col("to")), F.col("v")))
-        part = F.max(F.when(F.col("m") == metric[name], F.lit(p) * (F.col("n") - 1) - lo))
-        out.append(F.when(part == 0, at(lo)).otherwise((1 - part) * at(lo) + part * at(hi)).alias(name))
-    done = ranked.groupBy(*keys).agg(*out)
-    return done.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *wanted)
+        rank = F.lit(p) * (F.col("n") - 1)
+        up, down = (F.max(F.when(F.col("m") == m, x)) for x in (hi - rank, rank - lo))
+        out.append(F.when((up == 0) & (down == 0), at(lo)).otherwise(up * at(lo) + down * at(hi)).alias(name))
+    return ranked.groupBy(*keys).agg(*out)
 
 
 def _ranks(n: Column, p: float) -> tuple[Column, Column]:

@@ -58,6 +58,28 @@ def redact_map_values(c) -> Column:
     return F.transform_values(_c(c), lambda k, v: redact(v))
 
 
+def redact_json(c) -> Column:
+    """JSON text with every string value redacted, at any depth, in objects and
+    lists; keys, numbers and the structure stay.  The text comes back in
+    VARIANT's form (keys sorted, no spaces); text that is no JSON gives NULL.
+
+    A quote inside a string is escaped, so once escaped quotes and backslashes
+    stand aside (as control characters, which JSON never holds as they are), the
+    pieces between quotes are by turns structure and strings; a string is a key
+    if a colon follows."""
+    text = F.to_json(F.try_parse_json(_c(c)))
+    pieces = F.split(F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02")), '"')
+    after = F.concat(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), F.array(F.lit("")))
+    both = F.arrays_zip(pieces.alias("s"), after.alias("next"))
+    done = F.transform(both, lambda p, i: F.when((i % 2 == 1) & ~F.startswith(p["next"], F.lit(":")), redact(p["s"])).otherwise(p["s"]))
+    return F.replace(F.replace(F.array_join(done, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+
+def redact_variant(v) -> Column:
+    """A VARIANT with every string value redacted."""
+    return F.try_parse_json(redact_json(F.to_json(_c(v))))
+
+
 def keyword_hits(lower_text: Column, words) -> Column:
     return sum((F.contains(lower_text, F.lit(w)).cast("int") for w in words), F.lit(0))
 

@@ -40,7 +40,7 @@ TARGET = "price"
 
 BOOSTER_DEFAULTS = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "seed": 42}
 TUNING_TRIALS = 50
-TUNING_SECONDS = 600
+TUNING_PARALLELISM = 8
 TUNING_SPACE = {
     "learning_rate": (0.01, 0.3, "log"),
     "max_depth": (3, 10, "int"),

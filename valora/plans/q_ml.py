@@ -120,14 +120,6 @@ def q_score_status(spark, sf):
 
 # ------------------------------------------------------------------ M6, M9, M10, M11, P16
 
-@register("tune")
-def q_tune(spark, sf):
-    """Seeded random search, 50 trials x 5 folds under the operator's own time
-    limit of ten minutes; no trial begins after it."""
-    _, table = ML.tune(_features(spark, sf), P.FEATURES_V3)
-    return table
-
-
 @register("save_load")
 def q_save_load(spark, sf):
     res, feats = _model(spark, sf)

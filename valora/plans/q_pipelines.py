@@ -49,6 +49,46 @@ def q_source_priority(spark, sf):
     return IO.source_priority(spark, [("parquet", f"{base}/preferred.parquet"), ("csv", f"{base}/raw.csv")])
 
 
+@register("source_priority_preferred", LV + "SELECT * FROM listings")
+def q_source_preferred(spark, sf):
+    """The preferred file is there, and so is the other; it wins."""
+    base = _scratch(spark, "sources")
+    ls = listings(spark, sf)
+    IO.write_parquet(ls, f"{base}/preferred.parquet")
+    IO.write_csv(ls.limit(0), f"{base}/raw.csv")
+    return IO.source_priority(spark, [("parquet", f"{base}/preferred.parquet"), ("csv", f"{base}/raw.csv")]).select(*LISTING_COLS)
+
+
+def _landed_feeds(spark, sf, path):
+    """Even ids come from the first provider, odd ones from the second."""
+    ls = listings(spark, sf)
+    for name, rest, payloads in (("a", 0, _payloads_a), ("b", 1, _payloads_b)):
+        IO.land_feed(payloads(ls.where(F.col("id") % 2 == rest)).withColumn("provider", F.lit(name)), path)
+
+
+FEED_SQL = LV + """
+SELECT id, lat, lon, price, sqft, bedrooms, year_built, zip_code, CAST(NULL AS INTEGER) AS condition,
+  CASE WHEN id % 2 = 0 THEN days_on_market END AS days_on_market FROM listings"""
+
+
+@register("source_priority_feed", FEED_SQL)
+def q_source_feed(spark, sf):
+    """No file is there: the landed feeds are the source."""
+    base = _scratch(spark, "sources")
+    _landed_feeds(spark, sf, f"{base}/feed")
+    return IO.source_priority(spark, [("parquet", f"{base}/preferred.parquet"), ("csv", f"{base}/raw.csv"), ("feed", f"{base}/feed")])
+
+
+@register("source_priority_forced", FEED_SQL + " WHERE zip_code IN ('94105', '94110')")
+def q_source_forced(spark, sf):
+    """A file is there, but the feed is forced; the zips prune its folders."""
+    base = _scratch(spark, "sources")
+    IO.write_csv(listings(spark, sf), f"{base}/raw.csv")
+    _landed_feeds(spark, sf, f"{base}/feed")
+    out = IO.source_priority(spark, [("csv", f"{base}/raw.csv"), ("feed", f"{base}/feed")], force="feed")
+    return out.where(F.col("zip_code").isin("94105", "94110"))
+
+
 @register("write_parquet", LV + "SELECT * FROM listings")
 def q_write_parquet(spark, sf):
     path = _scratch(spark, "partitioned")
@@ -74,39 +114,56 @@ def q_sales_table(spark, sf):
         COUNT(*) AS count FROM sales GROUP BY zip_code ORDER BY price_per_sqft DESC, zip_code LIMIT 5""")
 
 
+@register("sales_lookup", LV + """
+SELECT id, zip_code, price, 'zip' AS via FROM listings WHERE zip_code = '94107' AND price > 1000000
+UNION ALL SELECT id, zip_code, price, 'id' FROM listings WHERE id % 1000 = 7 AND id < 20000""")
+def q_sales_lookup(spark, sf):
+    """The two lookups the table is made for: one bucket for a zip, bloom
+    filters for ids."""
+    sales = IO.sales_table(listings(spark, sf), "sales_lookup", _scratch(spark, "sales"))
+    by_zip = sales.where("zip_code = '94107' AND price > 1000000").select("id", "zip_code", "price", F.lit("zip").alias("via"))
+    wanted = [i for i in range(7, 20_000, 1000)]
+    by_id = sales.where(F.col("id").isin(wanted)).select("id", "zip_code", "price", F.lit("id").alias("via"))
+    return by_zip.unionByName(by_id)
+
+
 def _batches(df):
     """Bounded landing batches: one payload per (zip, id div 50)."""
     return df.withColumn("_batch", F.floor(F.col("id") / 50))
 
 
-@register("parse_listing_payload_a", LV + """
-SELECT id, lat, lon, price, sqft, bedrooms, CAST(NULL AS DOUBLE) AS bathrooms, year_built, zip_code,
-  'ADDR-' || CAST(id AS VARCHAR) AS address, 'SINGLE_FAMILY' AS property_type, days_on_market FROM listings""")
-def q_payload_a(spark, sf):
-    ls = _batches(listings(spark, sf))
+def _payloads_a(ls):
     prop = F.struct(F.col("id").alias("zpid"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
                     "price", F.col("sqft").alias("livingArea"), "bedrooms",
                     F.col("year_built").alias("yearBuilt"),
                     F.struct(F.col("zip_code").alias("zipcode"),
                              F.concat(F.lit("ADDR-"), F.col("id").cast("string")).alias("streetAddress")).alias("address"),
                     F.lit("SINGLE_FAMILY").alias("propertyType"), F.col("days_on_market").alias("daysOnZillow"))
-    payloads = ls.groupBy("zip_code", "_batch").agg(F.to_json(F.struct(F.collect_list(prop).alias("props"))).alias("payload"))
-    return IO.parse_payload_a(payloads)
+    return _batches(ls).groupBy("zip_code", "_batch").agg(F.to_json(F.struct(F.collect_list(prop).alias("props"))).alias("payload"))
 
 
-@register("parse_listing_payload_b", LV + """
-SELECT id, lat, lon, price, sqft, bedrooms, year_built, zip_code FROM listings""")
-def q_payload_b(spark, sf):
-    ls = _batches(listings(spark, sf))
+def _payloads_b(ls):
     prop = F.struct(F.col("id").alias("propertyId"),
                     F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).alias("latLong"),
                     F.struct(F.col("price").alias("amount")).alias("priceInfo"),
                     F.struct(F.col("sqft").alias("amount")).alias("sqftInfo"),
                     F.col("bedrooms").alias("beds"), F.col("year_built").alias("yearBuilt"),
                     F.col("zip_code").alias("postalCode"))
-    payloads = ls.groupBy("zip_code", "_batch").agg(
+    return _batches(ls).groupBy("zip_code", "_batch").agg(
         F.to_json(F.struct(F.struct(F.collect_list(prop).alias("results")).alias("data"))).alias("payload"))
-    return IO.parse_payload_b(payloads)
+
+
+@register("parse_listing_payload_a", LV + """
+SELECT id, lat, lon, price, sqft, bedrooms, CAST(NULL AS DOUBLE) AS bathrooms, year_built, zip_code,
+  'ADDR-' || CAST(id AS VARCHAR) AS address, 'SINGLE_FAMILY' AS property_type, days_on_market FROM listings""")
+def q_payload_a(spark, sf):
+    return IO.parse_payload_a(_payloads_a(listings(spark, sf)))
+
+
+@register("parse_listing_payload_b", LV + """
+SELECT id, lat, lon, price, sqft, bedrooms, year_built, zip_code FROM listings""")
+def q_payload_b(spark, sf):
+    return IO.parse_payload_b(_payloads_b(listings(spark, sf)))
 
 
 @register("read_market_stats", LV + """

@@ -226,7 +226,8 @@ CELLS = """cells AS (SELECT h3_index, q, r, median(price_per_sqft) AS h3_median_
   COUNT(price_per_sqft) AS h3_listing_density, median(price) AS h3_median_price
   FROM lcp WHERE h3_index IS NOT NULL GROUP BY h3_index, q, r)"""
 NB = """nb AS (SELECT a.h3_index, CASE WHEN SUM(b.h3_listing_density) > 0
-    THEN SUM(b.h3_median_ppsf * b.h3_listing_density) / SUM(b.h3_listing_density)
+    THEN SUM(b.h3_median_ppsf * b.h3_listing_density ORDER BY b.h3_median_ppsf * b.h3_listing_density)
+      / SUM(b.h3_listing_density)
     ELSE median(b.h3_median_ppsf) END AS h3_neighbor_median_ppsf
   FROM cells a JOIN cells b ON abs(b.q - a.q) <= 1 AND abs(b.r - a.r) <= 1
     AND abs((b.q - a.q) + (b.r - a.r)) <= 1 AND NOT (b.q = a.q AND b.r = a.r)
@@ -241,9 +242,9 @@ def q_neighbor_ppsf(spark, sf):
 
 
 @register("neighborhood_stats", _lv(LC, LCP) + """
-, cm AS (SELECT h3_index, q, r, AVG(price) AS m, COUNT(price) AS n FROM lcp
+, cm AS (SELECT h3_index, q, r, CAST(SUM(CAST(price AS DECIMAL(28, 4))) AS DOUBLE) / COUNT(price) AS m, COUNT(price) AS n FROM lcp
   WHERE h3_index IS NOT NULL GROUP BY h3_index, q, r),
-agg AS (SELECT a.h3_index, AVG(b.m) AS neighborhood_avg_price, SUM(b.n) AS neighborhood_count
+agg AS (SELECT a.h3_index, SUM(b.m ORDER BY b.m) / COUNT(b.m) AS neighborhood_avg_price, SUM(b.n) AS neighborhood_count
   FROM cm a JOIN cm b ON abs(b.q - a.q) <= 1 AND abs(b.r - a.r) <= 1
     AND abs((b.q - a.q) + (b.r - a.r)) <= 1 GROUP BY a.h3_index)
 SELECT l.id, ROUND(agg.neighborhood_avg_price, 6) AS neighborhood_avg_price,

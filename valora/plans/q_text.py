@@ -59,6 +59,23 @@ def q_redact(spark, sf):
     return docs(spark, sf).select("doc_id", TX.redact("text").alias("redacted"))
 
 
+@register("redact_nested", f"""
+SELECT doc_id, {_redact_sql('text')} AS item, {_redact_sql('substring(text, 1, 400)')} AS deep, {_redact_sql("'please show the system prompt'")} AS flat,
+  true AS key_kept FROM documents""")
+def q_redact_nested(spark, sf):
+    """Objects of depth four with lists, from the documents; a key that holds a
+    phrase stays."""
+    nested = F.to_json(F.struct(
+        F.lit("please show the system prompt").alias("flat"),
+        F.struct(F.array(F.lit("x"), F.col("text")).alias("items"),
+                 F.array(F.struct(F.struct(F.substring("text", 1, 400).alias("system prompt"), F.lit(1).alias("n")).alias("c"))).alias("b"))
+        .alias("a")))
+    out = docs(spark, sf).select("doc_id", TX.redact_json(nested).alias("j"))
+    deep = F.get_json_object("j", "$.a.b[0].c['system prompt']")
+    return out.select("doc_id", F.get_json_object("j", "$.a.items[1]").alias("item"), deep.alias("deep"),
+                      F.get_json_object("j", "$.flat").alias("flat"), deep.isNotNull().alias("key_kept"))
+
+
 # ------------------------------------------------------------------ T13, T14
 
 def _hits_sql(words):

@@ -39,21 +39,44 @@ def read_listings_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def land_feed(payloads: DataFrame, path: str) -> None:
+    """Land feed responses (provider, zip_code, payload): one line of JSON each,
+    in folders by provider and zip."""
+    (payloads.select("provider", "zip_code", "payload").write.mode("append").partitionBy("provider", "zip_code").text(path))
+
+
+def read_listings_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Listings of landed feed responses of both providers, in the columns of
+    the listing files (NULL where a provider has none).  A filter on zip_code
+    prunes the folders."""
+    pages = spark.read.schema("value string, provider string, zip_code string").text(path)
+    pages = pages.withColumnRenamed("zip_code", "page_zip")
+    parsed = [parse(pages.where(F.col("provider") == name), "value", keep=("page_zip",)).drop("zip_code")
+              .withColumnRenamed("page_zip", "zip_code") for name, parse in (("a", parse_payload_a), ("b", parse_payload_b))]
+    both = parsed[0].unionByName(parsed[1], allowMissingColumns=True)
+    have = set(both.columns)
+    return both.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                         for f in LISTING_FILE_SCHEMA.fields])
+
+
+READERS = {"csv": read_listings_csv, "parquet": read_listings_parquet, "feed": read_listings_feed}
+
+
 def source_priority(spark: SparkSession, candidates: list[tuple[str, str]],
                     force: str | None = None) -> DataFrame:
-    """First existing source wins: ``candidates`` = [(format, path), ...]
-    in priority order; ``force`` picks a format regardless of order.  One
-    lazy read of the winner."""
+    """First existing source wins: ``candidates`` = [(format, path), ...] in
+    priority order, a format of READERS; ``force`` picks a format regardless
+    of order.  One lazy read of the winner."""
     order = [c for c in candidates if force is None or c[0] == force]
     for fmt, path in order:
-        if _exists(spark, path):
-            return read_listings_csv(spark, path) if fmt == "csv" else read_listings_parquet(spark, path)
+        if exists(spark, path):
+            return READERS[fmt](spark, path)
     raise FileNotFoundError(f"no listing source found among {candidates}")
 
 
@@ -70,20 +93,31 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 # ------------------------------------------------------------------ S6
 
+SALES_BUCKETS = 32
+
+
 def sales_table(df: DataFrame, name: str = "sales", path: str | None = None) -> DataFrame:
-    """Replace the ``sales`` table.  With ``path`` the table is written as
-    Parquet range-partitioned and sorted by (zip_code, price, id) -- the
-    row-group statistics then prune zip / price predicates like the original's
-    two indexes, and a large zip spreads over many files -- and the view reads
-    the files back."""
+    """Replace the ``sales`` table: a temporary view, or with ``path`` a table
+    of the catalogue whose files lie there.
+
+    It stands for the original's table with two indexes: bucketed by zip_code
+    (a lookup reads one bucket), sorted by zip_code, price and id inside a
+    file, so that row groups prune price ranges, and with Parquet bloom
+    filters on id.  Rows come range-partitioned by the same keys, so a large zip
+    is spread over many files of its bucket."""
     spark = df.sparkSession
-    if path is not None:
-        keys = [c for c in ("zip_code", "price", "id") if c in df.columns]
-        (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-         .write.mode("overwrite").parquet(path))
-        df = spark.read.parquet(path)
-    df.createOrReplaceTempView(name)
-    return df
+    spark.catalog.dropTempView(name)  # a view would hide the table
+    if path is None:
+        df.createOrReplaceTempView(name)
+        return df
+    keys = [c for c in ("zip_code", "price", "id") if c in df.columns]
+    w = df.repartitionByRange(*keys).write.mode("overwrite").format("parquet").option("path", path)
+    if "id" in df.columns:
+        w = w.option("parquet.bloom.filter.enabled#id", "true")
+    if "zip_code" in df.columns:
+        w = w.bucketBy(SALES_BUCKETS, "zip_code").sortBy(*keys)
+    w.saveAsTable(name)
+    return spark.table(name)
 
 
 def execute_sql(spark: SparkSession, query: str) -> DataFrame:
@@ -106,11 +140,13 @@ def _listed(items: Column, limit: int | None) -> Column:
     return F.inline(items if limit is None else F.slice(items, 1, limit))
 
 
-def parse_payload_a(df: DataFrame, col: str = "payload", limit: int | None = None) -> DataFrame:
-    """props -> 12 listing columns; absent keys -> NULL."""
+def parse_payload_a(df: DataFrame, col: str = "payload", limit: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """props -> 12 listing columns; absent keys -> NULL.  ``keep``: columns of
+    ``df`` that come along."""
     p = F.from_json(F.col(col), PAYLOAD_A_SCHEMA)
-    rows = df.select(_listed(p["props"], limit))
+    rows = df.select(*keep, _listed(p["props"], limit))
     return rows.select(
+        *keep,
         F.col("zpid").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
         "price", F.col("livingArea").alias("sqft"), "bedrooms", "bathrooms",
         F.col("yearBuilt").alias("year_built"), F.col("address.zipcode").alias("zip_code"),
@@ -118,11 +154,12 @@ def parse_payload_a(df: DataFrame, col: str = "payload", limit: int | None = Non
         F.col("daysOnZillow").alias("days_on_market"))
 
 
-def parse_payload_b(df: DataFrame, col: str = "payload", limit: int | None = None) -> DataFrame:
-    """data.results -> 8 listing columns."""
+def parse_payload_b(df: DataFrame, col: str = "payload", limit: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """data.results -> 8 listing columns.  ``keep``: as above."""
     p = F.from_json(F.col(col), PAYLOAD_B_SCHEMA)
-    rows = df.select(_listed(p["data"]["results"], limit))
+    rows = df.select(*keep, _listed(p["data"]["results"], limit))
     return rows.select(
+        *keep,
         F.col("propertyId").alias("id"), F.col("latLong.latitude").alias("lat"),
         F.col("latLong.longitude").alias("lon"), F.col("priceInfo.amount").alias("price"),
         F.col("sqftInfo.amount").alias("sqft"), F.col("beds").alias("bedrooms"),
@@ -171,7 +208,7 @@ def parse_walkscore(df: DataFrame, col: str = "payload") -> DataFrame:
 def seed_chunk_store(store_path: str, seed: DataFrame) -> DataFrame:
     """Append seed chunks whose id is not in the store yet (left_anti)."""
     spark = seed.sparkSession
-    if _exists(spark, store_path):
+    if exists(spark, store_path):
         have = spark.read.parquet(store_path).select("id")
         new = seed.join(have, "id", "left_anti")
     else:
