@@ -42,7 +42,11 @@ def test_zip_filter_prunes_the_landed_folders(spark, tmp_path):
     feed(spark, str(tmp_path / "feed"))
     one = IO.read_listings_feed(spark, str(tmp_path / "feed")).where("zip_code = '94102'")
     assert one.count() == 50
-    plan = one._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        plan = IO.read_listings_feed(spark, str(tmp_path / "feed")).where("zip_code = '94102'")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert re.search(r"PartitionFilters: \[[^]]*zip_code#\d+ = 94102", plan)
 
 
