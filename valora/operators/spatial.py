@@ -119,7 +119,7 @@ def neighborhood_stats(df: DataFrame, target_col: str = "price", k: int = 1) ->
     df = _ensure_ppsf(df)
     exact = F.sum(F.col(target_col).cast("decimal(28, 4)")).cast("double")
     cells = (df.where(F.col("h3_index").isNotNull()).groupBy("h3_index")
-             .agg((exact / F.count(target_col)).alias("_mean"), F.count(target_col).alias("_count")))
+             .agg(F.try_divide(exact, F.count(target_col)).alias("_mean"), F.count(target_col).alias("_count")))
     ax = stage(cells.select("h3_index", "_mean", "_count", geo.cell_unpack("h3_index").alias("_ax")),
                "disk_cells")  # both sides of the self-join
     centres = ax.select(F.col("h3_index").alias("center"), "_ax",
@@ -128,7 +128,7 @@ def neighborhood_stats(df: DataFrame, target_col: str = "price", k: int = 1) ->
                 (F.col("_ax.r") + F.col("_o.dr")).alias("r"))
     nbr = ax.select(F.col("_ax.q").alias("q"), F.col("_ax.r").alias("r"), "_mean", "_count")
     agg = (centres.join(nbr, ["q", "r"]).groupBy("center")
-           .agg((_ordered_sum("_mean") / F.count("_mean")).alias("neighborhood_avg_price"),
+           .agg(F.try_divide(_ordered_sum("_mean"), F.count("_mean")).alias("neighborhood_avg_price"),
                 F.sum("_count").alias("neighborhood_count"))
            .withColumnRenamed("center", "h3_index"))
     return df.join(agg, "h3_index", "left")

@@ -93,7 +93,7 @@ def rollup_table(spark: SparkSession, base: str) -> DataFrame:
     return _written(spark, f"{base}/days", DAYS).groupBy("day").agg(
         F.sum("calls").alias("calls"), F.coalesce(F.sum(F.when(F.col("late"), F.col("calls"))), F.lit(0)).alias("late_calls"),
         F.sum("successful_calls").alias("successful_calls"), F.sum("total_cost").alias("total_cost"),
-        (F.sum("latency_sum") / F.sum("latency_n")).alias("avg_latency_ms"),
+        F.try_divide(F.sum("latency_sum"), F.sum("latency_n")).alias("avg_latency_ms"),
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
