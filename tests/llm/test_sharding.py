@@ -1,3 +1,5 @@
+import pytest
+
 from tests.llm.data import documents, prose
 from valora.llm import sharding as S
 
@@ -38,3 +40,18 @@ def test_stored_order(spark, tmp_path):
     docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "d"))
     rows = S.in_shards(spark.read.parquet(str(tmp_path / "d"))).collect()
     assert [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))] == list(range(200))
+
+
+def test_buckets_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_BYTES", 20_000)
+    docs = documents(spark, [prose(i, 2_000 if i % 9 == 0 else 20) for i in range(180)])
+    out = S.shard(docs)
+    check(out.collect(), 8, 30_000)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert " div 1 " not in plan and "bucket" in plan  # more than one bucket a shard
+
+
+def test_rows_without_a_stored_order_are_sharded_with_a_warning(spark):
+    docs = documents(spark, [prose(i, 20) for i in range(50)])
+    with pytest.warns(UserWarning, match="no stored order"):
+        assert S.in_shards(docs).count() == 50

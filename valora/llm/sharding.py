@@ -7,8 +7,8 @@ below some candidate keys are counted over all rows; the candidates close in
 on the boundary until it is within ``TOLERANCE`` of a shard (or no other key
 is left between them).  Only then the rows move, once, to their bucket.
 
-A shard consists of buckets of about ``BUCKET_ROWS`` rows, whose boundaries
-are found in the same way; a row's slot is its row number in its bucket plus
+A shard consists of buckets of about ``BUCKET_ROWS`` rows and ``BUCKET_BYTES``
+bytes at most, whichever makes more of them; their boundaries are found in the same way; a row's slot is its row number in its bucket plus
 the rows of the shard's buckets before, so no task sorts a whole shard.  Each
 counting pass reads a staged table of keys and sizes and returns one row for
 each candidate interval.
@@ -22,6 +22,7 @@ added columns give way to existing names.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from valora.llm.common import fresh, read, register
 from valora.session import stage
 
 SHARDS = 8
-TOLERANCE, PROBES, BUCKET_ROWS = 0.001, 16, 500_000
+TOLERANCE, PROBES, BUCKET_ROWS, BUCKET_BYTES = 0.001, 16, 500_000, 256 << 20
 _SIGN = np.uint64(1 << 63)
 
 
@@ -123,7 +124,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", order: list
     slim = stage(marked.select(F.col(h).alias("h"), F.col(t).alias("t"),
                                (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size")), "shard_keys")
     all_ = slim.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).first()
-    fine = max(1, -(-all_["n"] // (shards * BUCKET_ROWS)))
+    fine = max(1, -(-all_["n"] // (shards * BUCKET_ROWS)), -(-(all_["b"] or 0) // (shards * BUCKET_BYTES)))
     cuts = splitters(slim, shards * fine, TOLERANCE * (all_["b"] or 0) / shards)
     counted = histogram(slim, sorted(cuts)) if cuts else {}
     before, offsets = 0, []
@@ -156,10 +157,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_order(docs: DataFrame) -> list | None:
     """File number and row number of a table that Spark has written, else
-    None: then the default order holds."""
+    None, with a warning: then the default order holds."""
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
+        warnings.warn("the rows have no stored order (no _metadata): they are sharded in the order of their hashes", stacklevel=2)
         return None
     return [F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), F.lit(0)),
             F.col("_metadata.row_index")]
