@@ -306,10 +306,29 @@ def test_comps_meet_a_bounded_number_of_candidates(spark):
         rows = [(i, "a", 1000.0, 3, 2000, 1.0) for i in range(size)]
         df = spark.createDataFrame(rows, LISTING).selectExpr(
             "id", "zip_code zip", "sqft", "bedrooms beds", "year_built year", "price")
-        met.append(CO._numbered(df, 5).count())
+        met.append(CO._useful(df, 5).count())
     assert met[0] == met[1] <= 18
 
 
+@pytest.mark.parametrize("wide,slab,dense", [(0, 64, 10**9), (0, 10**9, 0), (10**9, 64, 0), (0, 500, 0)])
+def test_comps_in_slabs_and_by_years_match_brute_force(spark, monkeypatch, wide, slab, dense):
+    for name, value in (("WIDE_ROWS", wide), ("SLAB_SQFT", slab), ("DENSE_ROWS", dense), ("MANY_YEARS", 0)):
+        monkeypatch.setattr(CO, name, value)
+    rng = np.random.default_rng(11)
+    # a hot zip with many listings of a group, copies of listings, sparse ends
+    rows = [(i, "a", float(rng.integers(8, 30)) * 50, int(rng.integers(2, 4)), int(rng.integers(1990, 1996)), 1.0) for i in range(150)]
+    rows += [(200 + i, "a", 1000.0, 3, 1992, 1.0) for i in range(12)]
+    rows += [(300 + i, "b", float(x), 2, 1950 + 3 * i, 1.0) for i, x in enumerate([200, 230, 900, 950, 5000, 5100, 20_000, 0.5])]
+    rows += [(400, "b", None, 2, 1960, 1.0), (401, "b", 900.0, None, 1960, 1.0), (402, "c", 900.0, 2, 1960, 1.0)]
+    df = spark.createDataFrame(rows, LISTING)
+    got = CO.find_comps(df).collect()
+    whole = [r for r in rows if None not in r]
+    found = sorted((r.target_id, r.comp_id, r["rank"]) for r in got)
+    assert [x for x in found if x[0] not in (400, 401) and x[0] < 300] == [x for x in comps_by_hand(whole) if x[0] < 300]
+    monkeypatch.undo()
+    assert found == sorted((r.target_id, r.comp_id, r["rank"]) for r in CO.find_comps(df).collect())
+
+
 def test_vector_topk_matches_numpy(spark):
     from valora.operators import retrieval as RE
     rng = np.random.default_rng(3)
