@@ -127,6 +127,10 @@ def _of_targets(pairs: DataFrame, targets: DataFrame, n: int) -> DataFrame:
             .select("t_id", "t_price", "c.c_id", "c.c_price", "c.score", (F.col("pos") + 1).alias("rank")))
 
 
+def _apart() -> Column:
+    return F.abs(F.col("year") - F.col("t_year"))
+
+
 class _Search:
     """Matches of kinds among the numbered listings."""
 
@@ -135,31 +139,26 @@ class _Search:
         self.groups = members.select(*GROUP).distinct()
 
     def matches(self, kinds: DataFrame, beds: list[int], years: Column) -> DataFrame:
-        """Pairs within the criteria, for the given differences."""
+        """Pairs within the criteria, for the given differences in bedrooms and
+        a condition on the years."""
         probes = (kinds.withColumn("beds", F.explode(F.array(*[(F.col("t_beds") + d).cast("int") for d in beds])))
-                  .withColumn("year", F.explode(years)).withColumn("year", (F.col("t_year") + F.col("year")).cast("int"))
-                  .select(*KIND, "beds", "year").join(self.groups, GROUP, "left_semi"))
+                  .join(self.groups, ["zip", "beds"]).where(years).select(*KIND, "beds", "year"))
         near = _near(probes, self.members, self.n, self.wide)
         return near.where((F.col("c_sqft") >= F.col("t_sqft") * (1 - self.sqft_tol))
                           & (F.col("c_sqft") <= F.col("t_sqft") * (1 + self.sqft_tol))).select(*PAIR)
 
     def all_years(self, kinds: DataFrame, beds: list[int]) -> DataFrame:
-        return self.matches(kinds, beds, _span(-self.year_tol, self.year_tol))
+        return self.matches(kinds, beds, _apart() <= self.year_tol)
 
     def years_by_distance(self, kinds: DataFrame, beds: list[int]) -> DataFrame:
         """As ``all_years``, but years beyond NEAR_YEARS only as far as one of
         them can still come before the last of the n + 1 nearest."""
-        first = stage(_best(self.matches(kinds, beds, _span(-NEAR_YEARS, NEAR_YEARS)), self.n + 1, KIND), "comps_near_years").drop("rank")
+        first = stage(_best(self.matches(kinds, beds, _apart() <= NEAR_YEARS), self.n + 1, KIND), "comps_near_years").drop("rank")
         bound = first.groupBy(*KIND).agg(F.when(F.count(F.lit(1)) == self.n + 1, F.max("score")).alias("bound"))
         # a score of 0.2 years / 100 or less, ties and a hair of rounding included
         reach = F.least(F.lit(self.year_tol), F.floor(F.coalesce("bound", F.lit(1e6)) * 500 + 1e-6).cast("int"))
         more = kinds.join(bound, KIND, "left").withColumn("reach", reach).where(F.col("reach") > NEAR_YEARS)
-        years = F.concat(F.sequence(-F.col("reach"), F.lit(-NEAR_YEARS - 1)), F.sequence(F.lit(NEAR_YEARS + 1), F.col("reach")))
-        return first.unionByName(self.matches(more, beds, years))
-
-
-def _span(lo: int, hi: int) -> Column:
-    return F.sequence(F.lit(lo), F.lit(hi))
+        return first.unionByName(self.matches(more, beds, (_apart() > NEAR_YEARS) & (_apart() <= F.col("reach"))))
 
 
 def _whole_zip(lonely: DataFrame, base: DataFrame, search: _Search, n: int) -> DataFrame:
