@@ -195,6 +195,12 @@ def q_embed_chunks(spark, sf):
     return RE.build_chunk_store(docs(spark, sf)).select("chunk_id", "doc_id", "chunk_index", "embedding")
 
 
+@register("embed_chunks_learned")
+def q_embed_chunks_learned(spark, sf):
+    """Chunks with word vectors learned from the documents themselves."""
+    return RE.build_learned_store(docs(spark, sf))[0].select("chunk_id", "doc_id", "chunk_index", "embedding")
+
+
 # ------------------------------------------------------------------ T17
 
 EMB = """ex AS (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(len(embedding))) AS d FROM embeddings),
