@@ -47,6 +47,6 @@ def test_every_code_within_the_radius_is_retrieved():
     r = np.random.default_rng(1)
     db, q = r.integers(0, 1 << 16, (300, 4), dtype=np.uint16), r.integers(0, 1 << 16, (20, 4), dtype=np.uint16)
     for radius in (10, 20, 25):
-        mask = N.retrieve(db, q, radius)
+        mask = N.retrieve(N.directories(db), q, radius)
         near = np.array([N.distance(x, db) <= radius for x in q])
         assert not (near & ~mask).any()

@@ -93,14 +93,17 @@ def fit(sample: np.ndarray, longest: float, k: int = K) -> tuple[np.ndarray, int
     return rot, int(np.ceil(np.quantile(far, COVER)))
 
 
-def retrieve(db: np.ndarray, qc: np.ndarray, radius: int) -> np.ndarray:
+def directories(db: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every substring its values and the place of each row's value."""
+    return [np.unique(db[:, s], return_inverse=True) for s in range(db.shape[1])]
+
+
+def retrieve(index: list[tuple[np.ndarray, np.ndarray]], qc: np.ndarray, radius: int) -> np.ndarray:
     """Which (query, row) pairs some substring proposes: a mask that holds
     every pair within the radius."""
-    subs = db.shape[1]
-    within = radius // subs
-    mask = np.zeros((len(qc), len(db)), bool)
-    for s in range(subs):
-        values, rows = np.unique(db[:, s], return_inverse=True)  # the directory of this substring
+    within = radius // len(index)
+    mask = np.zeros((len(qc), len(index[0][1])), bool)
+    for s, (values, rows) in enumerate(index):
         near = np.bitwise_count(qc[:, s][:, None] ^ values[None, :]) <= within
         mask |= near[:, rows]
     return mask
@@ -113,9 +116,10 @@ def search_block(db: pd.DataFrame, qs: pd.DataFrame, rot: np.ndarray, radius: in
         x, y = np.stack(db["v"]).astype(np.float64), np.stack(qs["v"]).astype(np.float64)
         ids, scale = db["vec_id"].to_numpy(), longest or 1.0
         dc, qc = codes(lifted(x / scale, 1.0, False), rot), codes(lifted(y / scale, 1.0, True), rot)
+        index = directories(dc)  # once a block
         for lo in range(0, len(qs), 64):
             part = qc[lo: lo + 64]
-            mask = retrieve(dc, part, radius)
+            mask = retrieve(index, part, radius)
             for i in range(len(part)):
                 rows = np.flatnonzero(mask[i])
                 d = distance(part[i], dc[rows])
