@@ -71,3 +71,37 @@ def test_all_sampled_documents_are_in_the_dictionary(spark):
     model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(model["aa"]) <= L.DICT_BYTES
     assert sum(f"word{chr(97 + i // 20)}{chr(97 + i % 20)}".encode() in model["aa"] for i in range(200)) == 200
+
+
+def test_dictionaries_of_any_number_of_labels_are_bounded(spark, monkeypatch):
+    noisy = {f"n{i}": 1 + i % 3 for i in range(5000)} | {"en": 3_000_000, "zh": 2_000_000}
+    size = L.room(noisy)
+    assert sum(size.values()) <= 2 * L.DICT_TOTAL and min(size.values()) >= 4096
+    assert size["en"] == size["zh"] == L.DICT_BYTES
+    assert sum(L.room({str(i): 1 for i in range(300_000)}).values()) <= 2 * L.DICT_TOTAL
+    assert set(L.room({str(i): i for i in range(200)}).values()) == {L.DICT_BYTES}
+    monkeypatch.setattr(L, "DICT_TOTAL", 40_000)
+    rows = [(1000 + i, f"noise{i} " * 40, f"a{i:03}") for i in range(60)]
+    rows += [(i, text(lang, i), f"z{lang}") for i, lang in enumerate(list(VOCAB) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert len(model) == 63 and sum(map(len, model.values())) <= 80_000
+    got = L.predict(docs.where("doc_id < 1000"), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+
+
+def test_the_fewest_bytes_win(spark):
+    """Against a plain count of the compressed bytes."""
+    import zstandard as zs
+    rows = [(i, text(lang, i, 5 + i * 7), lang) for i, lang in enumerate(list(VOCAB) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    for r in L.predict(docs, model).collect():
+        body, sizes = L.letters(r["text"]), {}
+        for lang, content in model.items():
+            one = zs.ZstdCompressor(level=L.LEVEL, write_content_size=False, write_dict_id=False,
+                                    dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT))
+            sizes[lang] = sum(len(one.compress(body[p: p + L.CHUNK])) for p in range(0, len(body), L.CHUNK))
+        best, second = sorted(sizes.values())[:2]
+        assert r["lang_pred"] == min(sizes, key=lambda k: (sizes[k], k))
+        assert abs(r["score"] - (second - best) / second) < 1e-12 and r["rejected"] == (r["score"] < L.MIN_MARGIN)

@@ -7,16 +7,21 @@ needs the fewest bytes; a narrow margin over the runner-up is a rejection.
 Texts are compared as lower-case letters (other ASCII signs become one space) and encoded in pieces of ``CHUNK`` bytes, all of them, so that the
 dictionary counts over the whole text and not only at its start.
 
-Every label is learned.  The dictionaries come from a bounded sample: per
-language the ``SAMPLE_DOCS`` documents with the smallest hash, of each
-``PIECES`` pieces from all over the text, an equal share of ``DICT_BYTES`` and
-at most ``SAMPLE_CHARS`` characters.  Prediction reads whole texts.  Beyond
+Every label but ``und`` is learned.  The dictionaries come from a bounded sample:
+per language the ``SAMPLE_DOCS`` documents with the smallest hash, of each
+``PIECES`` pieces from all over the text, an equal share of the dictionary and
+at most ``SAMPLE_CHARS`` characters.  A dictionary has ``DICT_BYTES``.  Labels
+whose dictionaries wouldn't fit in ``DICT_TOTAL`` together share it by their
+documents, with at least ``LEAST_BYTES`` (or an equal part, if that is less), so
+that all dictionaries are at most twice ``DICT_TOTAL`` for any number of labels
+up to that number of bytes.  Prediction reads whole texts.  Beyond
 ``BLOCK_LANGS`` languages a task takes ``GROUP_BYTES`` of texts through one
 block of languages after another, so that only one block's encoders are held.
 
 Defined cases: a null text or one without a letter gets ``und``, score 0,
 rejected.  Ties go to the first language in order of name.  Without any
-labelled text everything is ``und``.  Repeated rows are judged alike.
+labelled text everything is ``und``.  Repeated rows are judged alike.  Added
+columns give way to existing names.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from valora.llm.common import fresh, read, register
 
 UNKNOWN = "und"
 SAMPLE_DOCS, SAMPLE_CHARS, PIECES, DICT_BYTES = 400, 2000, 4, 262_144
+DICT_TOTAL, LEAST_BYTES = 200 * DICT_BYTES, 4096
 LEVEL, CHUNK = 5, 2048
 #: share of the runner-up's bytes below which the choice is rejected
 MIN_MARGIN = 0.002
@@ -44,6 +50,14 @@ def letters(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_FOLD).split())
 
 
+def room(counts: dict[str, int]) -> dict[str, int]:
+    """Bytes of every label's dictionary, from its number of documents."""
+    if len(counts) * DICT_BYTES <= DICT_TOTAL:
+        return dict.fromkeys(counts, DICT_BYTES)
+    least, rows = max(1, min(LEAST_BYTES, DICT_TOTAL // len(counts))), sum(counts.values())
+    return {k: max(least, min(DICT_BYTES, DICT_TOTAL * n // rows)) for k, n in counts.items()}
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """Raw-content dictionaries by language, from rows with a label."""
     rows = (labelled.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"),
@@ -52,10 +66,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}  # one row a language
     if not counts:
         return {}
+    size_of = room(counts)
     # a cut at four times the wanted share of each language: what the window
     # ranks doesn't grow with the input
     cuts = labelled.sparkSession.createDataFrame(
-        [(l, int(min(1.0, 4 * SAMPLE_DOCS / n) * (1 << 30)) + 1, DICT_BYTES // min(n, SAMPLE_DOCS))
+        [(l, int(min(1.0, 4 * SAMPLE_DOCS / n) * (1 << 30)) + 1, max(1, size_of[l] // min(n, SAMPLE_DOCS)))
          for l, n in sorted(counts.items())], "l string, cut long, share long")
     rows = rows.join(F.broadcast(cuts), "l").where((F.col("h") < F.col("cut")) & F.col("t").rlike(r"\p{L}"))
     size = F.length("t")
@@ -69,8 +84,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
               .where(F.col("r") <= SAMPLE_DOCS).orderBy("l", "r"))  # at most SAMPLE_DOCS rows a language
     model: dict[str, bytes] = {}
     for r in sample.select("l", "t").toLocalIterator():
-        if len(model.get(r["l"], b"")) < DICT_BYTES:
-            model[r["l"]] = (model.get(r["l"], b"") + b" " + letters(r["t"]))[:DICT_BYTES]
+        if len(model.get(r["l"], b"")) < size_of[r["l"]]:
+            model[r["l"]] = (model.get(r["l"], b"") + b" " + letters(r["t"]))[:size_of[r["l"]]]
     # zstandard takes content of 8 bytes and more
     return {k: v.ljust(8) for k, v in sorted(model.items()) if v.strip()}
 
@@ -138,7 +153,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], text: str = "text",
     rejection; a column of one of these names gives way to an underscore."""
     names = fresh(docs, *out)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # at most DICT_BYTES a language
+    shared = sc.broadcast(model)  # at most twice DICT_TOTAL
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
