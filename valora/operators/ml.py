@@ -71,12 +71,24 @@ class TrainResult:
     metrics: dict = field(default_factory=dict)
 
 
+#: rows a partition of the training table, where it has more than the cluster has cores
+TRAIN_PARTITION_ROWS = 500_000
+
+
+def dealt_evenly(rows: DataFrame) -> DataFrame:
+    """Rows in equal partitions, one a core at least.  The fit goes through them
+    once for each level of each tree, every time as long as the largest takes;
+    a staged table has its rows in a few row groups, whatever its splits are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-rows.count() // TRAIN_PARTITION_ROWS)))
+
+
 def train(df: DataFrame, features: list[str] = P.FEATURES_V3, params: dict | None = None,
           test_pct: int = 20) -> TrainResult:
     """Fit on the train split; one metrics aggregate for both splits."""
     params = dict(P.BOOSTER_DEFAULTS if params is None else params)
     d = stage(split(df, test_pct).select("id", P.TARGET, "is_test", *features), "train_rows")
-    model = pipeline(features, params).fit(d.where(~F.col("is_test")))
+    model = pipeline(features, params).fit(dealt_evenly(d.where(~F.col("is_test"))))
     rows = {r["is_test"]: r.asDict() for r in MT.all_metrics(model.transform(d), "is_test", P.TARGET, "prediction").collect()}
     names = ("rmse", "mae", "r2", "ppe10", "ppe20", "mdape")
     m = {f"{part}_{k}": rows.get(flag, {}).get(k) for part, flag in (("train", False), ("test", True)) for k in names}
