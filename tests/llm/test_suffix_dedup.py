@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -120,3 +121,29 @@ def test_a_very_long_text_and_a_thousand_copies_of_another(spark):
         for lo, hi in got[n]:
             mine[lo:hi] = b"\1" * (hi - lo)
         assert mine == gone
+
+
+def test_the_query_cuts_passages_by_bytes_whatever_their_words(spark, tmp_path):
+    """Shared passages of over 50 words with 399 bytes stay, those with 400 go;
+    n_bytes is the size of the input text either way."""
+    texts, shared = [], {}
+    for n, size in enumerate([330, 399, 400, 401, 470]):
+        words, k = ["été", "año"] + prose(40 + n, 400).split(), 51
+        while len(" ".join(words[:k + 1]).encode()) <= size:
+            k += 1
+        passage = " ".join(words[:k])
+        passage += "q" * (size - len(passage.encode()))
+        assert len(passage.split()) > 50 and len(passage.encode()) == size > len(passage)
+        for at in range(2):  # digits differ on both sides of the passage
+            shared[len(texts)] = size
+            texts.append(f"{prose(60 + 2 * n + at, 40)} {at}{passage}{at} {prose(80 + 2 * n + at, 30)}")
+    texts += [prose(99, 300), None, ""]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in S.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, (t, gone) in enumerate(zip(texts, brute(texts))):
+        data = (t or "").encode()
+        removed = shared.get(i, 0) if shared.get(i, 0) >= 400 else 0
+        kept = bytes(c for c, g in zip(data, gone) if not g)
+        assert sum(gone) == removed
+        assert tuple(got[i])[1:] == (len(data), removed, int(removed > 0), hashlib.sha256(kept).hexdigest())
